@@ -50,3 +50,24 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecforest.llm.bpe import bpe_round_trip
 
     return bpe_round_trip(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), JSON_TOKENIZER, END_ID)
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))

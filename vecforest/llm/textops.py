@@ -147,12 +147,17 @@ def shingles(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarr
     if not parts_doc:
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     doc, val = np.concatenate(parts_doc), np.concatenate(parts_hash)
-    order = np.lexsort((val, doc))
-    doc, val = doc[order], val[order]
-    keep = np.ones(len(val), bool)
-    keep[1:] = (val[1:] != val[:-1]) | (doc[1:] != doc[:-1])
-    doc, val = doc[keep], val[keep]
-    return val, np.searchsorted(doc, np.arange(n_docs + 1))
+    if len(parts_doc) > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, val = doc[order], val[order]
+    at = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
+    sets = [np.unique(val[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+
+#: ASCII marks that end a run of letters, and ASCII letters.
+MARK = np.isin(np.arange(256), list(b"!,.:;?|*#$%&)"))
+LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 
 
 def safe_cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -161,7 +166,8 @@ def safe_cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     A cut stands before a space or line feed that follows a character that is
     surely no white space: a printable ASCII character or a two-byte character
     with a lead byte from C3 to DF. No token of the pre-splitting pattern goes on
-    from such a character into white space. Document starts are cuts as well, and
+    from such a character into white space. Another stands between an ASCII letter
+    and a mark, as no token goes on from a letter into a mark. Document starts are cuts as well, and
     the end of the buffer is the last.
     """
     n = len(raw)
@@ -173,6 +179,9 @@ def safe_cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     fine = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead <= 0xDF))
     cuts = np.zeros(n + 1, bool)
     cuts[at[fine]] = True
+    mark = np.flatnonzero(MARK[raw])
+    mark = mark[mark > 0]
+    cuts[mark[LETTER[raw[mark - 1]]]] = True
     cuts[off] = True
     return np.flatnonzero(cuts)
 

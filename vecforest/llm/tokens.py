@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from vecforest.llm import textops
 
-#: Pieces that a Python worker remembers between batches, and their longest length.
-MEMO_PIECES, MEMO_CHARS = 400_000, 24
-_memo: dict[str, dict[str, np.ndarray]] = {}
+#: Pieces and ids that a Python worker remembers before it starts afresh, pieces encoded at once, and bytes of text handled at once.
+MEMO_PIECES, MEMO_IDS, AT_ONCE, PART_BYTES = 500_000, 8_000_000, 20_000, 8 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -30,31 +32,68 @@ def tokenizer(path: str):
     return found
 
 
-def encode_pieces(distinct: list[str], path: str) -> list[list[int]]:
-    memo = _memo.setdefault(path, {})
-    out = [memo.get(p) for p in distinct]
-    missing = [i for i, ids in enumerate(out) if ids is None]
-    for i, found in zip(missing, tokenizer(path).encode_batch_fast([distinct[i] for i in missing], add_special_tokens=False), strict=True):
-        out[i] = found.ids
-        if len(memo) < MEMO_PIECES and len(distinct[i]) <= MEMO_CHARS:
-            memo[distinct[i]] = tuple(found.ids)
-    return out
+class Memo:
+    """Ids of the pieces met so far: a number for each piece, and its ids in one flat array."""
 
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
 
-def encode_batch(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch (uint32) and the n + 1 offsets of its documents; end_id is appended to each document."""
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.start = array("I"), array("q", [0])
+
+    def numbers(self, distinct: list[str]) -> np.ndarray:
+        if len(self.number) > MEMO_PIECES or len(self.flat) > MEMO_IDS:
+            self.clear()
+        get = self.number.get
+        found = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(found < 0)
+        encode = tokenizer(self.path).encode_batch_fast
+        for s in range(0, len(missing), AT_ONCE):
+            some = missing[s : s + AT_ONCE].tolist()
+            for i, e in zip(some, encode([distinct[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = self.number[distinct[i]] = len(self.start) - 1
+                self.flat.extend(e.ids)
+                self.start.append(len(self.flat))
+        return found
+
+
+@functools.lru_cache(maxsize=2)
+def memo(path: str) -> Memo:
+    return Memo(path)
+
+
+def _encode_part(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some texts, and how many each has."""
     raw, off = textops.buffer_of(texts)
     which, distinct, first = textops.pieces(raw, off)
-    encoded = encode_pieces(distinct, path)
-    if end_id is not None:
-        encoded.append([end_id])
-        which = np.insert(which, first[1:], len(distinct))
-        first = first + np.arange(len(first))
-    size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    start = np.concatenate([[0], np.cumsum(size)])
-    flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, start[-1])
-    del encoded, distinct
-    n = size[which]
+    known = memo(path)
+    which = known.numbers(distinct)[which]
+    flat, start = np.frombuffer(known.flat, np.uint32) if known.flat else np.zeros(1, np.uint32), np.frombuffer(known.start, np.int64)
+    n = (start[1:] - start[:-1])[which]
     at = np.concatenate([[0], np.cumsum(n)])
     ids = flat[np.repeat(start[which] - at[:-1], n) + np.arange(at[-1])]
-    return ids, at[first]
+    first = at[first]
+    if end_id is not None:
+        ids = np.insert(ids, first[1:], end_id)
+        first = first + np.arange(len(first))
+    return ids.astype(np.uint32, copy=False), np.diff(first)
+
+
+def parts_by_bytes(texts: pa.Array, most: int = PART_BYTES) -> Iterator[pa.Array]:
+    """Slices of whole texts of about this many bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def encode_batch(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch (uint32) and the n + 1 offsets of its documents; end_id is appended to each document."""
+    found = [_encode_part(part, path, end_id) for part in parts_by_bytes(texts)]
+    ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint32)
+    return ids, np.concatenate([[0], *(np.cumsum(np.concatenate([n for _, n in found])) if found else [[]],)]).astype(np.int64)
