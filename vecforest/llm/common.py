@@ -95,3 +95,18 @@ def may_repeat(rows: DataFrame, key: str, bitmaps: DataFrame, buckets: int, flag
         .withColumn(flag, bit("__one") & bit("__two"))
         .drop("__b", "__one", "__two", "__bucket", "__bits")
     )
+
+
+def key_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A blocked Bloom filter of a table's 64-bit keys, for may_repeat(): at most MAX_FILTER_BITS."""
+    buckets = filter_buckets(keys.count())
+    bucket, one, two = filter_positions(F.col(key), buckets)
+    hit = keys.select(bucket.alias("bucket"), F.explode(F.array(one, two)).alias("bit"))
+    return hit.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), buckets
+
+
+def split_by(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among the keys, and the rest, by a bounded filter instead of a shuffle of the rows."""
+    bitmaps, buckets = key_filter(keys, key)
+    flagged = may_repeat(rows, key, bitmaps, buckets, "__may")
+    return flagged.filter("__may").drop("__may"), flagged.filter("not __may").drop("__may")

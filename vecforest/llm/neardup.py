@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import filter_buckets, filter_positions, may_repeat, table, text_rows
+from vecforest.llm.common import split_by, table, text_rows
 from vecforest.llm.components import components
 from vecforest.llm.textops import buffer_of, mix, shingles
 
@@ -134,7 +134,7 @@ def short_pairs(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in [*batches, None] if False else _with_end(batches):
+        for batch in _with_end(batches):
             t = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if (rest is not None or batch is not None) else None
             if t is None or not len(t):
                 continue
@@ -242,11 +242,8 @@ def block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Sets are made again, for the documents in pairs only."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    buckets = filter_buckets(ends.count())
-    bucket, one, two = filter_positions(F.xxhash64("doc_id"), buckets)
-    bitmaps = ends.select(bucket.alias("bucket"), F.explode(F.array(one, two)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    wanted = may_repeat(docs.withColumn("key", F.xxhash64("doc_id")), "key", bitmaps, buckets, "wanted").filter("wanted").select("doc_id", "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(F.xxhash64("doc_id").alias("key"))
+    wanted, _ = split_by(docs.withColumn("key", F.xxhash64("doc_id")), "key", ends)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +260,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 keep.append(WHOLE * shared >= PART * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = table(wanted.mapInArrow(sets, "id long, set binary"), "sets")
+    made = table(wanted.select("doc_id", "text").mapInArrow(sets, "id long, set binary"), "sets")
     met = pairs.join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInArrow(compare, PAIRS)
 
@@ -312,3 +309,11 @@ def near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_
     out = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of each group of linked documents the one with the smallest id."""
+    dropped = table(near_duplicates(df, width, id_col, text_col).filter("not kept").select(F.xxhash64("doc_id").alias("key"), "doc_id").distinct(), "dropped")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id")).withColumn("key", F.xxhash64("doc_id"))
+    some, rest = split_by(rows, "key", dropped)
+    return some.join(dropped.select("doc_id"), "doc_id", "left_anti").select("row.*").unionByName(rest.select("row.*"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 END_ID, VOCAB = 2, 50257
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,38 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecforest.llm.ann import nearest_neighbours
 
     return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.suffixes import without_repeats
+
+    return without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.lines import without_repeated_lines
+
+    return without_repeated_lines(read(spark, sf_dir, "documents")).drop("kept_text", "row")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.unigram import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
