@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import split_by, table, whole_text
-from vecforest.llm.textops import RollingHash, buffer_of, mix
-from vecforest.llm.tokens import parts_by_bytes
+from vecforest.llm.textops import RollingHash, buffer_of, mix, parts_by_bytes
 
 WINDOW, LINES_A_CHUNK = 2, 4
 CHUNKS = "key long, doc_id long, chunk int, begin int, end int, lines int, hash long"

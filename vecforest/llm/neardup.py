@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vecforest.llm.common import split_by, table, text_rows
 from vecforest.llm.components import components
-from vecforest.llm.textops import buffer_of, mix, shingles
+from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles
 
 K, LEAST_SHARED, SHORT, BLOCK = 64, 30, 48, 1024
 #: Similarity as a fraction of whole numbers.
@@ -46,17 +46,25 @@ def _binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in arrays], pa.binary())
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    for batch in batches:
+        done = 0
+        for texts in parts_by_bytes(batch["text"]):
+            yield batch["doc_id"].slice(done, len(texts)), texts
+            done += len(texts)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), two fingerprints of the set, and the sketch (ascending 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            val, at = shingles(*buffer_of(batch["text"]), width)
+        for ids, texts in _parts(batches):
+            val, at = shingles(*buffer_of(texts), width)
             n = np.diff(at)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(val)])
             twice = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(val ^ np.uint64(0x5851F42D4C957F2D)))])
             one, two = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in (sums, twice))
-            yield pa.record_batch([batch["doc_id"], pa.array(n), pa.array(one), pa.array(two), _binary([val[a : min(b, a + K)] for a, b in zip(at[:-1], at[1:], strict=True)])], ["doc_id", "n", "one", "two", "sketch"])
+            yield pa.record_batch([ids, pa.array(n), pa.array(one), pa.array(two), _binary([val[a : min(b, a + K)] for a, b in zip(at[:-1], at[1:], strict=True)])], ["doc_id", "n", "one", "two", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, one long, two long, sketch binary")
 
@@ -82,20 +90,20 @@ def index_rows(reps: DataFrame) -> DataFrame:
     shared = values.join(common, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, 500) for b in batches for s in range(0, len(b), 500)):
             v, rep, n, small, before = [], [], [], [], []
             for r, size, sketch, shared in zip(batch["rep"].to_pylist(), batch["n"].to_pylist(), batch["sketch"].to_pylist(), batch["v"].to_pylist(), strict=True):
                 have = len(sketch) // 8
                 prefix = have - min(-(-PART * size // WHOLE), LEAST_SHARED) + 1
                 take = shared[: max(0, prefix - (have - len(shared)))]
-                if not take:
-                    continue
                 padded = np.full(K, NONE)
                 padded[:have] = np.frombuffer(sketch, np.uint64) >> np.uint64(32)
                 short = (np.array(take, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-                padded = padded.tobytes()
-                for i, x in enumerate(take):
-                    v.append(x), rep.append(r), n.append(size), small.append(padded), before.append(short[:i].tobytes())
+                v += take
+                rep += [r] * len(take)
+                n += [size] * len(take)
+                small += [padded.tobytes()] * len(take)
+                before += [short[:i].tobytes() for i in range(len(take))]
             yield pa.record_batch([pa.array(v, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.array(before, pa.binary())], ["v", "rep", "n", "small", "before"])
 
     wide = reps.join(shared, "rep").select("rep", "n", "sketch", F.col("shared.v").alias("v"))
@@ -246,9 +254,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     wanted, _ = split_by(docs.withColumn("key", F.xxhash64("doc_id")), "key", ends)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            val, at = shingles(*buffer_of(batch["text"]), width)
-            yield pa.record_batch([batch["doc_id"], _binary([val[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])], ["id", "set"])
+        for ids, texts in _parts(batches):
+            val, at = shingles(*buffer_of(texts), width)
+            yield pa.record_batch([ids, _binary([val[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])], ["id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import split_by, table, whole_text
-from vecforest.llm.textops import buffer_of
-from vecforest.llm.tokens import parts_by_bytes
+from vecforest.llm.textops import buffer_of, parts_by_bytes
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
 MAX_BROADCAST = 4_000_000
@@ -151,7 +150,7 @@ def score_by_broadcast(docs: DataFrame, model: DataFrame, order: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in parts_by_bytes(batch["text"], 4 << 20):
+            for part in parts_by_bytes(batch["text"]):
                 keys, names = (batch[c].slice(done, len(part)) for c in ("key", "model"))
                 done += len(part)
                 gram, doc = grams_of(*buffer_of(part), order)

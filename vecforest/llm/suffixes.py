@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import split_by, table, whole_text
-from vecforest.llm.textops import RollingHash, buffer_of
-from vecforest.llm.tokens import parts_by_bytes
+from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes
 
 GRAM, MANY, BATCH_ROWS = 100, 20_000, 8_000
 LOW = np.uint64((1 << 36) - 1)

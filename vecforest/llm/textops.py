@@ -6,10 +6,16 @@ and rolling hashes are NumPy passes over that buffer, never per-row Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
+#: Bytes of text that are handled at once: a bound on the memory of a Python worker.
+PART_BYTES = 4 << 20
+KEPT_POWERS = PART_BYTES + (1 << 17)
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
 MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 1 << 64)
@@ -27,8 +33,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; those for usual parts of a batch are kept."""
+    if n <= KEPT_POWERS:
+        if base not in _powers:
+            _powers[base] = _new_powers(KEPT_POWERS, base)
+        return _powers[base][:n]
+    return _new_powers(n, base)
+
+
+def _new_powers(n: int, base: int) -> np.ndarray:
     out = np.empty(max(n, 1), dtype=np.uint64)
     out[0] = 1
     have = 1
@@ -53,6 +70,17 @@ def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw, off - off[0]
 
 
+def parts_by_bytes(texts: pa.Array, most: int = PART_BYTES) -> Iterator[pa.Array]:
+    """Slices of whole texts of about this many bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 class RollingHash:
     """Hashes of any byte ranges of a buffer from one prefix sum.
 

@@ -10,16 +10,14 @@ from __future__ import annotations
 import functools
 import os
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from vecforest.llm import textops
 
-#: Pieces and ids that a Python worker remembers before it starts afresh, pieces encoded at once, and bytes of text handled at once.
-MEMO_PIECES, MEMO_IDS, AT_ONCE, PART_BYTES = 500_000, 8_000_000, 20_000, 8 << 20
+#: Pieces and ids that a Python worker remembers before it starts afresh, pieces encoded at once.
+MEMO_PIECES, MEMO_IDS, AT_ONCE = 500_000, 8_000_000, 20_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -81,19 +79,8 @@ def _encode_part(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
     return ids.astype(np.uint32, copy=False), np.diff(first)
 
 
-def parts_by_bytes(texts: pa.Array, most: int = PART_BYTES) -> Iterator[pa.Array]:
-    """Slices of whole texts of about this many bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        done = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def encode_batch(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch (uint32) and the n + 1 offsets of its documents; end_id is appended to each document."""
-    found = [_encode_part(part, path, end_id) for part in parts_by_bytes(texts)]
+    found = [_encode_part(part, path, end_id) for part in textops.parts_by_bytes(texts)]
     ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint32)
     return ids, np.concatenate([[0], *(np.cumsum(np.concatenate([n for _, n in found])) if found else [[]],)]).astype(np.int64)

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vecforest.llm.common import text_rows
-from vecforest.llm.textops import buffer_of
-from vecforest.llm.tokens import parts_by_bytes
+from vecforest.llm.textops import buffer_of, parts_by_bytes
 
 BLANK, UNKNOWN_PENALTY, MEMO_PARTS = "▁", 10.0, 500_000
 
