@@ -35,7 +35,7 @@ from vecforest.llm.common import split_by, table, text_rows
 from vecforest.llm.components import components
 from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles
 
-K, LEAST_SHARED, SHORT, BLOCK = 64, 30, 48, 1024
+K, LEAST_SHARED, SHORT, BLOCK = 64, 30, 16, 1024
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 75, 100
 NONE = np.uint32(0xFFFFFFFF)
@@ -197,9 +197,10 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     out = None
     for keys in (["v"], ["v", "s1"], ["s2"]):
         hubs = rows.groupBy(*keys).agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-        met = rows.join(hubs, keys).select("rep", F.explode(F.array("low", "high")).alias("hub")).filter("rep <> hub")
-        met = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        out = met if out is None else out.unionByName(met)
+        met = rows.join(hubs, keys)
+        for hub in ("low", "high"):
+            pair = met.filter(F.col("rep") != F.col(hub)).select(F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b"))
+            out = pair if out is None else out.unionByName(pair)
     return out.distinct()
 
 
@@ -250,7 +251,7 @@ def block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Sets are made again, for the documents in pairs only."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(F.xxhash64("doc_id").alias("key"))
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct().select(F.xxhash64("doc_id").alias("key"))
     wanted, _ = split_by(docs.withColumn("key", F.xxhash64("doc_id")), "key", ends)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
