@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import split_by, table, whole_text
-from vecforest.llm.textops import buffer_of, parts_by_bytes
+from vecforest.llm.textops import LARGE_PART, buffer_of, parts_by_bytes
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
 MAX_BROADCAST = 4_000_000
@@ -58,7 +58,7 @@ def counts(trusted: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in parts_by_bytes(batch["text"]):
+            for part in parts_by_bytes(batch["text"], LARGE_PART):
                 names = batch["model"].slice(done, len(part)).dictionary_encode()
                 done += len(part)
                 gram, doc = grams_of(*buffer_of(part), order)

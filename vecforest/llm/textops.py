@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes of text that are handled at once: a bound on the memory of a Python worker.
-PART_BYTES = 4 << 20
+#: Bytes of text that are handled at once: a bound on the memory of a Python worker. LARGE_PART is for work that keeps only a few arrays.
+PART_BYTES, LARGE_PART = 1 << 20, 4 << 20
 KEPT_POWERS = PART_BYTES + (1 << 17)
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
 MULT = 0x9E3779B97F4A7C15

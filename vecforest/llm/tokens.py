@@ -81,6 +81,6 @@ def _encode_part(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
 
 def encode_batch(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch (uint32) and the n + 1 offsets of its documents; end_id is appended to each document."""
-    found = [_encode_part(part, path, end_id) for part in textops.parts_by_bytes(texts)]
+    found = [_encode_part(part, path, end_id) for part in textops.parts_by_bytes(texts, textops.LARGE_PART)]
     ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint32)
     return ids, np.concatenate([[0], *(np.cumsum(np.concatenate([n for _, n in found])) if found else [[]],)]).astype(np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vecforest.llm.common import text_rows
-from vecforest.llm.textops import buffer_of, parts_by_bytes
+from vecforest.llm.textops import LARGE_PART, buffer_of, parts_by_bytes
 
 BLANK, UNKNOWN_PENALTY, MEMO_PARTS = "▁", 10.0, 500_000
 
@@ -80,7 +80,7 @@ class Counter:
     def batch(self, texts: pa.Array) -> np.ndarray:
         """Token counts of some texts."""
         found = []
-        for part in parts_by_bytes(texts):
+        for part in parts_by_bytes(texts, LARGE_PART):
             raw, off = buffer_of(part)
             filled = off[:-1][np.diff(off) > 0]
             raw = np.insert(raw, filled, 0x20)
