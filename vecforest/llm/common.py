@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 #: Most bits of a filter that is sent to every executor: 32 MB. It does not grow with the data.
 MAX_FILTER_BITS = 1 << 28
 BITMAP_BITS = 32768
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows carry whole texts here, so fewer of them go to a Python worker at once than by default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +54,7 @@ def drop_table(df: DataFrame) -> None:
 
 def whole_text(name: str) -> Column:
     """The text as a string; null counts as empty."""
+    small_batches(SparkSession.active())
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 

@@ -80,18 +80,18 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
     texts, _ = split_by(rows.select("key", "text"), "key", per_text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, 100) for b in batches for s in range(0, len(b), 100)):
             for key, text, found in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["chunks"].to_pylist(), strict=True):
                 raw = text.encode()
                 columns = [pa.array([c[n] for c in found], t) for n, t in (("doc_id", pa.int64()), ("chunk", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("lines", pa.int32()))]
                 yield pa.record_batch([pa.array([key] * len(found), pa.int64()), *columns, pa.array([raw[c["begin"] : c["end"]] for c in found], pa.binary())], ["key", "doc_id", "chunk", "begin", "end", "lines", "bytes"])
 
-    sent = per_text.join(texts.dropDuplicates(["key"]), "key").select("key", "text", "chunks").mapInArrow(cut, "key long, doc_id long, chunk int, begin int, end int, lines int, bytes binary")
+    sent = per_text.join(texts, "key").select("key", "text", "chunks").mapInArrow(cut, "key long, doc_id long, chunk int, begin int, end int, lines int, bytes binary")
     sent = table(sent, "bytes")
     # The bytes themselves are compared. Each task sends one row for equal chunks; members meet the first in a join that Spark can split.
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("chunk"))
     firsts = sent.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = sent.join(firsts, "bytes").filter(place != F.col("first")).groupBy("key").agg(F.collect_list(F.struct("begin", "end", "lines")).alias("gone"))
+    gone = sent.join(firsts, "bytes").filter(place != F.col("first")).groupBy("key").agg(F.collect_set(F.struct("begin", "end", "lines")).alias("gone"))
     gone = table(gone, "gone")
     some, rest = split_by(rows, "key", gone)
     none = F.lit(None).cast(gone.schema["gone"].dataType)

@@ -157,10 +157,9 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
     asked = contexts.join(open_grams, "gram").select("gram", "m", "left", "strings", "n", "at.key", "at.start")
     per_text = table(asked.groupBy("key").agg(F.collect_list(F.struct("gram", "m", "left", "strings", "n", "start")).alias("asked")), "asked")
     texts, _ = split_by(docs, "key", per_text)
-    texts = texts.dropDuplicates(["key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, 100) for b in batches for s in range(0, len(b), 100)):
             for key, text, asked in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
                 raw = text.encode()
                 rows = {c: [a[c] for a in asked] for c in ("gram", "m", "left", "strings", "n", "start")}
@@ -171,12 +170,14 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
     cuts = table(per_text.join(texts, "key").select("key", "text", "asked").mapInArrow(cut, fields), "cuts")
 
     def spans(t: pa.Table) -> pa.RecordBatch:
+        places = np.stack([t[c].to_numpy() for c in ("gram", "key", "start")], axis=1)
+        t = t.take(pa.array(np.unique(places, axis=0, return_index=True)[1]))  # rows with equal id and text come twice
         _, group = np.unique(t["gram"].to_numpy(), return_inverse=True)
         left, start = t["left"].to_numpy(), t["start"].to_numpy()
         row, before = equal_strings(group, left, t["strings"].to_numpy(), t["around"].to_pylist(), width)
         alone = t["n"].to_numpy()[row] == 1
         row, first, last = _runs(row[alone], (start + left)[row[alone]] - before[alone])
-        return pa.record_batch([t["key"].combine_chunks().take(pa.array(row)), pa.array(first), pa.array(last + width)], ["key", "begin", "end"])
+        return pa.record_batch([t["key"].take(pa.array(row)).combine_chunks(), pa.array(first), pa.array(last + width)], ["key", "begin", "end"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -201,7 +202,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
                 yield pa.record_batch([pa.array([gram_hash] * k, pa.int64()), pa.array(left - np.arange(k)), pa.array(h), pa.array([key] * k, pa.int64()), pa.array(start + np.arange(k)), pa.array([n] * k, pa.int64())], ["gram", "before", "hash", "key", "begin", "n"])
 
     large = cuts.filter(F.col("m") > many)
-    each = large.mapInArrow(strings_of, "gram long, before long, hash long, key long, begin long, n long")
+    each = large.mapInArrow(strings_of, "gram long, before long, hash long, key long, begin long, n long").distinct()
     again = each.groupBy("gram", "before", "hash").count().filter("count > 1").drop("count")
     hot = each.filter("n = 1").join(again, ["gram", "before", "hash"]).select("key", "begin", (F.col("begin") + width).alias("end"))
     return whole.unionByName(found).unionByName(hot)
