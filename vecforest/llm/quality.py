@@ -141,11 +141,14 @@ class Model:
 
 def score_by_broadcast(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     """(key, log_p) for rows (key, model, text), with tables that are small enough to be sent out."""
-    t = model.toArrow()
-    names = t["model"].to_numpy(zero_copy_only=False)
-    columns = [t[c].to_numpy(zero_copy_only=False) for c in ("n", "gram")] + [t[c].fill_null(float("nan")).to_numpy().astype(np.float32) for c in ("p", "back")]
-    models = {name: Model(*[c[names == name] for c in columns], order) for name in set(names)}
+    missing = lambda c: F.coalesce(F.col(c), F.lit(float("nan"))).cast("float").alias(c)
+    t = model.select("model", F.col("n").cast("byte").alias("n"), "gram", missing("p"), missing("back")).toArrow()
+    names = t["model"].combine_chunks().dictionary_encode()
+    which, columns = names.indices.to_numpy(), [t[c].to_numpy() for c in ("n", "gram", "p", "back")]
+    models = {name: Model(*[c[which == i] for c in columns], order) for i, name in enumerate(names.dictionary.to_pylist())}
+    del t, names, which, columns
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    del models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +169,9 @@ def score_by_broadcast(docs: DataFrame, model: DataFrame, order: int) -> DataFra
                         total[mine] = sums[mine]
                 yield pa.record_batch([keys, pa.array(total, from_pandas=True)], ["key", "log_p"])
 
-    return docs.select("key", "model", "text").mapInArrow(run, "key long, log_p double")
+    scored = table(docs.select("key", "model", "text").mapInArrow(run, "key long, log_p double"), "scores")
+    shared.destroy()
+    return scored
 
 
 def score_by_shuffle(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -216,8 +221,6 @@ def quality(df: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     score = score_by_broadcast if model.count() <= max_broadcast else score_by_shuffle
     scored = score(docs, model, order)
     sizes = rows.select("key", "doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
-    if score is score_by_broadcast:  # one pass over the texts
-        scored = table(scored, "scores")
     scored = sizes.join(scored.groupBy("key").agg(F.first("log_p").alias("log_p")), "key", "left")
     scored = table(scored.select("key", "doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"), F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2).cast("int").alias("size")), "perplexity")
     seen = scored.filter("perplexity is not null").join(trusted.select("doc_id"), "doc_id", "left_semi")
