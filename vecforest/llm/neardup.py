@@ -9,9 +9,11 @@
    share one of the sketch's first k - LEAST_SHARED + 1 values in any common
    order; rare values come first. Inverted lists of these values give overlaps.
 3. Short lists compare all their members, at most SHORT each. Long lists first
-   compare every member with a few hubs; those found similar become components.
-   Only where a long list still holds several components are its members compared
-   block against block, and only across components.
+   compare every member with a hub, the least changed copy; those found similar
+   become components. Where a long list still holds several components, its members
+   are compared block against block, by wider sketches and only across components.
+   The likeliest pair of two components goes on first; this is repeated until no
+   pair is left that was not tried.
 4. The sketch of the union filters candidates, and the full sets confirm links by
    100 * intersection >= 75 * union in whole numbers.
 
@@ -36,6 +38,8 @@ from vecforest.llm.components import components
 from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles
 
 K, LEAST_SHARED, SHORT, BLOCK = 64, 30, 16, 1024
+#: The wider sketch, of 32-bit values, by which blocks of long lists are compared: whole sets up to this size.
+WIDE, WIDE_SHARED = 256, 155
 #: Similarity as a fraction of whole numbers.
 PART, WHOLE = 75, 100
 NONE = np.uint32(0xFFFFFFFF)
@@ -55,7 +59,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), two fingerprints of the set, and the sketch (ascending 64-bit hashes)."""
+    """doc_id, n (set size), two fingerprints of the set, the sketch (ascending 64-bit hashes), and the wide sketch (32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _parts(batches):
@@ -64,9 +68,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(val)])
             twice = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(val ^ np.uint64(0x5851F42D4C957F2D)))])
             one, two = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in (sums, twice))
-            yield pa.record_batch([ids, pa.array(n), pa.array(one), pa.array(two), _binary([val[a : min(b, a + K)] for a, b in zip(at[:-1], at[1:], strict=True)])], ["doc_id", "n", "one", "two", "sketch"])
+            yield pa.record_batch([ids, pa.array(n), pa.array(one), pa.array(two), _binary([val[a : min(b, a + K)] for a, b in zip(at[:-1], at[1:], strict=True)]), _binary([(val[a : min(b, a + WIDE)] >> np.uint64(32)).astype(np.uint32) for a, b in zip(at[:-1], at[1:], strict=True)])], ["doc_id", "n", "one", "two", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, one long, two long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, one long, two long, sketch binary, wide binary")
 
 
 def values_of(reps: DataFrame) -> DataFrame:
@@ -80,8 +84,9 @@ def values_of(reps: DataFrame) -> DataFrame:
 
 
 def index_rows(reps: DataFrame) -> DataFrame:
-    """Rows (v, rep, n, small, before) of the inverted lists.
+    """Rows (v, rep, n, weight, small, before) of the inverted lists.
 
+    weight: how common the document's values are, most for the least changed copy;
     small: the sketch as 32-bit values, padded; before: those of the document's
     earlier list values, by which a pair is compared in its first common list only.
     """
@@ -91,8 +96,8 @@ def index_rows(reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(s, 500) for b in batches for s in range(0, len(b), 500)):
-            v, rep, n, small, before = [], [], [], [], []
-            for r, size, sketch, shared in zip(batch["rep"].to_pylist(), batch["n"].to_pylist(), batch["sketch"].to_pylist(), batch["v"].to_pylist(), strict=True):
+            v, rep, n, weight, small, before = [], [], [], [], [], []
+            for r, size, sketch, w, shared in zip(batch["rep"].to_pylist(), batch["n"].to_pylist(), batch["sketch"].to_pylist(), batch["weight"].to_pylist(), batch["v"].to_pylist(), strict=True):
                 have = len(sketch) // 8
                 prefix = have - min(-(-PART * size // WHOLE), LEAST_SHARED) + 1
                 take = shared[: max(0, prefix - (have - len(shared)))]
@@ -102,23 +107,29 @@ def index_rows(reps: DataFrame) -> DataFrame:
                 v += take
                 rep += [r] * len(take)
                 n += [size] * len(take)
+                weight += [w] * len(take)
                 small += [padded.tobytes()] * len(take)
                 before += [short[:i].tobytes() for i in range(len(take))]
-            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.array(before, pa.binary())], ["v", "rep", "n", "small", "before"])
+            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64()), pa.array(small, pa.binary()), pa.array(before, pa.binary())], ["v", "rep", "n", "weight", "small", "before"])
 
-    wide = reps.join(shared, "rep").select("rep", "n", "sketch", F.col("shared.v").alias("v"))
-    return wide.mapInArrow(run, "v long, rep long, n long, small binary, before binary")
+    wide = reps.join(shared, "rep").select("rep", "n", "sketch", F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"), F.col("shared.v").alias("v"))
+    return wide.mapInArrow(run, "v long, rep long, n long, weight long, small binary, before binary")
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sketch of the union allows the threshold, for rows of padded sketches."""
+def shared_part(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of padded sketches: how many of the union's k least values both have, and how many values that sketch of the union has."""
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
     real = both != NONE
     twin = np.zeros(both.shape, bool)
     twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
     rank = np.cumsum(real & ~twin, axis=1)
     union = rank[:, -1]
-    shared = (twin & (rank <= K)).sum(axis=1)
+    return (twin & (rank <= k)).sum(axis=1), np.minimum(union, k)
+
+
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketch of the union allows the threshold."""
+    shared, union = shared_part(a, b, K)
     return np.where(union < K, WHOLE * shared >= PART * union, shared >= LEAST_SHARED)
 
 
@@ -192,61 +203,75 @@ def _meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
-    """Each member of a long list with the list's most and least id, and with the smallest ids that share its first one or two sketch values."""
-    rows = rows.select("v", "rep", F.substring("small", 1, 4).alias("s1"), F.substring("small", 1, 8).alias("s2"))
-    out = None
-    for keys in (["v"], ["v", "s1"], ["s2"]):
-        hubs = rows.groupBy(*keys).agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-        met = rows.join(hubs, keys)
-        for hub in ("low", "high"):
-            pair = met.filter(F.col("rep") != F.col(hub)).select(F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b"))
-            out = pair if out is None else out.unionByName(pair)
-    return out.distinct()
-
-
-def block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Candidate pairs of different components of a list: rows (v, rep, n, small, component), sizes (v, blocks).
-
-    A list is cut into blocks by hash, and two blocks at a time are compared.
+    """Each member of a long list with the list's least changed document, and with the smallest id that shares its first two sketch values."""
+    rows = rows.select("v", "rep", "weight", F.substring("small", 1, 8).alias("s"))
+    by_list = rows.join(rows.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("hub")), "v").select("rep", (-F.col("hub.rep")).alias("hub"))
+    once = rows.select("rep", "s").distinct()
+    by_sketch = once.join(once.groupBy("s").agg(F.min("rep").alias("hub")), "s").select("rep", "hub")
+    met = by_list.unionByName(by_sketch).filter("rep <> hub")
+    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def block_pairs(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs of different components of a list: rows (v, rep, n, wide, component), sizes (v, blocks).
+
+    A list is cut into blocks by hash, and two blocks at a time are compared. Of two
+    components a task sends the `most` likeliest pairs: a, b, and whether it has more.
     """
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (
         rows.join(sizes, "v").withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        .select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "small", "component")
+        .select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "wide", "component")
     )
+    width = 8192
 
     def run(t: pa.Table) -> pa.Table:
         rep, n, comp, block = (t[c].to_numpy() for c in ("rep", "n", "component", "block"))
-        small = np.frombuffer(b"".join(t["small"].to_pylist()), np.uint32).reshape(-1, K)
-        i0, j0 = t["i"][0].as_py(), t["j"][0].as_py()
-        left = np.flatnonzero(block == i0)
-        right = left if i0 == j0 else np.flatnonzero(block == j0)
-        value, inverse, count = np.unique(small, return_inverse=True, return_counts=True)
-        column = np.cumsum((count > 1) & (value != NONE)) - 1
-        column[(count == 1) | (value == NONE)] = -1
-        column = column[inverse.reshape(small.shape)]
-        found = []
-        for s in range(0, len(left), 256):
-            overlap = np.zeros((len(left[s : s + 256]), len(right)), np.int32)
-            for base in range(0, max(1, column.max(initial=0) + 1), 8192):
-                def dense(r: np.ndarray) -> np.ndarray:
-                    m = np.zeros((len(r), 8192), np.float32)
-                    c = column[r] - base
-                    row, pos = np.nonzero((c >= 0) & (c < 8192))
-                    m[row, c[row, pos]] = 1
-                    return m
-                overlap += (dense(left[s : s + 256]) @ dense(right).T).astype(np.int32)
-            need = np.minimum(LEAST_SHARED, -(-PART * np.maximum.outer(n[left[s : s + 256]], n[right]) // WHOLE))
-            i, j = np.nonzero(overlap >= need)
-            i, j = left[s : s + 256][i], right[j]
-            keep = (comp[i] != comp[j]) & (rep[i] < rep[j] if i0 == j0 else True)
-            i, j = i[keep], j[keep]
-            at = _candidates(small, n, i, j)
-            found.append(pa.Table.from_batches([_pairs(rep[i[at]], rep[j[at]])]))
-        return pa.concat_tables(found)
-
-    return dealt.groupBy("v", "i", "j").applyInArrow(run, PAIRS).distinct()
+        wide = np.full((len(t), WIDE), NONE)
+        for r, x in enumerate(t["wide"].to_pylist()):
+            wide[r, : len(x) // 4] = np.frombuffer(x, np.uint32)
+        left = np.flatnonzero(block == t["i"][0].as_py())
+        same = t["i"][0].as_py() == t["j"][0].as_py()
+        right = left if same else np.flatnonzero(block == t["j"][0].as_py())
+        value, inverse, count = np.unique(wide, return_inverse=True, return_counts=True)
+        useful = (count > 1) & (value != NONE)
+        column = np.where(useful, np.cumsum(useful) - 1, -1)[inverse.reshape(wide.shape)]
+
+        def dense(r: np.ndarray, base: int) -> np.ndarray:
+            m = np.zeros((len(r), min(width, int(useful.sum()) - base)), np.float32)
+            c = column[r] - base
+            row, pos = np.nonzero((c >= 0) & (c < width))
+            m[row, c[row, pos]] = 1
+            return m
+
+        pairs = []
+        for some in (left[s : s + 256] for s in range(0, len(left), 256)):
+            overlap = np.zeros((len(some), len(right)), np.float32)
+            for base in range(0, int(useful.sum()), width):
+                overlap += dense(some, base) @ dense(right, base).T
+            need = np.minimum(WIDE_SHARED, -(-PART * np.maximum.outer(n[some], n[right]) // WHOLE))
+            keep = (overlap >= need) & (comp[some][:, None] != comp[right][None])
+            if same:
+                keep &= rep[some][:, None] < rep[right][None]
+            i, j = np.nonzero(keep)
+            i, j = some[i], right[j]
+            for s in range(0, len(i), 8000):
+                x, y = i[s : s + 8000], j[s : s + 8000]
+                shared, union = shared_part(wide[x], wide[y], WIDE)
+                fits = sizes_fit(n[x], n[y]) & np.where(union < WIDE, WHOLE * shared >= PART * union, shared >= WIDE_SHARED)
+                pairs.append((x[fits], y[fits], (shared / np.maximum(union, 1))[fits]))
+        i, j, score = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (left[:0], left[:0], np.zeros(0))
+        low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        order = np.lexsort((rep[j], rep[i], -score, high, low))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        start = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(i) else i
+        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        keep = rank < most
+        out = _pairs(rep[i[keep]], rep[j[keep]])
+        return pa.Table.from_batches([out]).append_column("more", pa.array(np.full(len(out), bool((~keep).any()))))
+
+    return dealt.groupBy("v", "i", "j").applyInArrow(run, PAIRS + ", more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -296,9 +321,9 @@ def near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     docs = text_rows(df, id_col, text_col)
     made = table(sketches(docs, width), "sketches")
-    classes = made.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = made.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     reps = table(classes, "reps")
-    rows = table(index_rows(reps), "lists")
+    rows = table(index_rows(reps.drop("wide")), "lists")
     sizes = rows.groupBy("v").count()
     short = short_pairs(rows.join(sizes.filter(f"count > 1 and count <= {SHORT}"), "v").drop("count"))
     long_sizes = table(sizes.filter(f"count > {SHORT}"), "long")
@@ -306,14 +331,24 @@ def near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_
     first = table(short.unionByName(filtered(hub_pairs(long), reps)).distinct(), "pairs")
     links = table(confirmed(first, docs, width), "links")
     found = components(links)
-    # Long lists that are not yet one component.
+    # Long lists that are not yet one component. A pair that was tried is not tried again; the search ends when no list has another.
     label = F.coalesce("component", "rep").alias("component")
-    labelled = long.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", "small", label)
-    several = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count")).filter("low <> high")
-    blocks = several.select("v", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    second = table(block_pairs(labelled, blocks).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        found = components(links.unionByName(confirmed(second, docs, width)))
+    tried, most = first, 1
+    while True:
+        labelled = long.select("v", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", label)
+        several = table(labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count")).filter("low <> high"), "several")
+        blocks = several.select("v", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+        open_rows = labelled.join(several.select("v"), "v", "left_semi").join(reps.select("rep", "wide"), "rep")
+        likely = table(block_pairs(open_rows, blocks, most), "pairs")
+        fresh = table(likely.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        if fresh.isEmpty():
+            if likely.filter("more").isEmpty():
+                break
+            most *= 16
+            continue
+        links = links.unionByName(table(confirmed(fresh, docs, width), "links"))
+        found = components(links)
+        tried = tried.unionByName(fresh)
     members = made.select("doc_id", "n", "one", "two").join(reps.select("n", "one", "two", "rep"), ["n", "one", "two"], "left")
     out = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
