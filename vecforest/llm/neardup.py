@@ -12,8 +12,8 @@
    compare every member with a hub, the least changed copy; those found similar
    become components. Where a long list still holds several components, its members
    are compared block against block, by wider sketches and only across components.
-   The likeliest pair of two components goes on first; this is repeated until no
-   pair is left that was not tried.
+   The likeliest pair of two components goes on first, then more of them, where a
+   list has more, until every pair was tried.
 4. The sketch of the union filters candidates, and the full sets confirm links by
    100 * intersection >= 75 * union in whole numbers.
 
@@ -216,7 +216,7 @@ def block_pairs(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Candidate pairs of different components of a list: rows (v, rep, n, wide, component), sizes (v, blocks).
 
     A list is cut into blocks by hash, and two blocks at a time are compared. Of two
-    components a task sends the `most` likeliest pairs: a, b, and whether it has more.
+    components a task sends the `most` likeliest pairs: v, a, b, and whether it has more.
     """
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (
@@ -269,9 +269,10 @@ def block_pairs(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
         rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
         keep = rank < most
         out = _pairs(rep[i[keep]], rep[j[keep]])
-        return pa.Table.from_batches([out]).append_column("more", pa.array(np.full(len(out), bool((~keep).any()))))
+        rows = pa.Table.from_batches([out]).append_column("more", pa.array(np.full(len(out), bool((~keep).any()))))
+        return rows.append_column("v", pa.array(np.full(len(out), t["v"][0].as_py(), np.int64)))
 
-    return dealt.groupBy("v", "i", "j").applyInArrow(run, PAIRS + ", more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.groupBy("v", "i", "j").applyInArrow(run, PAIRS + ", more boolean, v long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -331,24 +332,25 @@ def near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_
     first = table(short.unionByName(filtered(hub_pairs(long), reps)).distinct(), "pairs")
     links = table(confirmed(first, docs, width), "links")
     found = components(links)
-    # Long lists that are not yet one component. A pair that was tried is not tried again; the search ends when no list has another.
+    # Long lists that are not yet one component. The likeliest pairs of two components that
+    # merge later are among those tried before, so a list goes on only if it had more pairs.
     label = F.coalesce("component", "rep").alias("component")
-    tried, most = first, 1
+    tried, most, todo = first, 1, long_sizes.select("v")
     while True:
-        labelled = long.select("v", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", label)
+        labelled = rows.join(todo, "v", "left_semi").select("v", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", label)
         several = table(labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("count")).filter("low <> high"), "several")
         blocks = several.select("v", F.ceil(F.col("count") / BLOCK).alias("blocks"))
         open_rows = labelled.join(several.select("v"), "v", "left_semi").join(reps.select("rep", "wide"), "rep")
         likely = table(block_pairs(open_rows, blocks, most), "pairs")
-        fresh = table(likely.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-        if fresh.isEmpty():
-            if likely.filter("more").isEmpty():
-                break
-            most *= 16
-            continue
-        links = links.unionByName(table(confirmed(fresh, docs, width), "links"))
-        found = components(links)
-        tried = tried.unionByName(fresh)
+        fresh = table(likely.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            links = links.unionByName(table(confirmed(fresh, docs, width), "links"))
+            found = components(links)
+            tried = tried.unionByName(fresh)
+        todo = table(likely.filter("more").select("v").distinct(), "todo")
+        if todo.isEmpty():
+            break
+        most *= 16
     members = made.select("doc_id", "n", "one", "two").join(reps.select("n", "one", "two", "rep"), ["n", "one", "two"], "left")
     out = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
