@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import brute
 import numpy as np
@@ -233,6 +234,50 @@ def test_repeated_lines_against_a_plain_version(docs, texts):
     assert by_id(lines.without_repeated_lines(docs), "n_chunks", "n_removed_chunks", "n_removed_lines") == want
 
 
+def repeated_runs(texts):
+    """What is left of each text: all runs of whole lines with two or more non-empty ones are looked up, longest and shortest, and go but for the first place."""
+    first, gone = {}, collections.defaultdict(set)
+    for i in sorted(texts):
+        rows = (texts[i] or "").split("\n")
+        for a in range(len(rows)):
+            for b in range(a + 2, len(rows) + 1):
+                run = tuple(rows[a:b])
+                if run[0] and run[-1]:
+                    j, c = first.setdefault(run, (i, a))
+                    gone[i] |= set(range(a, b)) - (set(range(c, c + b - a)) if j == i else set())
+    left = {}
+    for i, text in texts.items():
+        rows = (text or "").split("\n")
+        left[i] = "".join(r + "\n" * (n < len(rows) - 1) for n, r in enumerate(rows) if n not in gone[i])
+    return left, {i: len(gone[i]) for i in texts}
+
+
+@pytest.mark.parametrize("options", [{}, {"hash_bits": 3}])
+def test_repeated_lines_against_brute_force(spark, options):
+    """Passages of 2 to 12 lines between different lines, runs of equal lines, periods, empty lines; with three bits of hash all bytes must be compared."""
+    rnd = random.Random(11)
+    texts, passages = {}, [[f"passage {n} line {k}" for k in range(n)] for n in range(2, 13)]
+    for i in range(40):
+        rows = [f"own {i} a"]
+        for k in range(rnd.randint(0, 3)):
+            rows += [*rnd.choice(passages), f"own {i} {k}"]
+        texts[i] = "\n".join(rows) + "\n" * rnd.randint(0, 2)
+    for i in range(40, 70):
+        texts[i] = "\n".join(rnd.choice(["", "a", "b", "ä", f"own {i}"]) for _ in range(rnd.randint(0, 14)))
+    texts |= {70: "\n".join(["same"] * 9), 71: "x\n" + "same\n" * 3 + "y", 72: "r\ns\nt\n" * 7, 73: "q\nq\nq", 74: None, 75: "last\n\nend", 76: "z\nlast\n\nend\n"}
+    got = lines.without_repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), **options).collect()
+    left, gone = repeated_runs(texts)
+    assert {r.doc_id: r.kept_text for r in got} == left
+    assert {r.doc_id: r.n_removed_lines for r in got} == gone
+
+
+def test_chunks_of_lines_have_two_filled_lines():
+    raw = "\n".join(["one", "", "two", *["same"] * 8, *["p", "q", "r"] * 5, "", "end"]).encode()
+    found = textops_chunks(raw)
+    assert min(f for *_, f in found) > 1 and sum(c for _, _, c, _ in found) == raw.count(b"\n") + 1
+    assert [raw[b:e] for b, e, _, _ in found].count(b"p\nq\nr") >= 4
+
+
 def textops_chunks(raw):
     found = lines.line_chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lines.WINDOW, lines.LINES_A_CHUNK)
     return list(zip(*(found[c].tolist() for c in (2, 3, 4, 5)), strict=True))

@@ -1,15 +1,22 @@
-"""Repeated runs of lines, found by content-defined chunks.
-
-A rolling hash over the hashes of WINDOW lines ends a chunk where it meets a fixed
-pattern, so that chunks fall into step again after inserted or lost lines. Chunks
-of two or more lines that are not empty are compared over the corpus: first by
-hash, in narrow rows, then by their bytes, which only repeated hashes send. Of
-equal chunks the first stays: the smallest id, then the first place.
-
-Defined results: null text counts as empty; lines end at line feeds, and a chunk's
-bytes are compared without its last line feed; a null id comes after all others;
-rows with the same id and text are told apart by nothing, so their first chunks
-stay in both; an empty table gives an empty result.
+"""Repeated runs of lines, found by rolling hashes over two lines.
+
+A run of two or more lines that are not empty, with the empty lines between them,
+goes where the same bytes stand at an earlier place: a smaller id, then nearer the
+start of the text. Every such run is a union of windows that reach from one line that
+is not empty to the next, so all windows are compared over the corpus: first by hash,
+in narrow rows, then by their bytes, which only repeated hashes send. The first
+window stays; of three or more equal lines in a row, two stay. A line's first place
+in the corpus never goes. Empty lines before and after a run stay.
+
+Content-defined chunks are counted beside that: a rolling hash over the hashes of
+WINDOW lines ends a chunk where it meets a fixed pattern, a chunk has two lines that
+are not empty unless its text has fewer, and in periodic lines a chunk is a period.
+A chunk counts as removed if all of it lies in removed lines.
+
+Defined results: null text counts as empty; lines end at line feeds, and bytes are
+compared without the last line feed; a null id comes after all others; rows with the
+same id and text are told apart by nothing, so their first windows stay in both; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,19 +33,55 @@ from vecforest.llm.common import split_by, table, whole_text
 from vecforest.llm.textops import RollingHash, buffer_of, mix, parts_by_bytes
 
 WINDOW, LINES_A_CHUNK = 2, 4
-CHUNKS = "key long, doc_id long, chunk int, begin int, end int, lines int, hash long"
+#: Longest period, in lines, that ends chunks.
+PERIOD = 8
+WINDOWS = "key long, doc_id long, begin int, second int, end int, hash long"
 
 
-def line_chunks(raw: np.ndarray, off: np.ndarray, window: int, lines: int) -> tuple[np.ndarray, ...]:
-    """For each chunk: document, number in it, begin and end in the buffer (the end without the last line feed), lines, lines that are not empty, hash."""
+def text_lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line: document, begin and end in the buffer, the end without its line feed."""
     feed = np.flatnonzero(raw == 0x0A)
     start = np.union1d(feed + 1, off[:-1])
     start = start[start < len(raw)]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     doc = np.searchsorted(off, start, side="right") - 1
     end = np.minimum(np.append(start[1:], len(raw)), off[doc + 1])
-    bare = end - (raw[end - 1] == 0x0A)
+    return doc, start, end - (raw[end - 1] == 0x0A)
+
+
+def line_windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each two lines that are not empty and have only empty lines between them: document, begin of both, end of the second without its line feed, hash."""
+    doc, start, bare = text_lines(raw, off)
+    full = np.flatnonzero(bare > start)
+    one, two = full[:-1], full[1:]
+    same = doc[one] == doc[two]
+    one, two = one[same], two[same]
+    return doc[one], start[one], start[two], bare[two], RollingHash(raw).of(start[one], bare[two]).view(np.int64)
+
+
+def periodic_ends(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines in two or more periods of up to PERIOD lines, and those of them that end a period, counted from the first line of the run; a period of one line ends at every second."""
+    n = np.arange(len(h))
+    inside, ends = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    for p in range(1, PERIOD + 1):
+        same = (n - p >= first) & (h == h[np.maximum(n - p, 0)])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            a -= p
+            if b - a >= max(2 * p, 3) and not inside[a:b].any():
+                inside[a:b] = True
+                ends[a + max(p, 2) - 1 : b : max(p, 2)] = True
+                if a:
+                    ends[a - 1] = True
+    return inside, ends
+
+
+def line_chunks(raw: np.ndarray, off: np.ndarray, window: int, lines: int) -> tuple[np.ndarray, ...]:
+    """For each chunk: document, number in it, begin and end in the buffer (the end without the last line feed), lines, lines that are not empty, hash."""
+    doc, start, bare = text_lines(raw, off)
+    if not len(start):
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     rolling = RollingHash(raw)
     h = rolling.of(start, bare)
     first = np.searchsorted(start, off[:-1])[doc]  # the first line of each line's document
@@ -49,17 +92,42 @@ def line_chunks(raw: np.ndarray, off: np.ndarray, window: int, lines: int) -> tu
             at = n - back
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + np.where(at >= first, h[np.maximum(at, 0)], np.uint64(0))
     last = (mix(rolled) % np.uint64(lines) == 0) & (n - first >= window - 1)
-    last[:-1] |= doc[1:] != doc[:-1]
-    last[-1] = True
-    stop = np.flatnonzero(last)
-    begin = np.append(0, stop[:-1] + 1)
+    inside, period = periodic_ends(h, first)
+    last = np.where(inside, period, last | period)
+    closing = np.append(doc[1:] != doc[:-1], True)
     filled = np.append(0, np.cumsum(bare > start))
+    ends = np.flatnonzero(last | closing)
+    stop: list[int] = []
+    since, opened = 0, True  # filled lines before this chunk; no chunk of this document yet
+    for e, f, c in zip(ends.tolist(), filled[ends + 1].tolist(), closing[ends].tolist(), strict=True):
+        if f - since > 1:
+            stop.append(e)
+            since, opened = f, False
+        elif c and not opened:
+            stop[-1] = e  # what is too short at the end of a text goes to the chunk before
+        elif c:
+            stop.append(e)
+        if c:
+            since, opened = f, True
+    stop = np.array(stop)
+    begin = np.append(0, stop[:-1] + 1)
     d = doc[begin]
     return d, np.arange(len(d)) - np.searchsorted(d, d), start[begin], bare[stop], stop - begin + 1, filled[stop + 1] - filled[begin], rolling.of(start[begin], bare[stop]).view(np.int64)
 
 
-def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, lines: int = LINES_A_CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, n_removed_bytes, kept_sha256, kept_text, row (the kept columns)."""
+def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges of whole lines (ends without line feeds), those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(ranges):
+        if out and begin <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
+def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, lines: int = LINES_A_CHUNK, hash_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, n_removed_bytes, kept_sha256, kept_text, row (the kept columns). The result does not depend on hash_bits."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
@@ -68,31 +136,44 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
             done = 0
             for part in parts_by_bytes(batch["text"]):
                 raw, off = buffer_of(part)
-                found = line_chunks(raw, off, window, lines)
-                doc, chunk, begin, end, count, _, h = (c[found[5] > 1] for c in found)
+                doc, begin, second, end, h = line_windows(raw, off)
                 at = pa.array(doc + done)
                 done += len(part)
-                yield pa.record_batch([batch["key"].take(at), batch["doc_id"].take(at), *(pa.array(c.astype(np.int32)) for c in (chunk, begin - off[doc], end - off[doc], count)), pa.array(h)], [c.split()[0] for c in CHUNKS.split(", ")])
+                yield pa.record_batch([batch["key"].take(at), batch["doc_id"].take(at), *(pa.array((c - off[doc]).astype(np.int32)) for c in (begin, second, end)), pa.array(h >> (64 - hash_bits))], [c.split()[0] for c in WINDOWS.split(", ")])
 
-    chunks = table(rows.select("key", "doc_id", "text").mapInArrow(find, CHUNKS), "chunks")
-    twice = chunks.groupBy("hash").count().filter("count > 1").select("hash")
-    per_text = table(chunks.join(twice, "hash").groupBy("key").agg(F.collect_set(F.struct("chunk", "doc_id", "begin", "end", "lines", "hash")).alias("chunks")), "asked")
+    windows = table(rows.select("key", "doc_id", "text").mapInArrow(find, WINDOWS), "windows")
+    twice = windows.groupBy("hash").count().filter("count > 1").select("hash")
+    per_text = table(windows.join(twice, "hash").groupBy("key").agg(F.collect_set(F.struct("doc_id", "begin", "second", "end", "hash")).alias("windows")), "asked")
     texts, _ = split_by(rows.select("key", "text"), "key", per_text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(s, 100) for b in batches for s in range(0, len(b), 100)):
-            for key, text, found in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["chunks"].to_pylist(), strict=True):
-                raw = text.encode()
-                columns = [pa.array([c[n] for c in found], t) for n, t in (("doc_id", pa.int64()), ("chunk", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("lines", pa.int32()))]
-                yield pa.record_batch([pa.array([key] * len(found), pa.int64()), *columns, pa.array([raw[c["begin"] : c["end"]] for c in found], pa.binary())], ["key", "doc_id", "chunk", "begin", "end", "lines", "bytes"])
-
-    sent = per_text.join(texts, "key").select("key", "text", "chunks").mapInArrow(cut, "key long, doc_id long, chunk int, begin int, end int, lines int, bytes binary")
-    sent = table(sent, "bytes")
-    # The bytes themselves are compared. Each task sends one row for equal chunks; members meet the first in a join that Spark can split.
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("chunk"))
-    firsts = sent.groupBy("bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = sent.join(firsts, "bytes").filter(place != F.col("first")).groupBy("key").agg(F.collect_set(F.struct("begin", "end", "lines")).alias("gone"))
-    gone = table(gone, "gone")
+        for batch in batches:
+            done = 0
+            for part in parts_by_bytes(batch["text"]):
+                raw, off = buffer_of(part)
+                asked = batch["windows"].slice(done, len(part))
+                text = np.repeat(np.arange(len(part)), asked.value_lengths().to_numpy())
+                found = asked.flatten()
+                begin, end = (found.field(c).to_numpy() + off[text] for c in ("begin", "end"))
+                ends = np.append(0, np.cumsum(end - begin))
+                data = raw[np.repeat(begin - ends[:-1], end - begin) + np.arange(ends[-1])]
+                cuts = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.record_batch([batch["key"].take(pa.array(text + done)), *(found.field(c) for c in ("doc_id", "begin", "second", "end", "hash")), cuts], ["key", "doc_id", "begin", "second", "end", "hash", "bytes"])
+                done += len(part)
+
+    sent = per_text.join(texts, "key").select("key", "text", "windows").mapInArrow(cut, f"{WINDOWS}, bytes binary")
+    # The bytes themselves are compared: where the least and the greatest of a hash agree, all are equal. Each task sends one row for each hash; members meet the first in a join that Spark can split.
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("begin"), F.col("end"))
+    firsts = table(sent.groupBy("hash").agg(F.min(place).alias("first"), (F.min("bytes") != F.max("bytes")).alias("mixed")), "firsts")
+    member = per_text.select("key", F.inline("windows")).join(firsts.filter("not mixed"), "hash")
+    mixed = firsts.filter("mixed").select("hash")
+    if not mixed.isEmpty():  # different bytes of one hash: told apart by the bytes
+        apart = sent.join(mixed, "hash")
+        member = member.drop("mixed").unionByName(apart.join(apart.groupBy("hash", "bytes").agg(F.min(place).alias("first")), ["hash", "bytes"]).drop("bytes"))
+    # The line that a window shares with its own first stays.
+    shared = (F.col("key") == F.col("first.key")) & (F.col("begin") <= F.col("first.end"))
+    range_ = F.struct(F.when(shared, F.col("second")).otherwise(F.col("begin")).alias("begin"), "end")
+    gone = table(member.filter(place != F.col("first")).groupBy("key").agg(F.collect_set(range_).alias("gone")), "gone")
     some, rest = split_by(rows, "key", gone)
     none = F.lit(None).cast(gone.schema["gone"].dataType)
     ready = some.join(gone, "key", "left").select("doc_id", "text", "row", "gone").unionByName(rest.select("doc_id", "text", "row", none.alias("gone")))
@@ -101,20 +182,24 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            n_chunks: list[int] = []
+            chunks: list[tuple[np.ndarray, np.ndarray]] = []
             for part in parts_by_bytes(batch["text"]):
-                d = line_chunks(*buffer_of(part), window, lines)[0]
-                n_chunks += np.bincount(d, minlength=len(part)).tolist()
-            for text, chunks, gone in zip(batch["text"].to_pylist(), n_chunks, batch["gone"].to_pylist(), strict=True):
+                raw, off = buffer_of(part)
+                d, _, begin, end, *_ = line_chunks(raw, off, window, lines)
+                at = np.searchsorted(d, np.arange(1, len(part)))
+                chunks += zip(np.split(begin - off[d], at), np.split(end - off[d], at), strict=True)
+            for text, (begins, ends), gone in zip(batch["text"].to_pylist(), chunks, batch["gone"].to_pylist(), strict=True):
                 raw = text.encode()
-                gone = sorted((g["begin"], g["end"], g["lines"]) for g in gone or ())
-                kept, at = [], 0
-                for begin, end, _ in gone:
+                gone = joined_ranges([(g["begin"], g["end"]) for g in gone or ()])
+                kept, at, n_gone, chunks_gone = [], 0, 0, 0
+                for begin, end in gone:
                     kept.append(raw[at:begin])
                     at = min(len(raw), end + 1)
+                    n_gone += raw.count(b"\n", begin, end) + 1
+                    chunks_gone += int(((begins >= begin) & (ends <= end)).sum())
                 kept = b"".join([*kept, raw[at:]])
                 n = raw.count(b"\n") + (bool(raw) and not raw.endswith(b"\n"))
-                out.append((n, chunks, len(gone), sum(g[2] for g in gone), len(raw) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode() if gone else text))
+                out.append((n, len(begins), chunks_gone, n_gone, len(raw) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode() if gone else text))
             types = [pa.int64()] * 5 + [pa.string()] * 2
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.record_batch([batch["doc_id"], *columns, batch["row"]], ["doc_id", *fields, "kept_sha256", "kept_text", "row"])
