@@ -51,6 +51,26 @@ def test_k_means_of_pairs_and_of_equal_vectors(spark, pairs):
     assert sorted(r.doc_id for r in C.spherical_k_means(same, 4)[0].collect()) == [0, 1, 2, 3]
 
 
+def test_k_means_query_runs_to_its_stop(spark):
+    """Plain k-means with four centres until no label changes, or 30 rounds."""
+    from vecforest import queries as Q
+
+    rows = sorted(Q.vecs(spark, "/root/testdata/sf0.01").select("doc_id", "vector").collect())
+    x = np.array([r.vector for r in rows])
+    centres, labels = x[:1], None
+    while len(centres) < 4:
+        centres = np.vstack([centres, x[np.round(x @ centres.T, 9).max(1).argmin()]])
+    for _ in range(30):
+        before, labels = labels, np.round(x @ centres.T, 9).argmax(1)
+        assert set(labels) == {0, 1, 2, 3}
+        if before is not None and (before == labels).all():
+            break
+        centres = np.array([x[labels == c].sum(0) for c in range(4)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    got = {r.doc_id: r.cluster for r in Q.QUERIES["spherical_k_means"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r.doc_id: c for r, c in zip(rows, labels.tolist(), strict=True)}
+
+
 def test_linkage_of_pairs(pairs):
     rows = sorted((r.step, r.score) for r in C.average_linkage(pairs, "root").collect())
     x = np.array([unit(1, 0), unit(0.99, 0.1), unit(0, 1), unit(0.1, 0.99)])

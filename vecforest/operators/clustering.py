@@ -139,7 +139,8 @@ def spherical_k_means(vecs: DataFrame, k: int, rounds: int = 30) -> tuple[DataFr
 
     The first centre is the row with the smallest id, each further one the row that
     is least like the centres so far (ties: smallest id). An empty cluster takes the
-    row that is farthest from its own centre.
+    row that is farthest from its own centre. The labels are those of the last round,
+    where none changed any more or `rounds` were made.
     """
     rows = vecs.select("doc_id", "vector")
     n = rows.count()
@@ -171,7 +172,7 @@ def spherical_k_means(vecs: DataFrame, k: int, rounds: int = 30) -> tuple[DataFr
     while len(centres) < k:
         best = scan(centres, "own double, id long, x array<double>", farthest).orderBy("own", "id").first()
         centres = np.vstack([centres, best.x])
-    for _ in range(rounds):
+    for _ in range(rounds - 1):
         out = scan(centres, "cluster long, sum array<double>, n long", partial)
         summed = out.select("cluster", "n", F.posexplode("sum").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         sums, count = np.zeros_like(centres), np.zeros(len(centres))

@@ -558,7 +558,7 @@ def identity_shards(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def spherical_k_means(s: SparkSession, d: str) -> DataFrame:
-    return C.spherical_k_means(vecs(s, d), 4, 10)[0]
+    return C.spherical_k_means(vecs(s, d), 4)[0]
 
 
 @query()
