@@ -90,6 +90,63 @@ def test_protected_groups_join_small_parts(spark):
     assert {r.part for r in C.protected_groups(v, "root", 0.98, 2).collect()} == {0}
 
 
+@pytest.fixture(scope="module")
+def large_groups(spark):
+    """Groups of 90, 60 and 8 rows, with 40 equal vectors in the first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(158, 8)) + rng.normal(size=(6, 8))[rng.integers(6, size=158)]
+    x[10:50] = x[10]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, [0] * 90 + [1] * 60 + [2] * 8, frame(spark, [(i, v, 0, 0 if i < 90 else 1 if i < 150 else 2) for i, v in enumerate(x.tolist())])
+
+
+def plain_linkage(x):
+    """All merges one by one, each score the mean over all cross pairs."""
+    s, groups, out = x @ x.T, {i: [i] for i in range(len(x))}, []
+    while len(groups) > 1:
+        pairs = [(-round(float(s[np.ix_(groups[a], groups[b])].mean()), 11), min(groups[a] + groups[b]), max(groups[a][0], groups[b][0]), a, b) for a in groups for b in groups if groups[a][0] < groups[b][0]]
+        score, *_, a, b = min(pairs)
+        merged = sorted(groups.pop(a) + groups.pop(b))
+        groups[len(x) + len(out)] = merged
+        out.append((a, b, -score, merged))
+    return out
+
+
+def test_linkage_of_large_groups_is_the_one_by_one_linkage(large_groups):
+    x, label, v = large_groups
+    got = C.average_linkage(v, "root", 12).collect()
+    for g in range(3):
+        mine = x[[i for i in range(158) if label[i] == g]]
+        rows = sorted((r.step, r.left, r.right, r["size"], r.score) for r in got if r.root == str(g))
+        want = plain_linkage(mine)
+        assert [r[:4] for r in rows] == [(i, a, b, len(m)) for i, (a, b, _, m) in enumerate(want)]
+        assert [r[4] for r in rows] == pytest.approx([w[2] for w in want], abs=1e-9)
+
+
+def test_linkage_keeps_a_null_group(large_groups):
+    v = large_groups[2].withColumn("root", F.when(F.col("root") != "0", F.col("root")))
+    assert C.average_linkage(v, "root", 12).filter("root IS NULL").count() == 89
+    assert C.protected_groups(v, "root", 0.6, 3, 12).filter("root IS NULL").count() == 90
+
+
+def test_parts_of_large_groups(large_groups):
+    x, label, v = large_groups
+    got = {r.doc_id: (r.root, r.part) for r in C.protected_groups(v, "root", 0.6, 3, 12).collect()}
+    for g in range(3):
+        ids = [i for i in range(158) if label[i] == g]
+        s = x[ids] @ x[ids].T
+        parts = {i: [i] for i in range(len(ids))}
+        for k, (a, b, score, m) in enumerate(plain_linkage(x[ids])):
+            if score >= 0.6:
+                parts[len(ids) + k] = sorted(parts.pop(a) + parts.pop(b))
+        parts = sorted(parts.values())
+        while len(parts) > 1 and min(map(len, parts)) < 3:
+            small = min(parts, key=lambda m: (len(m), m))
+            into = max((m for m in parts if m is not small), key=lambda m: s[np.ix_(small, m)].mean())
+            parts = sorted([m for m in parts if m is not small and m is not into] + [sorted(small + into)])
+        assert {ids[i]: (str(g), p) for p, m in enumerate(parts) for i in m} == {i: got[i] for i in ids}
+
+
 @pytest.mark.parametrize("rows", ["spread", "equal", "two"])
 def test_bounded_hierarchy(spark, rows):
     if rows == "spread":

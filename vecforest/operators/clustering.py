@@ -215,47 +215,181 @@ def _merge(score: np.ndarray, weight: np.ndarray, stop: int = 1) -> list[tuple[i
     return out
 
 
+def _nearest(nodes: DataFrame, block: int = 2048) -> DataFrame:
+    """(src, dst, score): the node of the same group g with the best mean similarity; ties go to the smallest. Two blocks of nodes meet in a task."""
+    from vecforest.operators.relations import _blocks, _matrix
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, own, x = t["doc_id"].to_numpy(), t["own"].to_numpy(), _matrix(t)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        out = []
+        for a, b in {(i, j), (j, i)}:
+            rows, cols = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            cols = cols[np.argsort(ids[cols])]
+            if len(rows) and len(cols):
+                score = np.round(x[rows] @ x[cols].T, 12)
+                score[ids[rows][:, None] == ids[cols][None]] = -np.inf
+                at = score.argmax(1)
+                out.append((ids[rows], ids[cols][at], score[np.arange(len(rows)), at]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, ["src", "dst", "score"])
+
+    found = _blocks(nodes.select(F.col("at").alias("doc_id"), "vector", "g"), "g", block).select("g", "i", "j", "own", "doc_id", "vector").groupBy("g", "i", "j").applyInArrow(best, "src long, dst long, score double")
+    first = F.min(F.struct((-F.col("score")).alias("s"), "dst")).alias("b")
+    return found.filter(F.col("score") > float("-inf")).groupBy("src").agg(first).select("src", "b.dst", (-F.col("b.s")).alias("score"))
+
+
+MERGES = "g string, round int, at long, sub int, name string, left string, right string, score double, size long, cap double"
+
+
+def _merge_rounds(rows: DataFrame, most: int, tau: float | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Average linkage of large groups (g, doc_id, vector) until `most` nodes of each are left that can merge: nodes, merges, and with tau the members of nodes.
+
+    Two nodes that are each other's nearest merge in the same round in all places, as
+    no other merge can come between them: a mean similarity to a merged node is never
+    above the better one to its halves. So the merges are those of the one-by-one
+    linkage. Equal vectors, of length 1, merge first. With tau, nodes whose nearest is below it are closed.
+    """
+    own = dot(F.col("vector"), F.col("vector"))
+    alone = F.lit(None).cast("long") if tau is None else F.when(own < tau, F.col("doc_id"))
+    keyed = rows.select("g", "doc_id", "vector", alone.alias("alone"))
+    w = W.partitionBy("g", "vector", "alone")
+    keyed = materialize(keyed.withColumns({"at": F.min("doc_id").over(w), "k": F.row_number().over(w.orderBy("doc_id"))}))
+    name = lambda k: F.when(k == 1, F.concat(F.lit("d:"), "at")).otherwise(F.concat(F.lit("0:"), "at", F.lit(":"), k))
+    k = F.col("k")
+    cap = F.round(own, 12)
+    merges = [keyed.filter("k > 1").select("g", F.lit(0).alias("round"), "at", k.alias("sub"), name(k).alias("name"), name(k - 1).alias("left"), F.concat(F.lit("d:"), "doc_id").alias("right"), own.alias("score"), k.cast("long").alias("size"), cap.alias("cap"))]
+    members = None if tau is None else keyed.select("doc_id", "g", "at")
+    last = keyed.groupBy("g", "at").agg(F.max("k").alias("k"), F.max(F.when(k == 1, F.col("vector"))).alias("vector"))
+    nodes = materialize(last.select("g", "at", name(k).alias("name"), "vector", k.cast("long").alias("n"), F.when(k > 1, cap).otherwise(float("inf")).alias("cap"), F.lit(False).alias("closed")))
+    done = None
+    step = 0
+    while True:
+        sizes = nodes.groupBy("g").agg(F.count_if(~F.col("closed")).alias("live"))
+        marked = nodes.join(sizes, "g")
+        ended = marked.filter((F.col("live") <= most) | F.col("closed")).drop("live")
+        done = ended if done is None else done.unionByName(ended)
+        live = marked.filter((F.col("live") > most) & ~F.col("closed")).drop("live")
+        if live.isEmpty():
+            return done, merges, members
+        step += 1
+        near = materialize(_nearest(live))
+        other = near.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        pairs = near.filter("src < dst").join(other, ["src", "dst"])
+        if tau is not None:
+            pairs = pairs.filter(F.col("score") >= tau)
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("at"), F.col("src").alias("pair"), F.lit(0).alias("side"), F.col("score")), F.struct(F.col("dst").alias("at"), F.col("src").alias("pair"), F.lit(1).alias("side"), F.col("score")))).alias("e")).select("e.*")
+        found = materialize(live.join(ends, "at", "left").join(near.select(F.col("src").alias("at"), F.col("score").alias("best")), "at", "left"))
+        side = lambda i: F.max(F.when(F.col("side") == i, F.struct("name", "vector", "n", "cap"))).alias(f"s{i}")
+        both = found.filter("pair IS NOT NULL").groupBy("g", "pair").agg(side(0), side(1), F.max("score").alias("score"))
+        size = F.col("s0.n") + F.col("s1.n")
+        mean = F.zip_with("s0.vector", "s1.vector", lambda a, b: (a * F.col("s0.n") + b * F.col("s1.n")) / (F.col("s0.n") + F.col("s1.n")))
+        joined = materialize(both.select("g", F.lit(step).alias("round"), F.col("pair").alias("at"), F.lit(0).alias("sub"), F.concat(F.lit(f"{step}:"), "pair").alias("name"), F.col("s0.name").alias("left"), F.col("s1.name").alias("right"), "score", size.alias("size"), F.least("score", "s0.cap", "s1.cap").alias("cap"), mean.alias("vector")))
+        merges.append(joined.drop("vector"))
+        closed = F.lit(False) if tau is None else F.col("best") < tau
+        nodes = joined.select("g", "at", "name", "vector", F.col("size").alias("n"), "cap", F.lit(False).alias("closed")).unionByName(found.filter("pair IS NULL").select("g", "at", "name", "vector", "n", "cap", closed.alias("closed")))
+        nodes = materialize(nodes)
+        if members is not None:
+            to = ends.select("at", "pair")
+            members = materialize(members.join(to, "at", "left").select("doc_id", "g", F.coalesce("pair", "at").alias("at")))
+
+
+def _ranks(df: DataFrame, keys: list, name: str) -> DataFrame:
+    """Adds the rank, from 0, within g by the keys: a range sort and one number carried for each partition and group."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = df.repartitionByRange(parts, "g", *keys).sortWithinPartitions("g", *keys)
+    t = materialize(t.withColumns({"_i": F.monotonically_increasing_id(), "_p": F.spark_partition_id()}))
+    heads = t.groupBy("g", "_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    heads = heads.withColumn("_off", F.coalesce(F.sum("_n").over(W.partitionBy("g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return t.join(heads.drop("_n"), ["g", "_p"]).withColumn(name, F.col("_i") - F.col("_first") + F.col("_off")).drop("_i", "_p", "_first", "_off")
+
+
+def _by_size(vecs: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (g, doc_id, vector) of groups up to `most` rows, and of larger ones. g is never null, so that a null group meets itself in joins; _group_of() gives the group."""
+    rows = vecs.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"), "doc_id", "vector")
+    sized = rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")), "g")
+    return sized.filter(F.col("_n") <= most).drop("_n"), sized.filter(F.col("_n") > most).drop("_n")
+
+
+def _group_of(group: str):
+    return F.when(F.col("g") != "", F.expr("substring(g, 2)")).alias(group)
+
+
 def average_linkage(vecs: DataFrame, group: str, most: int = 400) -> DataFrame:
-    """(group, step, left, right, score, size): average linkage within each group. Groups over `most` rows must be cut by bounded_hierarchy first: they raise an error."""
+    """(group, step, left, right, score, size): average linkage within each group, of any size. A task holds the matrix of at most `most` nodes; larger groups are merged in rounds on Spark until no more are left."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has {len(pdf)} rows, over {most}")
         pdf = pdf.sort_values("doc_id")
         x = np.stack(pdf["vector"].to_numpy())
         rows = _merge(x @ x.T, np.ones(len(x)))
-        return pd.DataFrame([(pdf[group].iloc[0], i, *r) for i, r in enumerate(rows)], columns=[group, "step", "left", "right", "score", "size"])
+        return pd.DataFrame([(pdf["g"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["g", "step", "left", "right", "score", "size"])
 
-    return vecs.select(group, "doc_id", "vector").groupBy(group).applyInPandas(link, f"{group} string, step int, left int, right int, score double, size int")
+    def link_rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        x = np.stack(pdf["vector"].to_numpy())
+        names, caps, out = pdf["name"].tolist(), pdf["cap"].tolist(), []
+        for i, (a, b, score, size) in enumerate(_merge(x @ x.T, pdf["n"].to_numpy())):
+            names.append(f"last:{i}")
+            caps.append(min(round(score, 12), caps[a], caps[b]))
+            out.append((pdf["g"].iloc[0], 1 << 30, 0, i, names[-1], names[a], names[b], score, size, caps[-1]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MERGES.split(", ")])
+
+    small, large = _by_size(vecs, group, most)
+    exact = small.groupBy("g").applyInPandas(link, "g string, step int, left int, right int, score double, size int").select(_group_of(group), "step", "left", "right", "score", "size")
+    if large.isEmpty():
+        return exact
+    nodes, merges, _ = _merge_rounds(large, most)
+    merges = [*merges, nodes.groupBy("g").applyInPandas(link_rest, MERGES)]
+    every = merges[0]
+    for m in merges[1:]:
+        every = every.unionByName(m)
+    every = materialize(_ranks(every, [F.desc("cap"), "round", "at", "sub"], "step"))
+    leaves = _ranks(large.select("g", "doc_id"), ["doc_id"], "number").select("g", F.concat(F.lit("d:"), "doc_id").alias("name"), "number")
+    rows = large.groupBy("g").agg(F.count("*").alias("rows"))
+    number = materialize(leaves.unionByName(every.join(rows, "g").select("g", "name", (F.col("rows") + F.col("step")).alias("number"))))
+    for c in ("left", "right"):
+        every = every.join(number.select("g", F.col("name").alias(c), F.col("number").alias(f"{c}_number")), ["g", c])
+    return exact.unionByName(every.select(_group_of(group), F.col("step").cast("int").alias("step"), *[F.col(f"{c}_number").cast("int").alias(c) for c in ("left", "right")], "score", F.col("size").cast("int").alias("size")))
 
 
 def protected_groups(vecs: DataFrame, group: str, tau: float, least: int, most: int = 400) -> DataFrame:
-    """(group, doc_id, part): parts of each group whose merges reach tau; parts under `least` members join the most similar part."""
+    """(group, doc_id, part): parts of each group whose merges reach tau; parts under `least` members join the most similar part.
+
+    Groups over `most` rows are merged in rounds on Spark, and one mean for each of their parts reaches a task.
+    """
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has {len(pdf)} rows, over {most}")
-        pdf = pdf.sort_values("doc_id")
-        x = np.stack(pdf["vector"].to_numpy())
-        s = x @ x.T
-        members = {i: [i] for i in range(len(x))}
-        for i, (a, b, score, _) in enumerate(_merge(s, np.ones(len(x)))):
-            if a in members and b in members and score >= tau:
-                members[len(x) + i] = members.pop(a) + members.pop(b)
-        parts = sorted(sorted(m) for m in members.values())
-        while len(parts) > 1 and min(map(len, parts)) < least:
-            small = min(range(len(parts)), key=lambda i: (len(parts[i]), parts[i]))
-            mean = [(-np.inf if j == small else s[np.ix_(parts[small], parts[j])].mean()) for j in range(len(parts))]
-            into = int(np.argmax(np.round(mean, 12)))
-            parts[into] = sorted(parts[into] + parts[small])
-            del parts[small]
-            parts.sort()
-        part = np.empty(len(x), int)
-        for i, m in enumerate(parts):
-            part[m] = i
-        return pd.DataFrame({group: pdf[group].iloc[0], "doc_id": pdf["doc_id"].to_numpy(), "part": part})
-
-    return vecs.select(group, "doc_id", "vector").groupBy(group).applyInPandas(cut, f"{group} string, doc_id long, part int")
+        pdf = pdf.sort_values("at").reset_index(drop=True)
+        mean, n, at = np.stack(pdf["vector"].to_numpy()), pdf["n"].to_numpy().astype(float), pdf["at"].to_numpy()
+        into, alive = np.arange(len(at)), np.ones(len(at), bool)
+
+        def join(a: int, b: int) -> int:
+            a, b = min(a, b), max(a, b)
+            mean[a] = (mean[a] * n[a] + mean[b] * n[b]) / (n[a] + n[b])
+            n[a] += n[b]
+            alive[b], into[into == b] = False, a
+            return a
+
+        live = np.flatnonzero(~pdf["closed"].to_numpy().astype(bool))
+        place = live.tolist()
+        for a, b, score, _ in _merge(mean[live] @ mean[live].T, n[live]) if len(live) else ():
+            place.append(join(place[a], place[b]) if score >= tau and place[a] >= 0 and place[b] >= 0 else -1)
+        while alive.sum() > 1 and n[alive].min() < least:
+            small = int(np.flatnonzero(alive & (n == n[alive].min()))[0])
+            score = np.where(alive, np.round(mean @ mean[small], 12), -np.inf)
+            score[small] = -np.inf
+            join(small, int(score.argmax()))
+        part = np.cumsum(alive) - 1
+        return pd.DataFrame({"g": pdf["g"], "at": at, "part": part[into]})
+
+    small, large = _by_size(vecs, group, most)
+    nodes = small.select("g", F.col("doc_id").alias("at"), "vector", F.lit(1).cast("long").alias("n"), F.lit(False).alias("closed"))
+    members = small.select("doc_id", "g", F.col("doc_id").alias("at"))
+    if not large.isEmpty():
+        merged, _, of = _merge_rounds(large, most, tau)
+        nodes, members = nodes.unionByName(merged.select("g", "at", "vector", "n", "closed")), members.unionByName(of)
+    parts = nodes.groupBy("g").applyInPandas(cut, "g string, at long, part int")
+    return members.join(parts, ["g", "at"]).select(_group_of(group), "doc_id", "part")
 
 
 def group_linkage(vecs: DataFrame, group: str, part: str, most: int = 400) -> DataFrame:

@@ -563,12 +563,12 @@ def spherical_k_means(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def average_linkage(s: SparkSession, d: str) -> DataFrame:
-    return C.average_linkage(vecs(s, d), "leaf", 4000)
+    return C.average_linkage(vecs(s, d), "leaf")
 
 
 @query()
 def protected_groups(s: SparkSession, d: str) -> DataFrame:
-    return C.protected_groups(vecs(s, d), "leaf", 0.2, 2, 4000)
+    return C.protected_groups(vecs(s, d), "leaf", 0.2, 2)
 
 
 @query()
