@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecforest.llm import ann, binary, bpe, components, exact, lines, neardup, packing, quality, suffixes, textops, unigram
+from vecforest.llm import ann, binary, bpe, common, components, exact, lines, neardup, packing, quality, suffixes, textops, unigram
 
 SF = "/root/testdata/sf0.001"
 JSON, RANKS, PIECES = (P.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -49,6 +49,20 @@ def test_exact_odd_ids(odd_ids):
     assert exact.drop_exact_duplicates(odd_ids).count() == 3
 
 
+def test_a_filter_of_many_shards_lets_unique_rows_pass(spark, monkeypatch, docs, texts):
+    monkeypatch.setattr(common, "SHARD_BITS", common.BITMAP_BITS)
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    assert common.filter_size(20_000) == (16, 1)
+    keys = rows.select(F.xxhash64("text").alias("__key"))
+    may = common.flagged(keys, "__key", keys, (16, 1), common.repeated_filter, "maybe").filter("maybe").count()
+    assert 200 <= may < 2000  # at 16 bits a row few others look repeated, at one shard nearly all would
+    got = exact.exact_duplicates(rows).collect()
+    assert len(got) == 20_000 and sum(r.kept for r in got) == 19_801
+    assert exact.drop_exact_duplicates(rows).count() == 19_801
+    some, rest = common.split_by(rows, "doc_id", spark.range(0, 20_000, 3).withColumnRenamed("id", "doc_id"))
+    assert some.count() + rest.count() == 20_000 and rest.filter("doc_id % 3 = 0").isEmpty() and rest.count() > 10_000
+
+
 # Tokens
 
 
@@ -145,13 +159,11 @@ def test_near_duplicates(docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if w[2]}
 
 
-@pytest.mark.parametrize("short", [1, 16])
-def test_near_duplicates_in_long_lists(spark, monkeypatch, short):
-    """A chain of near copies, a cluster of them and many texts with one passage; long lists take the way over hubs and blocks."""
-    import random
-
-    monkeypatch.setattr(neardup, "SHORT", short)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+@pytest.mark.parametrize(("hub", "block", "values"), [(128, 512, 1 << 21), (1, 7, 1 << 21), (128, 512, 300)])
+def test_near_duplicates_in_long_lists(spark, monkeypatch, hub, block, values):
+    """A chain of near copies, a cluster of them and many texts with one passage; long lists take the way over hubs, and blocks hold few documents or few shingles."""
+    for name, value in (("HUB", hub), ("BLOCK", block), ("BLOCK_VALUES", values)):
+        monkeypatch.setattr(neardup, name, value)
     rnd = random.Random(1)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
     rows, at = [], list(base)
@@ -176,6 +188,21 @@ def test_near_duplicates_odd_ids(odd_ids):
     assert {r.component_id for r in got if r.doc_id in (1, 3) and r.n_shingles == 3} == {1}
 
 
+def test_rows_of_a_repeated_id_are_judged_by_their_own_texts(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (2, "clean text of its own here"), (2, text + " more")]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2])
+
+
+def test_near_duplicates_of_a_million_words(spark):
+    rnd = random.Random(3)
+    long = [f"w{rnd.randrange(300_000)}" for _ in range(1_000_000)]
+    texts = {0: " ".join(long), 1: " ".join(long[:900_000]), 2: " ".join(long[400_000:]), 3: "short text of five words"}
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == brute.near(texts)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (4, 3), (10, 11), (7, 7)] + [(i, i + 1) for i in range(20, 60)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

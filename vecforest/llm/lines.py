@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import split_by, table, whole_text
+from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text
 from vecforest.llm.textops import RollingHash, buffer_of, mix, parts_by_bytes
 
 WINDOW, LINES_A_CHUNK = 2, 4
 #: Longest period, in lines, that ends chunks.
 PERIOD = 8
-WINDOWS = "key long, doc_id long, begin int, second int, end int, hash long"
+WINDOWS = "key binary, doc_id long, begin int, second int, end int, hash long"
 
 
 def text_lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +128,8 @@ def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, lines: int = LINES_A_CHUNK, hash_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, n_removed_bytes, kept_sha256, kept_text, row (the kept columns). The result does not depend on hash_bits."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), kept_row(keep).alias("row"))
+    rows = rows.withColumn("key", row_key("doc_id", "text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,11 +17,15 @@ other. Spark's sort, which spills to disk, stands for the disk-backed queues.
    a common-prefix value between their right parts nor one between their left
    parts is too short; both follow from the sorted samples.
 4. A gram with more than MANY different surroundings does not go to one task: its
-   strings are counted by hash over the cluster.
+   strings are counted over the cluster, each by a digest of all its bytes.
+
+Strings count as equal by their bytes (3.) or, where these are not side by side, by
+128 bits of BLAKE2b over all of them (2., 4.); the rolling hash only chooses samples.
 
 Defined results: null text counts as empty; texts shorter than the width lose
 nothing; repeated rows repeat each other's strings; rows with the same id and
-text get the same result; an empty table gives an empty result.
+text get the same result, also where the id is null; a text of any length is sampled
+whole, in about 60 bytes of memory a byte; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import split_by, table, whole_text
+from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text
 from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes
 
 GRAM, MANY, BATCH_ROWS = 100, 20_000, 8_000
 LOW = np.uint64((1 << 36) - 1)
-SAMPLES = "key long, start int, strings int, left int, gram long, around long"
+SAMPLES = "key binary, start int, strings int, left int, gram long, around binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,11 +59,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def samples_of(raw: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each sample: document, first string's start in the buffer, number of strings, bytes from that start to the sample, hash of the gram, hash of the surroundings."""
+    """For each sample: document, first string's start in the buffer, number of strings, bytes from that start to the sample, hash of the gram."""
     if len(raw) < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    rolling = RollingHash(raw)
-    h = rolling.fixed(gram)
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    h = RollingHash(raw).fixed(gram)
     at = np.arange(len(h), dtype=np.uint64)
     least = sliding_min((h & ~LOW) | (LOW - at), width - gram + 1)
     sample = (LOW - (least & LOW)).astype(np.int64)
@@ -70,13 +73,18 @@ def samples_of(raw: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple
     np.add.at(inside, ends, -1)
     start = np.flatnonzero(np.cumsum(inside)[: len(sample)] == 0)
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     s = sample[start]
     new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (start[1:] != start[:-1] + 1)]))
     strings = np.diff(np.append(new, len(start)))
     begin, at = start[new], s[new]
     doc = np.searchsorted(off, begin, side="right") - 1
-    return doc, begin, strings, at - begin, h[at].view(np.int64), rolling.of(begin, begin + strings - 1 + width).view(np.int64)
+    return doc, begin, strings, at - begin, h[at].view(np.int64)
+
+
+def digest(data: bytes | memoryview) -> bytes:
+    """By which bytes count as equal where they are not side by side: 128 bits of a cryptographic hash."""
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def equal_strings(group: np.ndarray, left: np.ndarray, strings: np.ndarray, around: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,20 +148,22 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
             done = 0
             for part in parts_by_bytes(batch["text"]):
                 raw, off = buffer_of(part)
-                doc, begin, strings, left, h, around = samples_of(raw, off, width, gram)
+                doc, begin, strings, left, h = samples_of(raw, off, width, gram)
                 keys = batch["key"].slice(done, len(part)).take(pa.array(doc))
                 done += len(part)
-                yield pa.record_batch([keys, *(pa.array(c.astype(np.int32)) for c in (begin - off[doc], strings, left)), pa.array(h), pa.array(around)], [c.split()[0] for c in SAMPLES.split(", ")])
+                view = memoryview(np.ascontiguousarray(raw))
+                around = pa.array([digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + strings - 1 + width).tolist(), strict=True)], pa.binary())
+                yield pa.record_batch([keys, *(pa.array(c.astype(np.int32)) for c in (begin - off[doc], strings, left)), pa.array(h), around], [c.split()[0] for c in SAMPLES.split(", ")])
 
     every = table(docs.mapInArrow(find, SAMPLES), "samples")
-    twice = every.groupBy("gram").count().filter("count > 1").select("gram")
+    twice = table(every.groupBy("gram").count().filter("count > 1").select("gram"), "twice")  # a table of its own, so that Spark can split a hot gram in the join
     hits = table(every.join(twice, "gram"), "hits")
     same = ["gram", "around", "left", "strings"]
     contexts = table(hits.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("at")), "contexts")
     whole = hits.join(contexts.filter("n > 1").select(*same), same).select("key", F.col("start").alias("begin"), (F.col("start") + F.col("strings") - 1 + width).alias("end"))
 
     # Grams with several surroundings, at least one of which stands alone.
-    open_grams = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("gram", "m")
+    open_grams = table(contexts.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("gram", "m"), "open")
     asked = contexts.join(open_grams, "gram").select("gram", "m", "left", "strings", "n", "at.key", "at.start")
     per_text = table(asked.groupBy("key").agg(F.collect_list(F.struct("gram", "m", "left", "strings", "n", "start")).alias("asked")), "asked")
     texts, _ = split_by(docs, "key", per_text)
@@ -164,13 +174,14 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
                 raw = text.encode()
                 rows = {c: [a[c] for a in asked] for c in ("gram", "m", "left", "strings", "n", "start")}
                 around = [raw[s : s + k - 1 + width] for s, k in zip(rows["start"], rows["strings"], strict=True)]
-                yield pa.record_batch([pa.array([key] * len(asked), pa.int64()), *(pa.array(rows[c], pa.int64()) for c in rows), pa.array(around, pa.binary())], ["key", *rows, "around"])
+                yield pa.record_batch([pa.array([key] * len(asked), pa.binary()), *(pa.array(rows[c], pa.int64()) for c in rows), pa.array(around, pa.binary())], ["key", *rows, "around"])
 
-    fields = "key long, gram long, m long, left long, strings long, n long, start long, around binary"
+    fields = "key binary, gram long, m long, left long, strings long, n long, start long, around binary"
     cuts = table(per_text.join(texts, "key").select("key", "text", "asked").mapInArrow(cut, fields), "cuts")
 
     def spans(t: pa.Table) -> pa.RecordBatch:
-        places = np.stack([t[c].to_numpy() for c in ("gram", "key", "start")], axis=1)
+        key = t["key"].combine_chunks().dictionary_encode().indices.to_numpy()
+        places = np.stack([t["gram"].to_numpy(), key, t["start"].to_numpy()], axis=1)
         t = t.take(pa.array(np.unique(places, axis=0, return_index=True)[1]))  # rows with equal id and text come twice
         _, group = np.unique(t["gram"].to_numpy(), return_inverse=True)
         left, start = t["left"].to_numpy(), t["start"].to_numpy()
@@ -192,17 +203,18 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
         if sum(map(len, kept)):
             yield spans(pa.Table.from_batches(kept))
 
-    found = cuts.filter(F.col("m") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "key long, begin long, end long")
+    found = cuts.filter(F.col("m") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "key binary, begin long, end long")
 
     def strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gram_hash, key, left, start, n, around in zip(*(batch[c].to_pylist() for c in ("gram", "key", "left", "start", "n", "around")), strict=True):
-                h = RollingHash(np.frombuffer(around, np.uint8)).fixed(width).view(np.int64)
+                view = memoryview(around)
+                h = [digest(view[s : s + width]) for s in range(len(around) - width + 1)]
                 k = len(h)
-                yield pa.record_batch([pa.array([gram_hash] * k, pa.int64()), pa.array(left - np.arange(k)), pa.array(h), pa.array([key] * k, pa.int64()), pa.array(start + np.arange(k)), pa.array([n] * k, pa.int64())], ["gram", "before", "hash", "key", "begin", "n"])
+                yield pa.record_batch([pa.array([gram_hash] * k, pa.int64()), pa.array(left - np.arange(k)), pa.array(h, pa.binary()), pa.array([key] * k, pa.binary()), pa.array(start + np.arange(k)), pa.array([n] * k, pa.int64())], ["gram", "before", "hash", "key", "begin", "n"])
 
     large = cuts.filter(F.col("m") > many)
-    each = large.mapInArrow(strings_of, "gram long, before long, hash long, key long, begin long, n long").distinct()
+    each = large.mapInArrow(strings_of, "gram long, before long, hash binary, key binary, begin long, n long").distinct()
     again = each.groupBy("gram", "before", "hash").count().filter("count > 1").drop("count")
     hot = each.filter("n = 1").join(again, ["gram", "before", "hash"]).select("key", "begin", (F.col("begin") + width).alias("end"))
     return whole.unionByName(found).unionByName(hot)
@@ -213,8 +225,8 @@ def without_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", tex
 
     kept_text leaves out characters of which a part was removed.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), kept_row(keep).alias("row"))
+    rows = rows.withColumn("key", row_key("doc_id", "text"))
     spans = repeated_spans(rows.select("key", "text"), width, gram, many)
     per_text = table(spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
     some, rest = split_by(rows, "key", per_text)

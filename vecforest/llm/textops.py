@@ -139,6 +139,28 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, counts
 
 
+def chained(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash for every `width` word hashes in a row."""
+    n = len(h) - width + 1
+    s = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(width):
+            s = (s ^ h[j : j + n]) * U(MULT)
+            s ^= s >> U(29)
+    return s
+
+
+def long_shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """The shingle set of one long text in lower case, its words hashed about PART_BYTES at a time."""
+    found, at = [], 0
+    while at + width <= len(start):
+        stop = max(at + width, int(np.searchsorted(end, start[at] + PART_BYTES)))
+        h = RollingHash(raw[start[at] : end[stop - 1]]).of(start[at:stop] - start[at], end[at:stop] - start[at])
+        found.append(np.unique(mix(chained(h, width))))
+        at = stop - width + 1
+    return np.unique(np.concatenate(found))
+
+
 def shingles(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each document, ascending, and the n + 1 offsets into them.
 
@@ -148,17 +170,17 @@ def shingles(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarr
     """
     raw = lower_ascii(raw)
     start, end, counts = words(raw, off)
+    if len(off) == 2 and len(raw) > 2 * PART_BYTES and len(start) >= width:
+        found = long_shingles(raw, start, end, width)
+        return found, np.array([0, len(found)])
     h = RollingHash(raw).of(start, end)
     first = np.concatenate([[0], np.cumsum(counts)])
     n_docs = len(counts)
     parts_doc, parts_hash = [], []
     with np.errstate(over="ignore"):
         if len(h) >= width:
-            n = len(h) - width + 1
-            s = np.zeros(n, np.uint64)
-            for j in range(width):
-                s = (s ^ h[j : j + n]) * U(MULT)
-                s ^= s >> U(29)
+            s = chained(h, width)
+            n = len(s)
             doc = np.repeat(np.arange(n_docs), counts)
             whole = doc[:n] == doc[width - 1 :]
             parts_doc.append(doc[:n][whole])
