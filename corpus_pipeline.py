@@ -32,8 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes strings of 400 bytes that occur twice out of the texts."""
     out = without_repeats(docs, keep=tuple(docs.columns))
-    row = F.col("row").dropFields("_")
-    row = row.withField("text", F.col("kept_text")).withField("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")))
+    row = F.col("row").withField("text", F.col("kept_text")).withField("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")))  # the other columns stay as they are
     return out.select(row.alias("row")).select("row.*").select(*docs.columns)
 
 
