@@ -95,3 +95,38 @@ def neighbours(vectors, k=10):
             d = sorted((float(np.sqrt(((good[q] - x) ** 2).sum())), i) for i, x in good.items() if i != q)
             out[q] = [(i, s) for s, i in d[:k]]
     return out
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over bytes; each text follows order - 1 bytes with the value 2."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = {order: Counter(g for t in texts for g in self.grams(t))}
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])  # how many n-grams one longer end in it
+        self.discount, self.total, self.left = {}, defaultdict(int), defaultdict(float)
+        for n, found in self.counts.items():
+            of = Counter(found.values())
+            y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0
+            self.discount[n] = [max(0.05, min(k - 0.05, k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k)) for k in (1, 2, 3)]
+            for g, c in found.items():
+                self.total[g[:-1]] += c
+                self.left[g[:-1]] += self.discount[n][min(c, 3) - 1]
+
+    def grams(self, text):
+        raw = bytes([2]) * (self.order - 1) + text.encode()
+        return [raw[i : i + self.order] for i in range(len(raw) - self.order + 1)]
+
+    def p(self, gram):
+        if not gram:
+            return 1 / 256
+        context, c = gram[:-1], self.counts[len(gram)][gram]
+        if not self.total[context]:
+            return self.p(gram[1:])
+        own = c - self.discount[len(gram)][min(c, 3) - 1] if c else 0
+        return (own + self.left[context] * self.p(gram[1:])) / self.total[context]
+
+    def perplexity(self, text):
+        found = [np.log(self.p(g)) for g in self.grams(text)]
+        return float(np.exp(-np.mean(found)))

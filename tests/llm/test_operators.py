@@ -327,20 +327,44 @@ def test_quality_keeps_trusted_documents(judged, given):
     assert np.median(bad) > np.median([r.perplexity / r.threshold for r in judged if r.quality == 1 and r.threshold])
 
 
-def test_quality_ways_agree(spark, given):
+@pytest.mark.parametrize("head", [0, 500, quality.HEAD])
+def test_perplexity_is_that_of_a_plain_model(spark, given, head):
+    """Whatever number of n-grams the tasks hold; repeated rows are scored alike."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    some = given.filter("doc_id % 10 = 0")
-    a, b = (by_id(quality.quality(some, labels, order=3, max_broadcast=m), "perplexity") for m in (10**9, 0))
-    assert a.keys() == b.keys() and all((x[0] is None) == (b[i][0] is None) and (x[0] is None or x[0] == pytest.approx(b[i][0], rel=1e-5)) for i, x in a.items())
+    some = given.filter("doc_id % 7 = 0")
+    got = collections.defaultdict(set)
+    for r in quality.quality(some.unionByName(some.limit(3)), labels, order=3, head=head).collect():
+        got[r.doc_id].add(None if r.perplexity is None else round(r.perplexity, 9))
+    prepared = quality.prepared(some, "doc_id", "text", "lang").select("doc_id", "text", "lang", "fold").collect()
+    good = {r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0").collect()}
+    repeated = {r.doc_id for r in some.limit(3).collect()}
+    models = {}
+    for r in prepared:
+        if r.doc_id in good:
+            models.setdefault((r.fold, r.lang), []).extend([r.text] * (1 + (r.doc_id in repeated)))
+    models = {k: brute.KneserNey(v, 3) for k, v in models.items()}
+    for r in prepared:
+        model = models.get((1 - r.fold, r.lang))
+        want = model.perplexity(r.text) if model and r.text else None
+        (have,) = got[r.doc_id]
+        assert (have is None) == (want is None) and (want is None or have == pytest.approx(want, rel=1e-6))
 
 
 def test_kneser_ney_sums_to_one(spark):
     text = spark.createDataFrame([("m", "abracadabra alakazam abra cadabra")], "model string, text string")
-    t = quality.probabilities(quality.counts(text, 3), 3).toPandas()
-    model = quality.Model(t["n"].to_numpy(), t["gram"].to_numpy(), t["p"].to_numpy(float), t["back"].to_numpy(float), 3)
-    for context in (b"ab", b"zz", b"a "):
-        grams = np.array([(context[0] << 16) | (context[1] << 8) | c for c in range(256)], np.int64)
-        assert np.exp(model.log_p(grams)).sum() == pytest.approx(1, abs=1e-6)
+    model = quality.probabilities(quality.counts(text, 3), 3)
+    asked = [("m", (context[0] << 16) | (context[1] << 8) | c, 1) for context in (b"ab", b"zz", b"a ") for c in range(256)]
+    got = quality.looked_up(spark.createDataFrame(asked, "model string, gram long, c long"), model, 3).groupBy((F.col("gram") / 256).cast("long")).agg(F.sum(F.exp("log_p")).alias("p")).collect()
+    assert len(got) == 3 and all(r.p == pytest.approx(1, abs=1e-6) for r in got)
+
+
+def test_grams_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(quality, "PART_BYTES", 10)
+    monkeypatch.setattr(quality, "LARGE_PART", 20)
+    text = pa.array(["a long text, cut into small parts; ä, ß and more"])
+    gram, _ = quality.grams_of(*textops.buffer_of(text), 5)
+    parts = list(quality.gram_parts(text, 5))
+    assert len(parts) > 3 and np.concatenate([g for g, _ in parts]).tolist() == gram.tolist()
 
 
 def test_quality_of_awkward_rows(spark, docs):

@@ -1,24 +1,28 @@
 """Quality by an interpolated modified Kneser-Ney model over bytes, one per language.
 
-Counts of all byte n-grams of the trusted documents are summed over the cluster;
-counts of lower orders, discounts, context sums and probabilities follow by joins
-of count tables, sharded by model and n-gram. Documents are dealt to two folds by
-hash, and each is scored with the counts of the other fold, so that trusted
-documents' own counts do not flatter them. A document's perplexity is that of its
-bytes. It is rejected above a quantile of the trusted documents of its language
+Words differ from text to text far more than their spelling does, so the n-grams are of
+bytes: on the tables given, few words of a new document are known, but nearly all its
+5-grams of bytes are. Counts of all byte n-grams of the trusted documents are summed
+over the cluster; counts of lower orders, discounts, context sums and probabilities
+follow by joins of count tables, sharded by model and n-gram. Documents are dealt to
+two folds by hash, and each is scored with the counts of the other fold, so that
+trusted documents' own counts do not flatter them. A document's perplexity is that of
+its bytes. It is rejected above a quantile of the trusted documents of its language
 and size class (powers of four bytes), widened by TOLERANCE; classes with fewer
 than LEAST_TRUSTED trusted documents use the language's quantile, and languages
 with fewer reject nothing.
 
-Scoring joins the documents' n-grams with the tables. Byte n-grams repeat so much
-that the tables are small: up to MAX_BROADCAST rows (checked) they are sent to
-the executors and joined there; beyond that, shards meet in a shuffle (see
-score_by_shuffle). Both give the same sums.
+Scoring is by sharded count joins at every size. The n-grams of all documents are
+counted, and each distinct one is looked up once, order by order, by joins with the
+model's tables (looked_up). The commonest HEAD of them, a fixed number, are sent to the
+tasks, which sum them up for each document as they read its text; the others go as
+rows (document, n-gram, count) to the shards and meet their probabilities in a join.
 
 Defined results: null text counts as empty; a text without bytes has no perplexity
 and stays; a null language is a language of its own; labels that are repeated for
 a document count by the least quality and the largest toxicity; documents with a
-null id are scored but never trusted; an empty table gives an empty result.
+null id are scored but never trusted; a text of any length is scored whole, PART_BYTES
+at a time; rows that are repeated are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from vecforest.llm.common import split_by, table, whole_text
-from vecforest.llm.textops import LARGE_PART, buffer_of, parts_by_bytes
+from vecforest.llm.common import row_key, split_by, table, whole_text
+from vecforest.llm.textops import LARGE_PART, PART_BYTES, buffer_of, parts_by_bytes
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
-MAX_BROADCAST = 4_000_000
+#: N-grams that every task holds (16 bytes each), whatever the size of the corpus or of the model.
+HEAD = 1 << 19
+#: N-grams that a task counts before it sends their sums on.
+COUNTED = 1 << 20
 START = 2  # the byte that stands before each text
 
 
@@ -52,21 +61,55 @@ def grams_of(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray,
     return gram, doc
 
 
-def counts(trusted: DataFrame, order: int) -> DataFrame:
-    """(model, gram, c) over rows (model, text), summed within each batch before the shuffle."""
+def gram_parts(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams_of() some texts; those of one long text come a part at a time."""
+    raw, off = buffer_of(texts)
+    if len(texts) > 1 or len(raw) <= 2 * LARGE_PART:
+        yield grams_of(raw, off, order)
+        return
+    for begin in range(0, len(raw), PART_BYTES):
+        before = min(begin, order - 1)
+        part = raw[begin - before : begin + PART_BYTES]
+        gram, doc = grams_of(part, np.array([0, len(part)]), order)
+        yield gram[before:], doc[before:]
+
+
+def counts(rows: DataFrame, order: int) -> DataFrame:
+    """(model, gram, c) over rows (model, text), summed within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # n-grams with the number of their model above them, and counts
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            both, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, inverse = np.unique(both, return_inverse=True)
+            return found, np.bincount(inverse, weights=c).astype(np.int64)
+
+        def sent() -> pa.RecordBatch:
+            both, c = held[0]
+            return pa.record_batch([pa.array(names, pa.string()).take(pa.array(both >> (8 * order))), pa.array(both & ((1 << 8 * order) - 1)), pa.array(c)], ["model", "gram", "c"])
+
         for batch in batches:
             done = 0
             for part in parts_by_bytes(batch["text"], LARGE_PART):
-                names = batch["model"].slice(done, len(part)).dictionary_encode()
+                coded = batch["model"].slice(done, len(part)).dictionary_encode()
                 done += len(part)
-                gram, doc = grams_of(*buffer_of(part), order)
-                which = names.indices.to_numpy()[doc].astype(np.int64)
-                both, c = np.unique((which << (8 * order)) | gram, return_counts=True)
-                yield pa.record_batch([names.dictionary.take(pa.array(both >> (8 * order))), pa.array(both & ((1 << 8 * order) - 1)), pa.array(c.astype(np.int64))], ["model", "gram", "c"])
-
-    return trusted.select("model", "text").mapInArrow(run, "model string, gram long, c long").groupBy("model", "gram").agg(F.sum("c").alias("c"))
+                own = coded.dictionary.to_pylist()
+                names += [x for x in own if x not in names]
+                number = np.array([names.index(x) for x in own], np.int64)[coded.indices.to_numpy()]
+                for gram, doc in gram_parts(part, order):
+                    held.append(np.unique((number[doc] << (8 * order)) | gram, return_counts=True))
+                    if sum(len(x) for x, _ in held) > COUNTED:
+                        held[:] = [summed()]
+                        if len(held[0][0]) > COUNTED // 2:
+                            yield sent()
+                            held.clear()
+        if held:
+            held[:] = [summed()]
+            yield sent()
+
+    return rows.select("model", "text").mapInArrow(run, "model string, gram long, c long").groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
 
 def probabilities(top: DataFrame, order: int) -> DataFrame:
@@ -105,128 +148,129 @@ def probabilities(top: DataFrame, order: int) -> DataFrame:
     return out.join(both, ["model", "n", "gram"], "full")
 
 
-class Model:
-    """Tables of one model: for each order the n-grams in ascending order with p and back."""
-
-    def __init__(self, n: np.ndarray, gram: np.ndarray, p: np.ndarray, back: np.ndarray, order: int):
-        self.order, self.by = order, {}
-        for k in range(order + 1):
-            at = np.flatnonzero(n == k)
-            at = at[np.argsort(gram[at])]
-            self.by[k] = gram[at], p[at], back[at]
-
-    def find(self, k: int, gram: np.ndarray, column: int) -> np.ndarray:
-        keys = self.by[k][0]
-        if not len(keys):
-            return np.full(len(gram), np.nan)
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        return np.where(keys[at] == gram, self.by[k][column][at], np.nan)
-
-    def log_p(self, gram: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gram))
-        left = np.arange(len(gram))
-        for k in range(self.order, 0, -1):
-            here = gram[left] & ((1 << 8 * k) - 1)
-            p = self.find(k, here, 1)
-            hit = ~np.isnan(p)
-            out[left[hit]] += p[hit]
-            left, here = left[~hit], here[~hit]
-            if not len(left):
-                return out
-            back = self.find(k - 1, here >> 8, 2)
-            out[left] += np.where(np.isnan(back), 0.0, back)
-        out[left] += np.log(1 / 256)
-        return out
-
-
-def score_by_broadcast(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """(key, log_p) for rows (key, model, text), with tables that are small enough to be sent out."""
-    missing = lambda c: F.coalesce(F.col(c), F.lit(float("nan"))).cast("float").alias(c)
-    t = model.select("model", F.col("n").cast("byte").alias("n"), "gram", missing("p"), missing("back")).toArrow()
+def looked_up(asked: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(model, gram, c, log_p) for rows (model, gram, c): the logarithm of the last byte's probability, by joins with the sharded tables, order by order."""
+    rows = asked.select("model", "gram", "c", F.col("gram").alias("rest"), F.lit(0.0).alias("sum"))
+    found = []
+    for k in range(order, 0, -1):
+        p = model.filter((F.col("n") == k) & F.col("p").isNotNull()).select("model", F.col("gram").alias("rest"), "p")
+        back = model.filter((F.col("n") == k - 1) & F.col("back").isNotNull()).select("model", F.col("gram").alias("context"), "back")
+        met = table(rows.join(p, ["model", "rest"], "left"), f"looked{k}")
+        found.append(met.filter("p is not null").select("model", "gram", "c", (F.col("sum") + F.col("p")).alias("log_p")))
+        rest = met.filter("p is null").withColumn("context", F.shiftright("rest", 8)).join(back, ["model", "context"], "left")
+        shorter = F.col("rest").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("rest")
+        rows = rest.select("model", "gram", "c", shorter, (F.col("sum") + F.coalesce("back", F.lit(0.0))).alias("sum"))
+    out = rows.select("model", "gram", "c", (F.col("sum") - np.log(256)).alias("log_p"))
+    for more in found:
+        out = out.unionByName(more)
+    return table(out, "grams")
+
+
+def commonest(grams: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The commonest n-grams and their log_p by model, at most `most` in all: those over a count that few enough reach."""
+    bucket = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r.bucket, r["count"]) for r in grams.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)  # a few hundred rows
+    n, least = 0, None
+    for b, count in sizes:
+        n += count
+        if n > most:
+            break
+        least = b
+    if least is None:
+        return {}
+    t = grams.filter(bucket >= least).select("model", "gram", "log_p").toArrow()
     names = t["model"].combine_chunks().dictionary_encode()
-    which, columns = names.indices.to_numpy(), [t[c].to_numpy() for c in ("n", "gram", "p", "back")]
-    models = {name: Model(*[c[which == i] for c in columns], order) for i, name in enumerate(names.dictionary.to_pylist())}
-    del t, names, which, columns
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    del models
+    which, gram, log_p = names.indices.to_numpy(), t["gram"].to_numpy(), t["log_p"].to_numpy()
+    out = {}
+    for i, name in enumerate(names.dictionary.to_pylist()):
+        at = np.flatnonzero(which == i)
+        at = at[np.argsort(gram[at])]
+        out[name] = gram[at], log_p[at]
+    return out
+
+
+def scored(docs: DataFrame, grams: DataFrame, order: int, head: int) -> DataFrame:
+    """log_p for each row of docs (doc_id, key, lang, model, text), which it keeps but for the text; n_bytes beside it."""
+    shared = docs.sparkSession.sparkContext.broadcast(commonest(grams, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
             for part in parts_by_bytes(batch["text"]):
-                keys, names = (batch[c].slice(done, len(part)) for c in ("key", "model"))
+                own = [batch[c].slice(done, len(part)) for c in ("doc_id", "key", "lang", "model")]
                 done += len(part)
-                gram, doc = grams_of(*buffer_of(part), order)
-                total = np.full(len(part), np.nan)
-                coded = names.dictionary_encode()
-                which = coded.indices.to_numpy()[doc]
-                for i, name in enumerate(coded.dictionary.to_pylist()):
-                    if name in shared.value:
-                        at = np.flatnonzero(which == i)
+                coded = own[-1].dictionary_encode()
+                which, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                total, size = np.zeros(len(part)), np.zeros(len(part), np.int64)
+                left: list[np.ndarray] = []
+                for gram, doc in gram_parts(part, order):
+                    size += np.bincount(doc, minlength=len(part))
+                    for i, name in enumerate(names):
+                        at = np.flatnonzero(which[doc] == i)
                         distinct, inverse = np.unique(gram[at], return_inverse=True)
-                        sums = np.bincount(doc[at], weights=shared.value[name].log_p(distinct)[inverse], minlength=len(part))
-                        mine = coded.indices.to_numpy() == i
-                        total[mine] = sums[mine]
-                yield pa.record_batch([keys, pa.array(total, from_pandas=True)], ["key", "log_p"])
-
-    scored = table(docs.select("key", "model", "text").mapInArrow(run, "key long, log_p double"), "scores")
+                        keys, log_p = shared.value.get(name, (np.zeros(0, np.int64), np.zeros(0)))
+                        place = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+                        hit = keys[place] == distinct if len(keys) else np.zeros(len(distinct), bool)
+                        value = np.zeros(len(distinct))
+                        value[hit] = log_p[place[hit]]
+                        total += np.bincount(doc[at], weights=value[inverse], minlength=len(part))
+                        rare = at[~hit[inverse]]
+                        left.append(np.stack([doc[rare], gram[rare]]))
+                (doc, gram), m = np.unique(np.concatenate(left, axis=1), axis=1, return_counts=True) if left else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                row, rare = first + np.arange(len(part)), pa.array(doc)
+                first += len(part)
+                none = lambda kind, n: pa.nulls(n, kind)
+                fields = ["row", "doc_id", "key", "lang", "model", "n_bytes", "log_p", "gram", "m"]
+                yield pa.record_batch([pa.array(row), *own, pa.array(size), pa.array(total), none(pa.int64(), len(part)), none(pa.int64(), len(part))], fields)
+                if len(doc):
+                    yield pa.record_batch([pa.array(row).take(rare), none(pa.int64(), len(doc)), none(pa.binary(), len(doc)), none(pa.string(), len(doc)), own[3].take(rare), none(pa.int64(), len(doc)), none(pa.float64(), len(doc)), pa.array(gram), pa.array(m)], fields)
+
+    kept = table(docs.select("doc_id", "key", "lang", "model", "text").mapInArrow(run, "row long, doc_id long, key binary, lang string, model string, n_bytes long, log_p double, gram long, m long"), "scores")
     shared.destroy()
-    return scored
-
-
-def score_by_shuffle(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """The same sums by joins of each document's distinct n-grams with the sharded tables, order by order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, doc = grams_of(*buffer_of(batch["text"]), order)
-            at = np.lexsort((gram, doc))
-            new = np.flatnonzero(np.concatenate([[True], (gram[at][1:] != gram[at][:-1]) | (doc[at][1:] != doc[at][:-1])])) if len(at) else at
-            rows = pa.array(doc[at][new])
-            yield pa.record_batch([batch["key"].take(rows), batch["model"].take(rows), pa.array(gram[at][new]), pa.array(np.diff(np.append(new, len(at))))], ["key", "model", "gram", "m"])
-
-    known = model.select("model").distinct()
-    rows = docs.join(known, "model", "left_semi").select("key", "model", "text").mapInArrow(run, "key long, model string, gram long, m long").withColumn("sum", F.lit(0.0))
-    done = None
-    for k in range(order, 0, -1):
-        p = model.filter((F.col("n") == k) & F.col("p").isNotNull()).select("model", "gram", "p")
-        back = model.filter((F.col("n") == k - 1) & F.col("back").isNotNull()).select("model", F.col("gram").alias("context"), "back")
-        met = rows.join(p, ["model", "gram"], "left")
-        hit = met.filter("p is not null").select("key", (F.col("m") * (F.col("sum") + F.col("p"))).alias("sum"))
-        done = hit if done is None else done.unionByName(hit)
-        rest = met.filter("p is null").withColumn("context", F.shiftright("gram", 8)).join(back, ["model", "context"], "left")
-        rows = rest.select("key", "model", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram"), "m", (F.col("sum") + F.coalesce("back", F.lit(0.0))).alias("sum"))
-    done = done.unionByName(rows.select("key", (F.col("m") * (F.col("sum") - np.log(256))).alias("sum")))
-    sums = done.groupBy("key").agg(F.sum("sum").alias("log_p"))
-    return docs.select("key", "model").join(known.withColumn("known", F.lit(True)), "model", "left").join(sums, "key", "left").select("key", F.when(F.col("known"), F.coalesce("log_p", F.lit(0.0))).alias("log_p"))
+    rows = kept.filter("gram is null").drop("gram", "m")
+    rare = kept.filter("gram is not null").select("row", "model", "gram", "m").join(grams.select("model", "gram", F.col("log_p").alias("p")), ["model", "gram"])
+    sums = rare.groupBy("row").agg(F.sum(F.col("m") * F.col("p")).alias("more"))
+    return rows.join(sums, "row", "left").withColumn("log_p", F.col("log_p") + F.coalesce("more", F.lit(0.0))).drop("more", "row")
 
 
 def prepared(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("key", row_key("doc_id", "text"))
     # The fold by the text, so that copies of a trusted document are not scored with it.
     return rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).cast("int"))
 
 
-def quality(df: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per document: doc_id, key, lang, n_bytes, perplexity, threshold, kept."""
+def limits(seen: DataFrame, quantile: float, *by: str) -> DataFrame:
+    """The quantile of the perplexities of each group, from counts of steps of a thousandth, so that it does not depend on the order of rows."""
+    steps = seen.groupBy(*by, F.ceil(F.log("perplexity") * 1000).alias("step")).agg(F.count("*").alias("m"))
+    upto = W.partitionBy(*by).orderBy("step")  # a group has one row for each step, some thousands
+    total = F.sum("m").over(W.partitionBy(*by))
+    reached = steps.withColumn("upto", F.sum("m").over(upto)).withColumn("total", total).filter(F.col("total") >= LEAST_TRUSTED).filter(F.col("upto") >= F.col("total") * quantile)
+    return table(reached.groupBy(*by).agg(F.exp(F.min("step") / 1000).alias("limit")), "limits")
+
+
+def quality(df: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head: int = HEAD) -> DataFrame:
+    """One row per document: doc_id, key, lang, n_bytes, perplexity, threshold, kept. The result does not depend on head."""
     rows = prepared(df, id_col, text_col, lang_col)
     trusted = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    trusted = trusted.filter("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id", F.xxhash64("doc_id").alias("k"))
-    some, _ = split_by(rows.select("doc_id", "text", "lang", "fold").withColumn("k", F.xxhash64("doc_id")), "k", trusted)
+    trusted = table(trusted.filter("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id"), "trusted")
+    some, _ = split_by(rows.select("doc_id", "text", "lang", "fold"), "doc_id", trusted)
     model_of = lambda fold: F.concat_ws("|", fold.cast("string"), "lang").alias("model")
-    top = table(counts(some.join(trusted.select("doc_id"), "doc_id").select(model_of(F.col("fold")), "text"), order), "counts")
+    top = table(counts(some.join(trusted, "doc_id").select(model_of(F.col("fold")), "text"), order), "counts")
     model = table(probabilities(top, order), "model")
-    docs = rows.select("key", model_of(1 - F.col("fold")), "text")
-    score = score_by_broadcast if model.count() <= max_broadcast else score_by_shuffle
-    scored = score(docs, model, order)
-    sizes = rows.select("key", "doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
-    scored = sizes.join(scored.groupBy("key").agg(F.first("log_p").alias("log_p")), "key", "left")
-    scored = table(scored.select("key", "doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"), F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2).cast("int").alias("size")), "perplexity")
-    seen = scored.filter("perplexity is not null").join(trusted.select("doc_id"), "doc_id", "left_semi")
-    at = lambda *by: seen.groupBy(*by).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"), F.count("*").alias("m")).filter(F.col("m") >= LEAST_TRUSTED)
-    fine, coarse = at("lang", "size").select("lang", "size", "limit"), at("lang").select("lang", F.col("limit").alias("coarse"))
-    out = scored.join(fine, ["lang", "size"], "left").join(coarse, "lang", "left")
+    known = table(top.select("model").distinct(), "models")
+    docs = rows.select("doc_id", "key", "lang", model_of(1 - F.col("fold")), "text")
+    judged = docs.join(known, "model", "left_semi")
+    grams = looked_up(table(counts(judged, order), "asked"), model, order)
+    done = scored(judged, grams, order, head)
+    rest = docs.join(known, "model", "left_anti").select("doc_id", "key", "lang", "model", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p"))
+    every = done.unionByName(rest).select("doc_id", "key", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"), F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2).cast("int").alias("size"))
+    every = table(every, "perplexity")
+    seen = table(every.filter("perplexity is not null").join(trusted, "doc_id", "left_semi").select("lang", "size", "perplexity"), "seen")
+    fine, coarse = limits(seen, quantile, "lang", "size"), limits(seen, quantile, "lang").withColumnRenamed("limit", "coarse")
+    # A row for each language and size: as tables of known size, Spark sends them out itself where they are small.
+    out = every.join(fine, ["lang", "size"], "left").join(coarse, "lang", "left")
     threshold = F.coalesce("limit", "coarse") * tolerance
     return out.select("doc_id", "key", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
 
