@@ -85,6 +85,15 @@ def test_token_files(spark, docs, texts, tokens, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{path}/blocks").count() > 3
 
 
+def test_ids_of_texts_with_added_tokens():
+    from vecforest.llm.tokens import encode_batch
+
+    texts = ["hello <|endoftext|> world<|endoftext|>", "<|endoftext", "|>, <|endoftext|>|>", "a<|endof|text|>", None, "x<|endoftext|><|endoftext|>y"]
+    ids, off = encode_batch(pa.array(texts), JSON, 2)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == brute.token_lists(texts)
+    assert ids[:4].tolist() == [31373, 220, 50256, 995]
+
+
 def test_token_files_with_odd_ids(odd_ids):
     got = binary.token_file_digests(odd_ids, JSON, 2, 50257).collect()
     assert len(got) == 7 and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 1, 1, 1, 2, 3]

@@ -12,12 +12,12 @@ one document is read by its offset without the rest of the block. Rows carry the
 smallest and largest id of the block, by which Parquet skips other blocks, and
 the number of ids before the block in its part. Parts are ranges of ids.
 
-The dictionary is trained on at most SAMPLE_DOCS documents (a model's sample, as
-documented); it changes the size of the files, never what is read back.
+The dictionary is trained on at most SAMPLE_DOCS documents and the first SAMPLE_IDS ids
+of each (a model's sample, as documented); it changes the size of the files, never what is read back.
 
 Defined results: null text counts as empty and is the end id alone; a null id
 comes before all others; repeated ids stand in order of their token counts and
-bytes; an empty table makes an empty file.
+bytes; a text of any length is one frame; an empty table makes an empty file.
 """
 
 from __future__ import annotations
@@ -32,16 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vecforest.llm.common import new_path, text_rows
 from vecforest.llm.tokens import encode_batch
 
 MAGIC = b"VFT1"
-SAMPLE_DOCS, DICT_BYTES, LEVEL = 400, 64 << 10, 3
+SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 400, 1 << 15, 64 << 10, 3
 BLOCK_BYTES = 2 << 20
 #: Bytes of input text that a part should hold.
 PART_BYTES = 32 << 20
-FRAMES = "doc_id long, n_tokens long, frame binary"
+RUN = 4096
+FRAMES = "part int, doc_id long, n_tokens long, frame binary"
 BLOCKS = "part int, block int, first_id long, last_id long, n_docs long, n_tokens long, start_in_part long, payload binary"
 
 
@@ -55,7 +57,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
         for batch in batches:
             ids, off = encode_batch(batch["text"], tokenizer_path, end_id)
             ids = ids.astype(f"<u{width}")
-            yield pa.record_batch([pa.array([ids[a:b][: 1 << 15].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["ids"])
+            yield pa.record_batch([pa.array([ids[a:b][:SAMPLE_IDS].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["ids"])
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(arrays, "ids binary").collect()]
     try:
@@ -116,14 +118,14 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             ids, off = encode_batch(batch["text"], tokenizer_path, end_id)
             ids = ids.astype(f"<u{width}")
             packed = [compress(ids[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.record_batch([batch["doc_id"], pa.array(np.diff(off)), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "frame"])
+            part = np.searchsorted(bounds, batch["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
+            yield pa.record_batch([pa.array(part), batch["doc_id"], pa.array(np.diff(off)), pa.array(packed, pa.binary())], ["part", "doc_id", "n_tokens", "frame"])
 
     # Ranges of ids from the id column alone: a range sort of the frames would encode every text twice.
     stats = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     parts = max(1, -(-(stats.chars or 0) // PART_BYTES))
     bounds = docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 and stats.n else []
-    bounds = sorted({int(b) for b in bounds})
-    part = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, b: n + F.when(F.col("doc_id") >= b, 1).otherwise(0)) if bounds else F.lit(0)
+    bounds = np.array(sorted({int(b) for b in bounds}), np.int64)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, at, number, before = [], 0, None, 0, 0
@@ -147,7 +149,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             yield out()
 
     (
-        docs.mapInArrow(frames, FRAMES).withColumn("part", part).repartition(max(1, parts), "part")
+        docs.mapInArrow(frames, FRAMES).repartitionById(len(bounds) + 1, "part")
         .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
         .mapInArrow(blocks, BLOCKS).write.option("parquet.block.size", 16 << 20).option("compression", "uncompressed").parquet(f"{path}/blocks")
     )
@@ -157,11 +159,11 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids. With doc_ids only the blocks that may hold them are read."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     table = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # One number per part: the parts are few, and their count is fixed when the files are written.
-    sums = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    base, total = {}, 0
-    for part, n in sums:
-        base[part], total = total, total + n
+    # Ids before each part: sums within runs of RUN parts, then over the runs, so that no task sorts all parts.
+    sums = table.groupBy("part", F.floor(F.col("part") / RUN).alias("run")).agg(F.sum("n_tokens").alias("n"))
+    runs = sums.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = sums.withColumn("within", within).join(runs, "run").select("part", (F.col("within") + F.col("earlier")).alias("base"))
     if doc_ids is not None:
         wanted = F.lit(False)
         for i in doc_ids:
@@ -170,10 +172,10 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, payload in zip(batch["part"].to_pylist(), batch["start_in_part"].to_pylist(), batch["payload"], strict=True):
+            for before, payload in zip(batch["start"].to_pylist(), batch["payload"], strict=True):
                 block = Block(payload.as_py(), dictionary)
                 picked = [i for i in range(len(block.doc_ids)) if doc_ids is None or block.doc_ids[i] in doc_ids and not block.null[i]]
-                starts = base[part] + before + np.concatenate([[0], np.cumsum(block.counts.astype(np.int64))])
+                starts = before + np.concatenate([[0], np.cumsum(block.counts.astype(np.int64))])
                 for some in (picked[i : i + 500] for i in range(0, len(picked), 500)):
                     ids = [block.document(i) for i in some]
                     if any(len(x) != block.counts[i] for i, x in zip(some, ids, strict=True)):
@@ -183,7 +185,8 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                         pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), *([pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] if with_ids else []),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return table.select("part", "start_in_part", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    placed = table.join(base, "part").select((F.col("start_in_part") + F.col("base")).alias("start"), "payload")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_file_digests(df: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

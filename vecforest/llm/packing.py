@@ -87,15 +87,15 @@ def swept(rows: DataFrame, n: int) -> DataFrame:
 def matched(sweep: DataFrame) -> DataFrame:
     """Each gap and piece with the other that it is matched with, if any."""
     step = F.when(F.col("kind") == GAP, 1).otherwise(-1)
-    # One row per partition of the sort: the sum over it and the lowest point in it.
+    # One row per partition of the sort, for SORT_ROWS rows each: the sum over it and the lowest point in it.
     ends = sorted((r.part, r.total, r.low) for r in sweep.groupBy("part").agg(F.sum(step).alias("total"), F.min(F.col("sum") + F.least(step, F.lit(0))).alias("low")).collect())
     depth, into = 0, {}
     for part, total, low in ends:
         into[part] = depth
         depth = max(depth + total, total - min(low, 0))
-    enter = F.create_map(*[F.lit(x) for pair in into.items() for x in pair])[F.col("part")] if into else F.lit(0)
-    before = F.greatest(enter + F.col("sum"), F.col("sum") - F.least(F.col("low"), F.lit(0)))
-    rows = sweep.withColumn("level", F.when(F.col("kind") == GAP, before + 1).otherwise(before))
+    enter = sweep.sparkSession.createDataFrame(list(into.items()), "part int, enter long")
+    before = F.greatest(F.col("enter") + F.col("sum"), F.col("sum") - F.least(F.col("low"), F.lit(0)))
+    rows = sweep.join(enter, "part").withColumn("level", F.when(F.col("kind") == GAP, before + 1).otherwise(before))
     none = rows.filter((F.col("kind") == PIECE) & (F.col("level") <= 0)).select("kind", "id", "size", F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("other_size"))
     at = W.partitionBy("level").orderBy(F.desc("size"), "kind", F.xxhash64("id"))
     side = lambda c: F.when(F.col("kind") == PIECE, F.lag(c).over(at)).when(F.lead("kind").over(at) == PIECE, F.lead(c).over(at))

@@ -210,15 +210,15 @@ MARK = np.isin(np.arange(256), list(b"!,.:;?|*#$%&)"))
 LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 
 
-def safe_cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+def safe_cuts(raw: np.ndarray, off: np.ndarray, whole: tuple[bytes, ...] = ()) -> np.ndarray:
     """Where a text can be cut so that byte-level tokenizers see each part alone.
 
     A cut stands before a space or line feed that follows a character that is
     surely no white space: a printable ASCII character or a two-byte character
     with a lead byte from C3 to DF. No token of the pre-splitting pattern goes on
     from such a character into white space. Another stands between an ASCII letter
-    and a mark, as no token goes on from a letter into a mark. Document starts are cuts as well, and
-    the end of the buffer is the last.
+    and a mark, as no token goes on from a letter into a mark. None stands within one
+    of the strings `whole`. Document starts are cuts as well, and the end of the buffer is the last.
     """
     n = len(raw)
     if n == 0:
@@ -232,13 +232,19 @@ def safe_cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     mark = np.flatnonzero(MARK[raw])
     mark = mark[mark > 0]
     cuts[mark[LETTER[raw[mark - 1]]]] = True
+    data = raw.tobytes() if whole else b""
+    for token in whole:
+        found = data.find(token)
+        while found >= 0:
+            cuts[found + 1 : found + len(token)] = False
+            found = data.find(token, found + len(token))
     cuts[off] = True
     return np.flatnonzero(cuts)
 
 
-def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+def pieces(raw: np.ndarray, off: np.ndarray, whole: tuple[bytes, ...] = ()) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Cuts a batch at safe_cuts: the index of each piece's distinct text, the distinct texts, and the n + 1 offsets of documents into the pieces."""
-    cuts = safe_cuts(raw, off)
+    cuts = safe_cuts(raw, off, whole)
     if len(cuts) < 2:
         return np.zeros(0, np.int64), [], np.zeros(len(off), np.int64)
     arr = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))

@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, a batch at a time.
 
-Byte-level pre-splitting never matches across a safe cut (textops.safe_cuts), so
-a batch's distinct pieces are encoded once and their ids gathered for every
+Byte-level pre-splitting never matches across a safe cut (textops.safe_cuts), and no
+cut stands in an added token such as `<|endoftext|>`, which becomes its own id. So a batch's distinct pieces are encoded once and their ids gathered for every
 place where they stand. A worker remembers a bounded number of pieces.
 """
 
@@ -25,9 +25,13 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    """Strings that the library takes for one token wherever they stand in a text."""
+    return tuple(t.content.encode() for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
 class Memo:
@@ -65,7 +69,7 @@ def memo(path: str) -> Memo:
 def _encode_part(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some texts, and how many each has."""
     raw, off = textops.buffer_of(texts)
-    which, distinct, first = textops.pieces(raw, off)
+    which, distinct, first = textops.pieces(raw, off, added_tokens(path))
     known = memo(path)
     which = known.numbers(distinct)[which]
     flat, start = np.frombuffer(known.flat, np.uint32) if known.flat else np.zeros(1, np.uint32), np.frombuffer(known.start, np.int64)
