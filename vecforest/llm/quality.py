@@ -41,7 +41,7 @@ from vecforest.llm.textops import LARGE_PART, PART_BYTES, buffer_of, parts_by_by
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
 #: N-grams that every task holds (16 bytes each), whatever the size of the corpus or of the model.
-HEAD = 1 << 19
+HEAD = 1 << 20
 #: N-grams that a task counts before it sends their sums on.
 COUNTED = 1 << 20
 START = 2  # the byte that stands before each text
@@ -92,7 +92,7 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
 
         for batch in batches:
             done = 0
-            for part in parts_by_bytes(batch["text"], LARGE_PART):
+            for part in parts_by_bytes(batch["text"]):
                 coded = batch["model"].slice(done, len(part)).dictionary_encode()
                 done += len(part)
                 own = coded.dictionary.to_pylist()
@@ -216,8 +216,9 @@ def scored(docs: DataFrame, grams: DataFrame, order: int, head: int) -> DataFram
                         value[hit] = log_p[place[hit]]
                         total += np.bincount(doc[at], weights=value[inverse], minlength=len(part))
                         rare = at[~hit[inverse]]
-                        left.append(np.stack([doc[rare], gram[rare]]))
-                (doc, gram), m = np.unique(np.concatenate(left, axis=1), axis=1, return_counts=True) if left else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                        left.append((doc[rare] << (8 * order)) | gram[rare])
+                both, m = np.unique(np.concatenate(left), return_counts=True) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                doc, gram = both >> (8 * order), both & ((1 << 8 * order) - 1)
                 row, rare = first + np.arange(len(part)), pa.array(doc)
                 first += len(part)
                 none = lambda kind, n: pa.nulls(n, kind)
