@@ -278,3 +278,26 @@ def test_parameters():
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], R.FIELDS)
     assert R.knn(none, "leaf", 3).count() == R.cross_candidates(none, 0.5).count() == C.bounded_hierarchy(none.select("doc_id", "vector")).count() == 0
+
+
+def test_chunks_of_many_rows(spark):
+    """Ranks of a range sort of more rows than its sample holds."""
+    rows = K.chunk_numbers(spark.range(0, 3_000_000, 1, 12).select(F.col("id").alias("doc_id")), "doc_id")
+    assert rows.filter(F.col("chunk") != F.floor(F.col("doc_id") / 32)).count() == 0 and rows.count() == 3_000_000
+
+
+def test_a_replayed_batch_keeps_its_documents(spark, tmp_path):
+    import shutil
+
+    from vecforest.operators import embed as E
+    from vecforest.streaming import incremental as Inc
+
+    at = f"file://{tmp_path}"
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 15).alias("text"))
+    docs.write.parquet(f"{at}/in")
+    spark.createDataFrame([], "row_key string, vector array<double>").write.parquet(f"{at}/cache/batch=none")
+    for _ in range(2):
+        stream = spark.readStream.schema(docs.schema).parquet(f"{at}/in")
+        Inc.embed_stream(stream, f"{at}/cache", f"{at}/out", E.hashed_ngrams(), "cfg", f"{at}/state").awaitTermination()
+        assert spark.read.parquet(f"{at}/out").filter("vector is not null").count() == 20
+        shutil.rmtree(tmp_path / "state" / "commits")  # as if the run had ended before it could commit the batch

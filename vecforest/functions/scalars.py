@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keys of an embedding configuration that belong to one run and say nothing about the vectors.
-RUN_KEYS = ("generatedAt", "inputSha256", "durationMs", "reusedRows", "computedRows", "uniqueInputs", "updatedAt")
+# Keys of an embedding configuration that belong to one run and say nothing about the vectors.
+RUN_KEYS = ("inputSha256", "generatedAt", "durationMs", "reusedRows", "computedRows", "uniqueInputs", "gpuAdapter")
 
 
 def article_date(s: Column) -> Column:

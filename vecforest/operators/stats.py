@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vecforest.sources.tables import materialize
+
 
 def at_ranks(df: DataFrame, col: str, ranks: list[int]) -> DataFrame:
     """(rank, value) at these ranks from 0 of the ascending column, by counts of its values and a running sum.
@@ -14,11 +16,12 @@ def at_ranks(df: DataFrame, col: str, ranks: list[int]) -> DataFrame:
     kept per partition of a range sort, with one number carried between partitions.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).count()
-    sorted_counts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    # Written once: the bounds of a range sort are sampled anew whenever it runs.
+    sorted_counts = materialize(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
     before = sorted_counts.groupBy("part").agg(F.sum("count").alias("n"))
     base = before.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "base")  # one row per partition
     upto = F.sum("count").over(W.partitionBy("part").orderBy("value"))
-    ends = sorted_counts.join(F.broadcast(base), "part").select("value", (F.col("base") + upto).alias("end"), "count")
+    ends = sorted_counts.join(base, "part").select("value", (F.col("base") + upto).alias("end"), "count")
     wanted = F.array(*map(F.lit, ranks)) if ranks else F.array().cast("array<int>")
     return ends.select("value", F.explode(F.filter(wanted, lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("count")))).alias("rank"))
 

@@ -6,22 +6,25 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from vecforest.functions.scalars import fnv1a32, short_label
+from vecforest.sources.tables import materialize
 
 ROWS_A_CHUNK = 32
 
 
 def chunk_numbers(docs: DataFrame, order: str, rows: int = ROWS_A_CHUNK) -> DataFrame:
-    """Adds the chunk of each document: its rank in the order, over `rows`. Ranks come from a range sort with one count for each partition."""
-    part = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id())
-    part = part.withColumns({"part": F.shiftright("at", 33).cast("int"), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = sorted((r.part, r["count"]) for r in part.groupBy("part").count().collect())  # one number per partition
-    base, total = {}, 0
-    for p, n in counts:
-        base[p], total = total, total + n
-    start = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])[F.col("part")] if base else F.lit(0)
-    return part.withColumn("chunk", F.floor((start + F.col("at")) / rows).cast("long")).drop("part", "at")
+    """Adds the chunk of each document: its rank in the order, over `rows`.
+
+    The range sort is written once, as its bounds are sampled anew whenever it runs;
+    places within partitions and the partitions' counts then come from the same sort.
+    """
+    part = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    part = materialize(part.withColumns({"__part": F.shiftright("__at", 33).cast("int"), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # one row per partition
+    base = part.groupBy("__part").count().select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
+    return part.join(base, "__part").withColumn("chunk", F.floor((F.col("__base") + F.col("__at")) / rows).cast("long")).drop("__part", "__at", "__base")
 
 
 def page_slice(df: DataFrame, order: str, page: int, rows: int) -> DataFrame:
@@ -47,12 +50,15 @@ def catalog_manifest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def by_chunk(df: DataFrame) -> DataFrame:
+    return df.repartitionByRange("chunk").sortWithinPartitions("chunk")
+
+
 def write_catalog(docs: DataFrame, edges: DataFrame, members: DataFrame, path: str, order: str = "doc_id") -> None:
-    chunks = chunk_numbers(docs, order)
-    chunks.write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/documents")
-    spark = docs.sparkSession
-    chunks = spark.read.parquet(f"{path}/documents")
-    catalog_edges(edges, chunks).write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/edges")
+    """Documents and edges in files sorted by chunk: a chunk is found by the files' least and greatest values, without a folder for each."""
+    by_chunk(chunk_numbers(docs, order)).write.mode("overwrite").parquet(f"{path}/documents")
+    chunks = docs.sparkSession.read.parquet(f"{path}/documents")
+    by_chunk(catalog_edges(edges, chunks)).write.mode("overwrite").parquet(f"{path}/edges")
     catalog_index(chunks, members).write.mode("overwrite").parquet(f"{path}/index")
 
 
@@ -95,4 +101,4 @@ def scope_chunk(role, scope_id):
 
 
 def write_scopes(scopes: DataFrame, path: str) -> None:
-    scopes.withColumn("chunk", scope_chunk(F.col("role"), F.col("scope_id"))).write.mode("overwrite").partitionBy("chunk").parquet(path)
+    by_chunk(scopes.withColumn("chunk", scope_chunk(F.col("role"), F.col("scope_id")))).write.mode("overwrite").parquet(path)

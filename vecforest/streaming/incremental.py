@@ -13,17 +13,21 @@ def embed_stream(stream: DataFrame, cache_path: str, out_path: str, embedder: Em
     """Starts a query that writes vectors of new documents and adds new texts to the cache.
 
     Files are written under the batch's number, so a batch that is run again after
-    a failure replaces what it wrote before.
+    a failure replaces what it wrote before. It does not take its own earlier rows for
+    known ones; and a document without a vector is an error, never a lost row.
     """
+    schema = "row_key string, vector array<double>"
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         rows = df.withColumn("row_key", row_key(config))
-        known = spark.read.option("recursiveFileLookup", True).schema("row_key string, vector array<double>").parquet(cache_path).dropDuplicates(["row_key"])
+        every = spark.read.option("recursiveFileLookup", True).schema(schema).parquet(cache_path)
+        known = every.filter(~F.col("_metadata.file_path").contains(f"/batch={number}/")).dropDuplicates(["row_key"])
         missing = rows.select("row_key", "text").dropDuplicates(["row_key"]).join(known, "row_key", "left_anti")
         embed_missing(missing, embedder).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
-        known = spark.read.option("recursiveFileLookup", True).schema("row_key string, vector array<double>").parquet(cache_path).dropDuplicates(["row_key"])
-        rows.join(known, "row_key").select("doc_id", "row_key", "vector").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        found = known.unionByName(spark.read.schema(schema).parquet(f"{cache_path}/batch={number}"))
+        vector = F.coalesce("vector", F.raise_error(F.concat(F.lit("no vector for "), F.col("row_key"))).cast("array<double>"))
+        rows.join(found, "row_key", "left").select("doc_id", "row_key", vector.alias("vector")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
