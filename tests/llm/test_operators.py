@@ -368,8 +368,7 @@ def test_kneser_ney_sums_to_one(spark):
 
 
 def test_grams_of_a_long_text(monkeypatch):
-    monkeypatch.setattr(quality, "PART_BYTES", 10)
-    monkeypatch.setattr(quality, "LARGE_PART", 20)
+    monkeypatch.setattr(quality, "GRAM_PART", 10)
     text = pa.array(["a long text, cut into small parts; ä, ß and more"])
     gram, _ = quality.grams_of(*textops.buffer_of(text), 5)
     parts = list(quality.gram_parts(text, 5))

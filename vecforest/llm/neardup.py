@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from vecforest.llm.common import row_key, split_by, table, text_rows
 from vecforest.llm.components import components
-from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles
+from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles, spare
 
 K, LEAST_SHARED = 64, 30
 #: Lists of more documents go over hubs; a block holds about so many documents and shingles.
@@ -69,6 +69,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key, n (set size), two fingerprints of the set, the sketch (ascending 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare()
         for own, texts in _parts(batches, "doc_id", "key"):
             val, at = shingles(*buffer_of(texts), width)
             n = np.diff(at)

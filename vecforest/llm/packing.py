@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vecforest.llm.common import drop_table, table, text_rows
+from vecforest.llm.textops import spare
 from vecforest.llm.tokens import encode_batch
 
 #: Rows of a partition of the sort, and the least share of pieces that a round must match before new sequences open.
@@ -47,6 +48,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
     """One row per piece: id (of the piece), doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare(held=False)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, off = encode_batch(batch["text"], tokenizer_path, end_id)

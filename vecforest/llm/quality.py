@@ -21,7 +21,7 @@ rows (document, n-gram, count) to the shards and meet their probabilities in a j
 Defined results: null text counts as empty; a text without bytes has no perplexity
 and stays; a null language is a language of its own; labels that are repeated for
 a document count by the least quality and the largest toxicity; documents with a
-null id are scored but never trusted; a text of any length is scored whole, PART_BYTES
+null id are scored but never trusted; a text of any length is scored whole, GRAM_PART
 at a time; rows that are repeated are scored alike; an empty table gives an empty result.
 """
 
@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vecforest.llm.common import row_key, split_by, table, whole_text
-from vecforest.llm.textops import LARGE_PART, PART_BYTES, buffer_of, parts_by_bytes
+from vecforest.llm.textops import buffer_of, parts_by_bytes, spare
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
 #: N-grams that every task holds (16 bytes each), whatever the size of the corpus or of the model.
-HEAD = 1 << 20
+HEAD = 1 << 19
+#: Bytes of text whose n-grams are in memory at once: some 80 bytes of arrays for each.
+GRAM_PART = 1 << 18
 #: N-grams that a task counts before it sends their sums on.
 COUNTED = 1 << 20
 START = 2  # the byte that stands before each text
@@ -64,12 +66,12 @@ def grams_of(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray,
 def gram_parts(texts: pa.Array, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """grams_of() some texts; those of one long text come a part at a time."""
     raw, off = buffer_of(texts)
-    if len(texts) > 1 or len(raw) <= 2 * LARGE_PART:
+    if len(texts) > 1 or len(raw) <= 2 * GRAM_PART:
         yield grams_of(raw, off, order)
         return
-    for begin in range(0, len(raw), PART_BYTES):
+    for begin in range(0, len(raw), GRAM_PART):
         before = min(begin, order - 1)
-        part = raw[begin - before : begin + PART_BYTES]
+        part = raw[begin - before : begin + GRAM_PART]
         gram, doc = grams_of(part, np.array([0, len(part)]), order)
         yield gram[before:], doc[before:]
 
@@ -78,6 +80,7 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
     """(model, gram, c) over rows (model, text), summed within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare()
         names: list[str] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []  # n-grams with the number of their model above them, and counts
 
@@ -92,7 +95,7 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
 
         for batch in batches:
             done = 0
-            for part in parts_by_bytes(batch["text"]):
+            for part in parts_by_bytes(batch["text"], GRAM_PART):
                 coded = batch["model"].slice(done, len(part)).dictionary_encode()
                 done += len(part)
                 own = coded.dictionary.to_pylist()
@@ -108,6 +111,8 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
         if held:
             held[:] = [summed()]
             yield sent()
+        held.clear()
+        spare()
 
     return rows.select("model", "text").mapInArrow(run, "model string, gram long, c long").groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
@@ -178,12 +183,13 @@ def commonest(grams: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.nda
         least = b
     if least is None:
         return {}
-    t = grams.filter(bucket >= least).select("model", "gram", "log_p").toArrow()
-    names = t["model"].combine_chunks().dictionary_encode()
-    which, gram, log_p = names.indices.to_numpy(), t["gram"].to_numpy(), t["log_p"].to_numpy()
+    top = grams.filter(bucket >= least)
+    names = {r.k: r.model for r in top.select("model", F.xxhash64("model").alias("k")).distinct().collect()}
+    t = top.select(F.xxhash64("model").alias("k"), "gram", "log_p").toArrow()
+    which, gram, log_p = (t[c].to_numpy() for c in ("k", "gram", "log_p"))
     out = {}
-    for i, name in enumerate(names.dictionary.to_pylist()):
-        at = np.flatnonzero(which == i)
+    for k, name in names.items():
+        at = np.flatnonzero(which == k)
         at = at[np.argsort(gram[at])]
         out[name] = gram[at], log_p[at]
     return out
@@ -192,12 +198,14 @@ def commonest(grams: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.nda
 def scored(docs: DataFrame, grams: DataFrame, order: int, head: int) -> DataFrame:
     """log_p for each row of docs (doc_id, key, lang, model, text), which it keeps but for the text; n_bytes beside it."""
     shared = docs.sparkSession.sparkContext.broadcast(commonest(grams, head))
+    spare()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare()
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
-            for part in parts_by_bytes(batch["text"]):
+            for part in parts_by_bytes(batch["text"], GRAM_PART):
                 own = [batch[c].slice(done, len(part)) for c in ("doc_id", "key", "lang", "model")]
                 done += len(part)
                 coded = own[-1].dictionary_encode()
@@ -226,6 +234,7 @@ def scored(docs: DataFrame, grams: DataFrame, order: int, head: int) -> DataFram
                 yield pa.record_batch([pa.array(row), *own, pa.array(size), pa.array(total), none(pa.int64(), len(part)), none(pa.int64(), len(part))], fields)
                 if len(doc):
                     yield pa.record_batch([pa.array(row).take(rare), none(pa.int64(), len(doc)), none(pa.binary(), len(doc)), none(pa.string(), len(doc)), own[3].take(rare), none(pa.int64(), len(doc)), none(pa.float64(), len(doc)), pa.array(gram), pa.array(m)], fields)
+        spare()
 
     kept = table(docs.select("doc_id", "key", "lang", "model", "text").mapInArrow(run, "row long, doc_id long, key binary, lang string, model string, n_bytes long, log_p double, gram long, m long"), "scores")
     shared.destroy()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text
-from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes
+from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes, spare
 
 GRAM, MANY, BATCH_ROWS = 100, 20_000, 8_000
 LOW = np.uint64((1 << 36) - 1)
@@ -144,6 +144,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
     """For rows (key, text): rows (key, begin, end), byte ranges of which each part is under a repeated string. Ranges may overlap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare()
         for batch in batches:
             done = 0
             for part in parts_by_bytes(batch["text"]):

@@ -6,7 +6,9 @@ and rolling hashes are NumPy passes over that buffer, never per-row Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,22 @@ MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 1 << 64)
 
 
+#: What frees the memory that an operator holds from task to task in a Python worker.
+HELD: list[Callable[[], None]] = []
+
+
+def spare(held: bool = True) -> None:
+    """Gives memory back to the machine that earlier tasks of this Python worker left behind: workers serve one operator after another."""
+    for free in HELD if held else []:
+        free()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection), so that low and high bits are usable alike."""
     with np.errstate(over="ignore"):

@@ -66,6 +66,9 @@ def memo(path: str) -> Memo:
     return Memo(path)
 
 
+textops.HELD.append(memo.cache_clear)
+
+
 def _encode_part(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some texts, and how many each has."""
     raw, off = textops.buffer_of(texts)
