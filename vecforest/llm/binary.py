@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vecforest.llm.common import new_path, text_rows
+from vecforest.llm.common import new_path, table, text_rows
 from vecforest.llm.tokens import encode_batch
 
 MAGIC = b"VFT1"
@@ -158,17 +158,18 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids. With doc_ids only the blocks that may hold them are read."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
-    table = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     # Ids before each part: sums within runs of RUN parts, then over the runs, so that no task sorts all parts.
-    sums = table.groupBy("part", F.floor(F.col("part") / RUN).alias("run")).agg(F.sum("n_tokens").alias("n"))
+    sums = blocks.groupBy("part", F.floor(F.col("part") / RUN).alias("run")).agg(F.sum("n_tokens").alias("n"))
     runs = sums.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     within = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = sums.withColumn("within", within).join(runs, "run").select("part", (F.col("within") + F.col("earlier")).alias("base"))
+    # A table of its own: Spark knows its size, and sends it out where it is small instead of shuffling the blocks.
+    base = table(sums.withColumn("within", within).join(runs, "run").select("part", (F.col("within") + F.col("earlier")).alias("base")), "starts")
     if doc_ids is not None:
         wanted = F.lit(False)
         for i in doc_ids:
             wanted = wanted | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
-        table = table.filter(wanted)
+        blocks = blocks.filter(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +186,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                         pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), *([pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] if with_ids else []),
                     ], ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    placed = table.join(base, "part").select((F.col("start_in_part") + F.col("base")).alias("start"), "payload")
+    placed = blocks.join(base, "part").select((F.col("start_in_part") + F.col("base")).alias("start"), "payload")
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
