@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bits of one shard of a filter: what is sent to an executor at once, 32 MB. Larger tables have more shards.
 SHARD_BITS = 1 << 28
 BITMAP_BITS = 32768
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:

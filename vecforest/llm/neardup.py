@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from vecforest.llm.common import row_key, split_by, table, text_rows
 from vecforest.llm.components import components
-from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles, spare
+from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles, spare, tidy
 
 K, LEAST_SHARED = 64, 30
 #: Lists of more documents go over hubs; a block holds about so many documents and shingles.
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             one, two = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in (sums, twice))
             yield pa.record_batch([*own, pa.array(n), pa.array(one), pa.array(two), _binary([val[a : min(b, a + K)] for a, b in zip(at[:-1], at[1:], strict=True)])], ["doc_id", "key", "n", "one", "two", "sketch"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, n long, one long, two long, sketch binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(tidy(run), "doc_id long, key binary, n long, one long, two long, sketch binary")
 
 
 def values_of(reps: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def index_rows(reps: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(v, pa.int64()), pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64()), pa.array(small, pa.binary()), pa.array(before, pa.binary())], ["v", "rep", "n", "weight", "small", "before"])
 
     wide = reps.join(shared, "rep").select("rep", "n", "sketch", F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"), F.col("shared.v").alias("v"))
-    return wide.mapInArrow(run, "v long, rep long, n long, weight long, small binary, before binary")
+    return wide.mapInArrow(tidy(run), "v long, rep long, n long, weight long, small binary, before binary")
 
 
 def shared_part(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +235,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([t[c].combine_chunks().take(rows) for c in columns], columns)
 
     dealt = rows.select(*columns, "small", "before").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return dealt.mapInArrow(run, MEMBERS)
+    return dealt.mapInArrow(tidy(run), MEMBERS)
 
 
 def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     dealt = members.join(sets, "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def blocks_of(count: Column, values: Column) -> Column:
@@ -328,7 +328,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([*own, _binary([val[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])], ["rep", "set"])
 
     some, _ = split_by(docs, "key", wanted)
-    return some.join(wanted, "key").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(run, "rep long, set binary")
+    return some.join(wanted, "key").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(tidy(run), "rep long, set binary")
 
 
 def judged(docs: DataFrame, width: int) -> DataFrame:

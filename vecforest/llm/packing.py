@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vecforest.llm.common import drop_table, table, text_rows
-from vecforest.llm.textops import spare
+from vecforest.llm.textops import spare, tidy
 from vecforest.llm.tokens import encode_batch
 
 #: Rows of a partition of the sort, and the least share of pieces that a round must match before new sequences open.
@@ -66,7 +66,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
             number += len(row)
             yield pa.record_batch(columns, ["id", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(run, "id long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_rows(df, id_col, text_col).mapInArrow(tidy(run, held=False), "id long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def swept(rows: DataFrame, n: int) -> DataFrame:

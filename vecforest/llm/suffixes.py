@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text
-from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes, spare
+from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes, spare, tidy
 
 GRAM, MANY, BATCH_ROWS = 100, 20_000, 8_000
 LOW = np.uint64((1 << 36) - 1)
@@ -156,7 +156,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
                 around = pa.array([digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + strings - 1 + width).tolist(), strict=True)], pa.binary())
                 yield pa.record_batch([keys, *(pa.array(c.astype(np.int32)) for c in (begin - off[doc], strings, left)), pa.array(h), around], [c.split()[0] for c in SAMPLES.split(", ")])
 
-    every = table(docs.mapInArrow(find, SAMPLES), "samples")
+    every = table(docs.mapInArrow(tidy(find), SAMPLES), "samples")
     twice = table(every.groupBy("gram").count().filter("count > 1").select("gram"), "twice")  # a table of its own, so that Spark can split a hot gram in the join
     hits = table(every.join(twice, "gram"), "hits")
     same = ["gram", "around", "left", "strings"]
@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
                 yield pa.record_batch([pa.array([key] * len(asked), pa.binary()), *(pa.array(rows[c], pa.int64()) for c in rows), pa.array(around, pa.binary())], ["key", *rows, "around"])
 
     fields = "key binary, gram long, m long, left long, strings long, n long, start long, around binary"
-    cuts = table(per_text.join(texts, "key").select("key", "text", "asked").mapInArrow(cut, fields), "cuts")
+    cuts = table(per_text.join(texts, "key").select("key", "text", "asked").mapInArrow(tidy(cut), fields), "cuts")
 
     def spans(t: pa.Table) -> pa.RecordBatch:
         key = t["key"].combine_chunks().dictionary_encode().indices.to_numpy()
@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
         if sum(map(len, kept)):
             yield spans(pa.Table.from_batches(kept))
 
-    found = cuts.filter(F.col("m") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "key binary, begin long, end long")
+    found = cuts.filter(F.col("m") <= many).repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(compare), "key binary, begin long, end long")
 
     def strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = GRAM, many: int = MA
                 yield pa.record_batch([pa.array([gram_hash] * k, pa.int64()), pa.array(left - np.arange(k)), pa.array(h, pa.binary()), pa.array([key] * k, pa.binary()), pa.array(start + np.arange(k)), pa.array([n] * k, pa.int64())], ["gram", "before", "hash", "key", "begin", "n"])
 
     large = cuts.filter(F.col("m") > many)
-    each = large.mapInArrow(strings_of, "gram long, before long, hash binary, key binary, begin long, n long").distinct()
+    each = large.mapInArrow(tidy(strings_of), "gram long, before long, hash binary, key binary, begin long, n long").distinct()
     again = each.groupBy("gram", "before", "hash").count().filter("count > 1").drop("count")
     hot = each.filter("n = 1").join(again, ["gram", "before", "hash"]).select("key", "begin", (F.col("begin") + width).alias("end"))
     return whole.unionByName(found).unionByName(hot)
@@ -251,4 +251,4 @@ def without_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", tex
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)] if out else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()] * 2]
             yield pa.record_batch([batch["doc_id"], *columns, batch["row"]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "row"])
 
-    return ready.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, row {rows.schema['row'].dataType.simpleString()}")
+    return ready.mapInArrow(tidy(cut), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, row {rows.schema['row'].dataType.simpleString()}")

@@ -31,6 +31,7 @@ def spare(held: bool = True) -> None:
     """Gives memory back to the machine that earlier tasks of this Python worker left behind: workers serve one operator after another."""
     for free in HELD if held else []:
         free()
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -39,6 +40,16 @@ def spare(held: bool = True) -> None:
         pass
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], held: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives its memory back at its end, so that a worker that waits for its next task holds little."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        spare(held)
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection), so that low and high bits are usable alike."""
     with np.errstate(over="ignore"):
