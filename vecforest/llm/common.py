@@ -51,7 +51,9 @@ def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        while path.getParent().getName() != "vecforest":  # the folder of new_path(), above those of a column
+            path = path.getParent()
         path.getFileSystem(conf).delete(path, True)
 
 

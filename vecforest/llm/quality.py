@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vecforest.llm.common import row_key, split_by, table, whole_text
+from vecforest.llm.common import drop_table, row_key, split_by, table, union_of, whole_text
 from vecforest.llm.textops import buffer_of, parts_by_bytes, spare
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
@@ -118,39 +118,43 @@ def counts(rows: DataFrame, order: int) -> DataFrame:
 
 
 def probabilities(top: DataFrame, order: int) -> DataFrame:
-    """(model, n, gram, p, back): the interpolated probability of each n-gram's last byte and, as a context, the logarithm of what it leaves to lower orders."""
-    tables = {order: top}
+    """(model, n, gram, p, back): the interpolated probability of each n-gram's last byte and, as a context, the logarithm of what it leaves to lower orders.
+
+    Counts, discounts and context sums of all orders are made together; only the
+    steps that need the order below them are a job for each order.
+    """
+    lower = lambda n: F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
+    tables = [top.select("model", F.lit(order).alias("n"), "gram", "c")]
     for n in range(order - 1, 0, -1):
-        tables[n] = tables[n + 1].groupBy("model", F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("gram")).agg(F.count("*").alias("c"))
-    # A context of order n - 1 is stored under n - 1; the empty context under 0.
-    lower, out, contexts = None, None, {}
+        tables.append(table(tables[-1].groupBy("model", lower(n).alias("gram")).agg(F.count("*").alias("c")).select("model", F.lit(n).alias("n"), "gram", "c"), f"c{n}"))
+    every = union_of(tables)
+    of = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    discount = lambda k: F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0)), F.lit(0.5 * k))))
+    discounts = table(every.groupBy("model", "n").agg(*of).select("model", "n", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)]), "discounts")  # one row per model and order
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    with_d = every.join(discounts, ["model", "n"]).select("model", "n", "gram", "c", d.alias("d"), F.shiftright("gram", 8).alias("context"))
+    sums = table(with_d.groupBy("model", "n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left")), "sums")
+    shares = with_d.join(sums, ["model", "n", "context"]).select("model", "n", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("base"), (F.col("left") / F.col("total")).alias("rest"))
+    shares = table(shares, "shares", by="n")
+    for t in tables[1:]:
+        drop_table(t)
+    known: list[DataFrame] = []
     for n in range(1, order + 1):
-        t = tables[n]
-        of = [F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        discount = lambda k, y=y: F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0)), F.lit(0.5 * k))))
-        discounts = t.groupBy("model").agg(*of).select("model", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])  # one row per model
-        context = F.shiftright("gram", 8)
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        with_d = t.join(discounts, "model").select("model", "gram", "c", d.alias("d"), context.alias("context"))
-        sums = with_d.groupBy("model", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        contexts[n - 1] = sums.select("model", F.col("context").alias("gram"), F.log(F.col("left") / F.col("total")).alias("back"))
-        joined = with_d.join(sums, ["model", "context"])
-        base = (F.col("c") - F.col("d")) / F.col("total")
-        if lower is None:
-            p = joined.select("model", "gram", (base + F.col("left") / F.col("total") / 256).alias("p"))
+        own = shares.filter(F.col("n") == n).drop("n")
+        if not known:
+            p = own.select("model", "gram", (F.col("base") + F.col("rest") / 256).alias("p"))
         else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).alias("suffix")
-            met = joined.withColumn("suffix", suffix).join(lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"])
-            p = met.select("model", "gram", (base + F.col("left") / F.col("total") * F.col("q")).alias("p"))
-        lower = p = table(p, f"p{n}")
-        row = p.select("model", F.lit(n).alias("n"), "gram", F.log("p").alias("p"))
-        out = row if out is None else out.unionByName(row)
-    both = None
-    for n, c in contexts.items():
-        c = c.select("model", F.lit(n).alias("n"), "gram", "back")
-        both = c if both is None else both.unionByName(c)
-    return out.join(both, ["model", "n", "gram"], "full")
+            below = known[-1].select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            p = own.withColumn("suffix", lower(n - 1)).join(below, ["model", "suffix"]).select("model", "gram", (F.col("base") + F.col("rest") * F.col("q")).alias("p"))
+        known.append(table(p, f"p{n}"))
+    out = union_of([p.select("model", F.lit(n).alias("n"), "gram", F.log("p").alias("p")) for n, p in enumerate(known, 1)])
+    # A context of order n - 1 is stored under n - 1; the empty context under 0.
+    contexts = sums.select("model", (F.col("n") - 1).alias("n"), F.col("context").alias("gram"), F.log(F.col("left") / F.col("total")).alias("back"))
+    model = table(out.join(contexts, ["model", "n", "gram"], "full"), "model", by="n")
+    for t in [shares, *known, sums]:
+        drop_table(t)
+    return model
 
 
 def looked_up(asked: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -268,7 +272,7 @@ def quality(df: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     some, _ = split_by(rows.select("doc_id", "text", "lang", "fold"), "doc_id", trusted)
     model_of = lambda fold: F.concat_ws("|", fold.cast("string"), "lang").alias("model")
     top = table(counts(some.join(trusted, "doc_id").select(model_of(F.col("fold")), "text"), order), "counts")
-    model = table(probabilities(top, order), "model")
+    model = probabilities(top, order)
     known = table(top.select("model").distinct(), "models")
     docs = rows.select("doc_id", "key", "lang", model_of(1 - F.col("fold")), "text")
     judged = docs.join(known, "model", "left_semi")
