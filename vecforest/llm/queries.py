@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 END_ID, VOCAB = 2, 50257
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,3 +108,45 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.topk import exact_top_k
+
+    return exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
+WHOLE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)"""
+
+ORACLES["op11_exact_top_k"] = f"""
+WITH {WHOLE}, p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.whitening import whitening
+
+    out = whitening(read(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", out["deviation"].cast("long"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecforest.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), label=label)
+
+
+ORACLES["op13_hard_negatives"] = f"""
+WITH {WHOLE}, r AS (SELECT vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l FROM v WHERE label IS NOT NULL),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.l = b.l AS alike, list_dot_product(a.x, b.x)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
