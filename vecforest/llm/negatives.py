@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vecforest.llm.common import table
-from vecforest.llm.vectors import NONE, best_of_rows, first_ranks, in_blocks, matrix, moments, number_type, ranked, whole_vectors
+from vecforest.llm.vectors import NONE, best_of_rows, first_ranks, matrix, moments, number_type, ranked, whole_vectors
 
 SCALE, ZONE, GROUP, ANCHORS, ZONES, STEP = 256, 256, 16, 800, 4096, 128
 CURVE_DIMENSIONS, CURVE_BITS = 12, 5
@@ -118,11 +118,12 @@ def score_bounds(q: np.ndarray, least: np.ndarray, largest: np.ndarray) -> tuple
 
 
 class Zones:
-    """Blocks of candidates (block, zone, vec_id, label, x) and their zone maps, which searches choose from."""
+    """Blocks of n candidates (block, zone, vec_id, label, x) and their zone maps, which searches choose from for blocks of anchors."""
 
-    def __init__(self, rows: DataFrame, kind: type):
-        self.rows, self.kind = rows, kind
-        self.maps = table(zone_maps(rows), "zones").withColumns({"part": F.floor(F.col("zone") / ZONES).cast("int")})
+    def __init__(self, rows: DataFrame, n: int, anchor_blocks: int, kind: type):
+        self.rows, self.anchor_blocks, self.kind = rows, anchor_blocks, kind
+        self.maps = table(zone_maps(rows), "zones").withColumn("part", F.floor(F.col("zone") / ZONES).cast("int"))
+        self.parts = -(-n // (ZONE * ZONES))
 
     def needed(self, asked: DataFrame, same: bool, best: bool) -> DataFrame:
         """(ab, at, block, mask): the zones of a block, as bits, that each anchor's windows must read; with best only the zone of the highest upper bound."""
@@ -154,11 +155,10 @@ class Zones:
                 out = [a["ab"].to_numpy()[row], a["at"].to_numpy()[row], zone[col] // GROUP, mask, high[row, col]]
             return pa.table([pa.array(c) for c in out] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names)
 
-        parts = self.maps.select("part").distinct()
-        blocks = asked.select("ab").distinct()
-        every = table(parts.withColumn("one", F.lit(1)).join(blocks.withColumn("one", F.lit(1)), "one").select("part", "ab"), "every")  # ZONES zones with ANCHORS anchors
-        left = self.maps.join(every, "part").groupBy("part", "ab")
-        right = asked.select("ab", "at", "label", "x", "windows").join(every, "ab").groupBy("part", "ab")
+        # ZONES zone maps meet a block of anchors in a task.
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = self.maps.withColumn("ab", every(self.anchor_blocks)).groupBy("part", "ab")
+        right = asked.select("ab", "at", "label", "x", "windows").withColumn("part", every(self.parts)).groupBy("part", "ab")
         out = left.cogroup(right).applyInArrow(choose, "ab int, at int, block long, mask long, bound long")
         if best:
             out = out.groupBy("ab", "at").agg(F.max(F.struct("bound", "block", "mask")).alias("b")).select("ab", "at", "b.block", "b.mask")
@@ -192,8 +192,7 @@ class Zones:
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
             return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["anchor_id", "slot", "vec_id", "score"])
 
-        pairs = table(needed.select("ab", "block").distinct(), "pairs")
-        left = self.rows.join(pairs, "block").select("ab", "block", "zone", "vec_id", "label", "x").groupBy("ab", "block")
+        left = self.rows.join(needed.select("ab", "block").distinct(), "block").select("ab", "block", "zone", "vec_id", "label", "x").groupBy("ab", "block")
         right = asked.join(needed, ["ab", "at"]).select("ab", "block", "anchor_id", "label", "x", "windows", "mask").groupBy("ab", "block")
         return left.cogroup(right).applyInArrow(hits, HITS)
 
@@ -222,12 +221,14 @@ def hard_negatives(
     if not whole.n:
         return spark.createDataFrame([], schema)
     kind = number_type(whole.width, whole.largest)
+    asked = whole.rows.filter(F.col("vec_id") % 50 == 0 if anchor is None else anchor).groupBy(F.col("vec_id").alias("anchor_id")).agg(F.max(F.struct("x", "label")).alias("r"))
+    asked = table(asked.select("anchor_id", "r.*"), "anchors")
+    anchor_blocks = max(1, -(-asked.count() // ANCHORS))
     order = ranked(curve(whole.rows, whole.n, whole.width), "label", "curve", "vec_id")
     zone = F.floor(F.col("rank") / ZONE)
-    zones = Zones(table(order.select(F.floor(zone / GROUP).alias("block"), zone.alias("zone"), "vec_id", "label", "x").sortWithinPartitions("zone"), "candidates"), kind)
-    asked = whole.rows.filter(F.col("vec_id") % 50 == 0 if anchor is None else anchor).groupBy(F.col("vec_id").alias("anchor_id")).agg(F.max(F.struct("x", "label")).alias("r")).select("anchor_id", "r.*")
-    asked = table(asked, "anchors")
-    ab = in_blocks("anchor_id", asked.count(), ANCHORS)
+    blocks = order.select(F.floor(zone / GROUP).alias("block"), zone.alias("zone"), "vec_id", "label", "x").sortWithinPartitions("zone")
+    zones = Zones(table(blocks, "candidates"), whole.n, anchor_blocks, kind)
+    ab = F.pmod(F.xxhash64("anchor_id"), F.lit(anchor_blocks)).cast("int")
     window = lambda slot, low, high: F.struct(slot.cast("int").alias("slot"), low.cast("long").alias("low"), high.cast("long").alias("high"))
     asked = asked.withColumn("ab", ab).withColumn("at", F.row_number().over(W.partitionBy("ab").orderBy("anchor_id")))
     asked = table(asked.withColumn("windows", F.array(window(F.lit(0), F.lit(-OPEN), F.lit(OPEN)))), "asked")

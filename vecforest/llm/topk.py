@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecforest.llm.common import table
-from vecforest.llm.vectors import NONE, best_of_rows, first_ranks, in_blocks, matrix, number_type, ranked, whole_vectors
+from vecforest.llm.vectors import NONE, best_of_rows, first_ranks, matrix, number_type, ranked, whole_vectors
 
 SCALE, BUCKET, LEAST_BUCKET, QUERY_BLOCK, STEP = 256, 32_768, 1024, 8192, 128
-#: Coordinates that bound a query's rows, and what a row of coordinate pruning costs against a row of a matrix product.
-FOCUS, GATHER = 3, 8
+#: Coordinates that bound a query's rows, and what coordinate pruning costs, each row and each query, against a row of a matrix product.
+FOCUS, GATHER, START = 3, 2, 1000
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -81,7 +81,7 @@ def bucket_hits(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
         left[r, c], right[r, c] = np.searchsorted(values, low[r, c], side="left"), np.searchsorted(values, high[r, c], side="right")
     # The cut between the local thresholds that touches least: below it length pruning, above it coordinate pruning.
     by = np.argsort(local, kind="stable")
-    gather = np.where(may, GATHER * (right - left).min(1), np.inf)[by]
+    gather = np.where(may, START + GATHER * (right - left).min(1), np.inf)[by]
     cut = int(np.argmin(np.append(0, np.cumsum(prefix[by])) + np.append(np.cumsum(gather[::-1])[::-1], 0)))
     by_length, by_coordinate = by[:cut], by[cut:]
     out, seen = [], {"length": len(by_length), "coordinate": len(by_coordinate), "skipped": len(q) - len(used), "products": 0}
@@ -120,7 +120,7 @@ def exact_top_k(df: DataFrame, k: int = 5, query: Column | None = None, scale: i
     rows = table(rows.select(F.floor(F.col("rank") / bucket).cast("int").alias("bucket"), "vec_id", "x", "squared"), "buckets")
     asked = whole.rows.filter(F.col("vec_id") % 50 == 0 if query is None else query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("x").alias("x"))
     asked = table(asked.withColumn("own", squared), "queries")
-    asked = asked.withColumn("block", in_blocks("query_id", asked.count(), query_block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // query_block)))).cast("int"))
     longest = rows.groupBy("bucket").agg(F.max("squared").alias("longest"))
     last = -(-whole.n // bucket) - 1
 
@@ -135,7 +135,7 @@ def exact_top_k(df: DataFrame, k: int = 5, query: Column | None = None, scale: i
         """The hits of queries (with bound) in those of the buckets that one of their block can use."""
         needs = queries.groupBy("block").agg(F.min(F.coalesce(F.col("bound") / F.sqrt("own"), F.when(F.col("bound") > 0, float("inf")).otherwise(float("-inf")))).alias("needs"))
         pairs = needs.withColumn("bucket", F.explode(buckets)).join(longest, "bucket").filter(F.sqrt("longest") >= F.col("needs") * (1 - 1e-9) - 1e-9)
-        pairs = table(pairs.select("block", "bucket"), "pairs")
+        pairs = table(pairs.select("block", "bucket"), "pairs")  # both joins with it can be split, as Spark knows its size
         mine, theirs = rows.join(pairs, "bucket"), queries.join(pairs, "block")
         return mine.select("bucket", "block", "vec_id", "x").groupBy("bucket", "block").cogroup(theirs.select("bucket", "block", "query_id", "x", "bound").groupBy("bucket", "block")).applyInArrow(search, HITS)
 
