@@ -147,6 +147,60 @@ def test_parts_of_large_groups(large_groups):
         assert {ids[i]: (str(g), p) for p, m in enumerate(parts) for i in m} == {i: got[i] for i in ids}
 
 
+def plain_tree(x, parts, depth):
+    """{(members, depth, kind): score} by joining the parts one by one on the mean of all cross pairs."""
+    s, groups, tree = x @ x.T, {i: sorted(p) for i, p in enumerate(parts)}, {}
+    while len(groups) > 1:
+        _, a, b = min((-round(float(s[np.ix_(groups[a], groups[b])].mean()), 12), a, b) for a in groups for b in groups if a < b)
+        score = float(s[np.ix_(groups[a], groups[b])].mean())
+        new = len(parts) + len(tree)
+        tree[new] = (a, b, score, groups[a] + groups[b])
+        groups[new] = sorted(groups.pop(a) + groups.pop(b))
+    out = {}
+
+    def grow(i, level):
+        score, m = (tree[i][2], tree[i][3]) if i in tree else (None, parts[i])
+        split = i in tree and level < depth
+        out[frozenset(m), level] = ("root" if not level else "branch" if split else "leaf", None if score is None else round(score, 9))
+        for child in tree[i][:2] if split else ():
+            grow(child, level + 1)
+
+    top = max(groups)
+    grow(top, 0) if tree else out.update({(frozenset(parts[0]), 0): ("root", None), (frozenset(parts[0]), 1): ("leaf", None)})
+    return out
+
+
+@pytest.mark.parametrize(("most", "tau", "least", "depth"), [(400, 0.6, 3, 7), (12, 0.97, 1, 3)])
+def test_topic_tree(large_groups, most, tau, least, depth):
+    from vecforest.operators.topics import topic_tree
+
+    x, label, v = large_groups
+    part = {r.doc_id: (int(r.root), r.part) for r in C.protected_groups(v, "root", tau, least, most).collect()}
+    members, nodes = topic_tree(v, "root", tau, least, depth, most)
+    paths = {r.doc_id: r.path for r in members.collect()}
+    assert sorted(paths) == list(range(158))
+    got = {g: {} for g in range(3)}
+    for r in nodes.collect():
+        below = frozenset(i for i, p in paths.items() if p == r.node or p.startswith(r.node + "/"))
+        assert len(below) == r.n and r.root == f"t:{label[min(below)]}" and r.depth <= depth
+        got[label[min(below)]][below, r.depth] = (r.kind, r.score)
+    for g in range(3):
+        mine = {}
+        for i, (h, p) in part.items():
+            if h == g:
+                mine.setdefault(p, []).append(i)
+        want = plain_tree(x, [mine[p] for p in sorted(mine)], depth)
+        assert got[g].keys() == want.keys()
+        assert all(got[g][k][0] == kind and got[g][k][1] == pytest.approx(score, abs=1e-8) for k, (kind, score) in want.items())
+
+
+def test_linkage_of_many_parts_is_that_of_one_task(spark):
+    """Members count in a mean, whichever way the parts are merged."""
+    v = Files.synthetic_corpus(spark, 240, 8).withColumns({"leaf": (F.col("doc_id") % 60).cast("string"), "root": F.lit("r")})
+    rows = lambda most: sorted((r.step, r.left, r.right, r["size"], round(r.score, 9)) for r in C.group_linkage(v, "root", "leaf", most).collect())
+    assert len(rows(400)) == 59 and rows(400) == rows(7)
+
+
 @pytest.mark.parametrize("rows", ["spread", "equal", "two"])
 def test_bounded_hierarchy(spark, rows):
     if rows == "spread":

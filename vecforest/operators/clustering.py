@@ -242,14 +242,8 @@ def _nearest(nodes: DataFrame, block: int = 2048) -> DataFrame:
 MERGES = "g string, round int, at long, sub int, name string, left string, right string, score double, size long, cap double"
 
 
-def _merge_rounds(rows: DataFrame, most: int, tau: float | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
-    """Average linkage of large groups (g, doc_id, vector) until `most` nodes of each are left that can merge: nodes, merges, and with tau the members of nodes.
-
-    Two nodes that are each other's nearest merge in the same round in all places, as
-    no other merge can come between them: a mean similarity to a merged node is never
-    above the better one to its halves. So the merges are those of the one-by-one
-    linkage. Equal vectors, of length 1, merge first. With tau, nodes whose nearest is below it are closed.
-    """
+def _equal_first(rows: DataFrame, tau: float | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """The start of _merge_rounds() for rows (g, doc_id, vector): equal vectors, of length 1, merge first. Nodes, merges, and with tau the members of nodes."""
     own = dot(F.col("vector"), F.col("vector"))
     alone = F.lit(None).cast("long") if tau is None else F.when(own < tau, F.col("doc_id"))
     keyed = rows.select("g", "doc_id", "vector", alone.alias("alone"))
@@ -262,6 +256,17 @@ def _merge_rounds(rows: DataFrame, most: int, tau: float | None = None) -> tuple
     members = None if tau is None else keyed.select("doc_id", "g", "at")
     last = keyed.groupBy("g", "at").agg(F.max("k").alias("k"), F.max(F.when(k == 1, F.col("vector"))).alias("vector"))
     nodes = materialize(last.select("g", "at", name(k).alias("name"), "vector", k.cast("long").alias("n"), F.when(k > 1, cap).otherwise(float("inf")).alias("cap"), F.lit(False).alias("closed")))
+    return nodes, merges, members
+
+
+def _merge_rounds(nodes: DataFrame, merges: list[DataFrame], most: int, tau: float | None = None, members: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Average linkage of the nodes (g, at, name, vector, n, cap, closed) of large groups until `most` nodes of each are left that can merge: nodes, merges, and the members of nodes. `at` is unique over all groups.
+
+    Two nodes that are each other's nearest merge in the same round in all places, as
+    no other merge can come between them: a mean similarity to a merged node is never
+    above the better one to its halves. So the merges are those of the one-by-one
+    linkage. With tau, nodes whose nearest is below it are closed.
+    """
     done = None
     step = 0
     while True:
@@ -315,6 +320,34 @@ def _group_of(group: str):
     return F.when(F.col("g") != "", F.expr("substring(g, 2)")).alias(group)
 
 
+LINKED = "step int, left int, right int, score double, size int"
+
+
+def _link_rest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last merges of a group, whose remaining nodes fit in a task."""
+    pdf = pdf.sort_values("at")
+    x = np.stack(pdf["vector"].to_numpy())
+    names, caps, out = pdf["name"].tolist(), pdf["cap"].tolist(), []
+    for i, (a, b, score, size) in enumerate(_merge(x @ x.T, pdf["n"].to_numpy())):
+        names.append(f"last:{i}")
+        caps.append(min(round(score, 12), caps[a], caps[b]))
+        out.append((pdf["g"].iloc[0], 1 << 30, 0, i, names[-1], names[a], names[b], score, size, caps[-1]))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in MERGES.split(", ")])
+
+
+def _numbered(nodes: DataFrame, merges: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(g, step, left, right, score, size): the merges in the order of the one-by-one linkage, with leaves (g, name, number) numbered from 0 and merges numbered on."""
+    every = nodes.groupBy("g").applyInPandas(_link_rest, MERGES)
+    for m in merges:
+        every = every.unionByName(m)
+    every = materialize(_ranks(every, [F.desc("cap"), "round", "at", "sub"], "step"))
+    rows = leaves.groupBy("g").agg(F.count("*").alias("rows"))
+    number = materialize(leaves.select("g", "name", "number").unionByName(every.join(rows, "g").select("g", "name", (F.col("rows") + F.col("step")).alias("number"))))
+    for c in ("left", "right"):
+        every = every.join(number.select("g", F.col("name").alias(c), F.col("number").alias(f"{c}_number")), ["g", c])
+    return every.select("g", F.col("step").cast("int").alias("step"), *[F.col(f"{c}_number").cast("int").alias(c) for c in ("left", "right")], "score", F.col("size").cast("int").alias("size"))
+
+
 def average_linkage(vecs: DataFrame, group: str, most: int = 400) -> DataFrame:
     """(group, step, left, right, score, size): average linkage within each group, of any size. A task holds the matrix of at most `most` nodes; larger groups are merged in rounds on Spark until no more are left."""
 
@@ -324,32 +357,14 @@ def average_linkage(vecs: DataFrame, group: str, most: int = 400) -> DataFrame:
         rows = _merge(x @ x.T, np.ones(len(x)))
         return pd.DataFrame([(pdf["g"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["g", "step", "left", "right", "score", "size"])
 
-    def link_rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        x = np.stack(pdf["vector"].to_numpy())
-        names, caps, out = pdf["name"].tolist(), pdf["cap"].tolist(), []
-        for i, (a, b, score, size) in enumerate(_merge(x @ x.T, pdf["n"].to_numpy())):
-            names.append(f"last:{i}")
-            caps.append(min(round(score, 12), caps[a], caps[b]))
-            out.append((pdf["g"].iloc[0], 1 << 30, 0, i, names[-1], names[a], names[b], score, size, caps[-1]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MERGES.split(", ")])
-
     small, large = _by_size(vecs, group, most)
-    exact = small.groupBy("g").applyInPandas(link, "g string, step int, left int, right int, score double, size int").select(_group_of(group), "step", "left", "right", "score", "size")
-    if large.isEmpty():
-        return exact
-    nodes, merges, _ = _merge_rounds(large, most)
-    merges = [*merges, nodes.groupBy("g").applyInPandas(link_rest, MERGES)]
-    every = merges[0]
-    for m in merges[1:]:
-        every = every.unionByName(m)
-    every = materialize(_ranks(every, [F.desc("cap"), "round", "at", "sub"], "step"))
-    leaves = _ranks(large.select("g", "doc_id"), ["doc_id"], "number").select("g", F.concat(F.lit("d:"), "doc_id").alias("name"), "number")
-    rows = large.groupBy("g").agg(F.count("*").alias("rows"))
-    number = materialize(leaves.unionByName(every.join(rows, "g").select("g", "name", (F.col("rows") + F.col("step")).alias("number"))))
-    for c in ("left", "right"):
-        every = every.join(number.select("g", F.col("name").alias(c), F.col("number").alias(f"{c}_number")), ["g", c])
-    return exact.unionByName(every.select(_group_of(group), F.col("step").cast("int").alias("step"), *[F.col(f"{c}_number").cast("int").alias(c) for c in ("left", "right")], "score", F.col("size").cast("int").alias("size")))
+    every = small.groupBy("g").applyInPandas(link, f"g string, {LINKED}")
+    if not large.isEmpty():
+        start, merges, _ = _equal_first(large)
+        nodes, merges, _ = _merge_rounds(start, merges, most)
+        leaves = _ranks(large.select("g", "doc_id"), ["doc_id"], "number").select("g", F.concat(F.lit("d:"), "doc_id").alias("name"), "number")
+        every = every.unionByName(_numbered(nodes, merges, leaves))
+    return every.select(_group_of(group), "step", "left", "right", "score", "size")
 
 
 def protected_groups(vecs: DataFrame, group: str, tau: float, least: int, most: int = 400) -> DataFrame:
@@ -386,30 +401,50 @@ def protected_groups(vecs: DataFrame, group: str, tau: float, least: int, most:
     nodes = small.select("g", F.col("doc_id").alias("at"), "vector", F.lit(1).cast("long").alias("n"), F.lit(False).alias("closed"))
     members = small.select("doc_id", "g", F.col("doc_id").alias("at"))
     if not large.isEmpty():
-        merged, _, of = _merge_rounds(large, most, tau)
+        start, merges, of = _equal_first(large, tau)
+        merged, _, of = _merge_rounds(start, merges, most, tau, of)
         nodes, members = nodes.unionByName(merged.select("g", "at", "vector", "n", "closed")), members.unionByName(of)
     parts = nodes.groupBy("g").applyInPandas(cut, "g string, at long, part int")
     return members.join(parts, ["g", "at"]).select(_group_of(group), "doc_id", "part")
 
 
-def group_linkage(vecs: DataFrame, group: str, part: str, most: int = 400) -> DataFrame:
-    """(group, step, left, right, score, size): linkage of the parts of each group, where a score is the mean over all cross pairs of members.
+def numbered_parts(vecs: DataFrame, group: str, part: str) -> DataFrame:
+    """(g, part, number, at, vector, n): the parts of each group with their mean vectors, numbered from 0 in their order; `at` is unique over all groups."""
+    means = vector_sums(vecs.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"), F.col(part).alias("part"), "vector"), "g", "part")
+    means = means.select("g", "part", F.transform("sum", lambda x: x / F.col("n")).alias("vector"), "n")
+    means = _ranks(means, ["part"], "number")
+    before = F.sum("m").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1))  # one row for each group
+    sizes = means.groupBy("g").agg(F.count("*").alias("m"))
+    return materialize(means.join(sizes.select("g", F.coalesce(before, F.lit(0)).alias("before")), "g").withColumn("at", F.col("before") + F.col("number")).drop("before"))
+
+
+def part_linkage(parts: DataFrame, most: int = 400) -> DataFrame:
+    """(g, step, left, right, score, size): linkage of numbered_parts(), where a score is the mean over all cross pairs of members.
 
-    The mean of all cross pairs is the product of the parts' mean vectors, so that
-    only one mean for each part reaches a task.
+    The mean of all cross pairs is the product of the parts' mean vectors, so that one
+    mean for each part is enough. Groups over `most` parts are merged in rounds on Spark.
     """
-    means = vector_sums(vecs, group, part)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has {len(pdf)} parts, over {most}")
-        pdf = pdf.sort_values(part)
-        w = pdf["n"].to_numpy()
-        x = np.stack(pdf["sum"].to_numpy()) / w[:, None]
-        rows = _merge(x @ x.T, w)
-        return pd.DataFrame([(pdf[group].iloc[0], i, *r) for i, r in enumerate(rows)], columns=[group, "step", "left", "right", "score", "size"])
-
-    return means.groupBy(group).applyInPandas(link, f"{group} string, step int, left int, right int, score double, size int")
+        pdf = pdf.sort_values("number")
+        x = np.stack(pdf["vector"].to_numpy())
+        rows = _merge(x @ x.T, pdf["n"].to_numpy())
+        return pd.DataFrame([(pdf["g"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["g", "step", "left", "right", "score", "size"])
+
+    sized = parts.join(parts.groupBy("g").agg(F.count("*").alias("_m")), "g")
+    small, large = sized.filter(F.col("_m") <= most), sized.filter(F.col("_m") > most)
+    every = small.groupBy("g").applyInPandas(link, f"g string, {LINKED}")
+    if large.isEmpty():
+        return every
+    leaf = F.concat(F.lit("d:"), "at").alias("name")
+    start = large.select("g", "at", leaf, "vector", "n", F.lit(float("inf")).alias("cap"), F.lit(False).alias("closed"))
+    nodes, merges, _ = _merge_rounds(start, [], most)
+    return every.unionByName(_numbered(nodes, merges, large.select("g", leaf, "number")))
+
+
+def group_linkage(vecs: DataFrame, group: str, part: str, most: int = 400) -> DataFrame:
+    """(group, step, left, right, score, size): linkage of the parts of each group, of any number."""
+    return part_linkage(numbered_parts(vecs, group, part), most).select(_group_of(group), "step", "left", "right", "score", "size")
 
 
 def theme_scores(roots: DataFrame, themes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from vecforest.operators import normalize as N
 from vecforest.operators import registry as G
 from vecforest.operators import relations as R
 from vecforest.operators import stats as A
+from vecforest.operators import topics as P
 from vecforest.operators import tree as T
 from vecforest.plans import catalog as K
 from vecforest.sources import files as Files
@@ -577,6 +578,11 @@ def group_linkage(s: SparkSession, d: str) -> DataFrame:
     return C.group_linkage(vecs(s, d), "root", "leaf")
 
 
+@query()
+def topic_tree(s: SparkSession, d: str) -> DataFrame:
+    return P.topic_tree(vecs(s, d), "root", 0.35, 2)[1]
+
+
 @query(f"""WITH {SUMS}, rs AS (SELECT root, pos, sum(x) AS x FROM (SELECT root, i AS pos, vector[i] AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM v)) GROUP BY ALL),
 rc AS (SELECT root, list(x / n ORDER BY pos) AS rv FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY root)) AS n FROM rs) GROUP BY root)
 SELECT root, leaf AS theme, round(list_dot_product(rv, centroid), 6) AS score FROM rc CROSS JOIN c""")
