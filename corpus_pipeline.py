@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import table
+from vecforest.llm.common import quoted, table
 from vecforest.llm.exact import drop_exact_duplicates
 from vecforest.llm.neardup import drop_near_duplicates
 from vecforest.llm.packing import pack_documents
@@ -15,29 +15,29 @@ from vecforest.llm.suffixes import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier rejects."""
+    """Drops what the classifier rejects; null and empty texts have nothing to reject and stay."""
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, the one with the largest id."""
+    """One document of each text stays, the one with the largest id; null counts as empty."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one with the smallest id."""
+    """One document of each group of linked documents stays, the one with the smallest id; texts without words are linked with nothing."""
     return drop_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes strings of 400 bytes that occur twice out of the texts."""
+    """Takes strings of 400 bytes that occur twice out of the texts; a null text becomes an empty one."""
     out = without_repeats(docs, keep=tuple(docs.columns))
     row = F.col("row").withField("text", F.col("kept_text")).withField("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")))  # the other columns stay as they are
-    return out.select(row.alias("row")).select("row.*").select(*docs.columns)
+    return out.select(row.alias("row")).select("row.*").select(*[quoted(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens; a null text is an empty one with an end id. Other columns go."""
     return pack_documents(docs, JSON_TOKENIZER, END_ID)
 
 

@@ -204,6 +204,16 @@ def test_rows_of_a_repeated_id_are_judged_by_their_own_texts(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2])
 
 
+def test_long_words_that_sums_do_not_tell_apart(spark):
+    """Thue-Morse words of 2,048 bytes have the same polynomial hash modulo 2**64 at any odd multiplier."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    six = "one two three four five six "
+    rows = [(1, a), (2, b), (3, six + a), (4, six + b), (5, six + a + " end")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (c, i == c) for i, (_, c) in brute.near(dict(rows)).items()} and [got[i][1] for i in range(1, 5)] == [True] * 4
+
+
 def test_near_duplicates_of_a_million_words(spark):
     rnd = random.Random(3)
     long = [f"w{rnd.randrange(300_000)}" for _ in range(1_000_000)]
@@ -431,6 +441,19 @@ def test_shingle_sets(texts):
 # The pipeline
 
 
+def test_pipeline_stages_with_awkward_columns(spark, odd_ids, nothing):
+    import corpus_pipeline
+
+    names = ["my col", "a.b", "_", "row", "x`y", "kept_text"]
+    for rows in (odd_ids, nothing.select("doc_id", "text")):
+        docs = rows.selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as long) n_chars", *[f"{i} `{n.replace('`', '``')}`" for i, n in enumerate(names)])
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in out.collect())
+        assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == docs.count()
+
+
 def test_pipeline_stages(spark, given, tmp_path):
     import corpus_pipeline
 

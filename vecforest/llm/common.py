@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits of one shard of a filter: what is sent to an executor at once, 32 MB. Larger tables have more shards.
 SHARD_BITS = 1 << 28
@@ -74,9 +75,19 @@ def row_key(id_col: Column | str, text_col: str) -> Column:
     return F.substring(F.unhex(F.sha2(F.concat_ws("|", number, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)), 1, 16)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def kept_row(keep: tuple[str, ...]) -> Column:
     """The kept columns in one struct, whatever their names; one field `_` where nothing is kept."""
-    return F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    return F.struct(*[F.col(quoted(c)) for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+
+
+def with_row(fields: str, rows: DataFrame) -> T.StructType:
+    """A schema of fields and the struct of kept columns, whatever their names."""
+    return T.StructType([*T.StructType.fromDDL(fields).fields, rows.schema["row"]])
 
 
 def filter_size(n: int) -> tuple[int, int]:

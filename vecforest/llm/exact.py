@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import filter_size, flagged, repeated_filter, shard_of, table, text_rows, whole_text
+from vecforest.llm.common import filter_size, flagged, quoted, repeated_filter, shard_of, table, text_rows, whole_text
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,7 +48,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     sha = F.sha2(whole_text(text_col), 256).alias("sha")
     size = filter_size(df.count())
     keys = table(df.select(sha).select(F.xxhash64("sha").alias("__key")).withColumn("shard", shard_of(F.col("__key"), size[0])), "exact", "shard" if size[0] > 1 else None)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), sha, F.col(id_col).alias("id"))
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), sha, F.col(id_col).alias("id"))
     found = flagged(rows.withColumn("__key", F.xxhash64("sha")), "__key", keys, size, repeated_filter, "maybe")
     alone = found.filter(~F.col("maybe")).select("row.*")
     met = found.filter("maybe").groupBy("sha").agg(F.max_by("row", F.struct(F.col("id").isNotNull(), "id")).alias("row")).select("row.*")

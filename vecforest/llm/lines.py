@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text
+from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text, with_row
 from vecforest.llm.textops import RollingHash, buffer_of, mix, parts_by_bytes
 
 WINDOW, LINES_A_CHUNK = 2, 4
@@ -204,4 +204,4 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.record_batch([batch["doc_id"], *columns, batch["row"]], ["doc_id", *fields, "kept_sha256", "kept_text", "row"])
 
-    return ready.mapInArrow(remove, f"doc_id long, {', '.join(f'{f} long' for f in fields)}, kept_sha256 string, kept_text string, row {rows.schema['row'].dataType.simpleString()}")
+    return ready.mapInArrow(remove, with_row(f"doc_id long, {', '.join(f'{f} long' for f in fields)}, kept_sha256 string, kept_text string", rows))

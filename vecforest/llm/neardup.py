@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import row_key, split_by, table, text_rows
+from vecforest.llm.common import quoted, row_key, split_by, table, text_rows
 from vecforest.llm.components import components
 from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles, spare, tidy
 
@@ -377,6 +377,6 @@ def drop_near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id",
     """The rows that stay, with all their columns: of each group of linked documents the one with the smallest id."""
     docs = text_rows(df, id_col, text_col)
     dropped = table(judged(docs.withColumn("key", row_key("doc_id", "text")), width).filter("not kept").select("key").distinct(), "dropped")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key(F.col(id_col).cast("long"), text_col).alias("key"))
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), row_key(F.col(id_col).cast("long"), text_col).alias("key"))
     some, rest = split_by(rows, "key", dropped)
     return some.join(dropped, "key", "left_anti").select("row.*").unionByName(rest.select("row.*"))

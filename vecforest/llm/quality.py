@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vecforest.llm.common import drop_table, row_key, split_by, table, union_of, whole_text
+from vecforest.llm.common import drop_table, quoted, row_key, split_by, table, union_of, whole_text
 from vecforest.llm.textops import buffer_of, parts_by_bytes, spare
 
 ORDER, QUANTILE, TOLERANCE, LEAST_TRUSTED = 5, 0.995, 1.1, 30
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, grams: DataFrame, order: int, head: int) -> DataFram
 
 
 def prepared(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))
     rows = rows.withColumn("key", row_key("doc_id", "text"))
     # The fold by the text, so that copies of a trusted document are not scored with it.
     return rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).cast("int"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text
+from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text, with_row
 from vecforest.llm.textops import RollingHash, buffer_of, parts_by_bytes, spare, tidy
 
 GRAM, MANY, BATCH_ROWS = 100, 20_000, 8_000
@@ -251,4 +251,4 @@ def without_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", tex
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)] if out else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()] * 2]
             yield pa.record_batch([batch["doc_id"], *columns, batch["row"]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "row"])
 
-    return ready.mapInArrow(tidy(cut), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, row {rows.schema['row'].dataType.simpleString()}")
+    return ready.mapInArrow(tidy(cut), with_row("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", rows))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ U = np.uint64
 #: Bytes of text that are handled at once: a bound on the memory of a Python worker. LARGE_PART is for work that keeps only a few arrays.
 PART_BYTES, LARGE_PART = 1 << 20, 4 << 20
 KEPT_POWERS = PART_BYTES + (1 << 17)
+LONG_WORD = 255
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
 MULT = 0x9E3779B97F4A7C15
 MULT_INV = pow(MULT, -1, 1 << 64)
@@ -132,6 +134,13 @@ class RollingHash:
             h = (self.sums[end] - self.sums[start]) * self.inverse[start]
             return mix(h + (end - start).astype(np.uint64) * U(0xA24BAED4963EE407))
 
+    def words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of words; those over LONG_WORD bytes by a digest, as long words can be made that sums modulo 2**64 do not tell apart."""
+        h = self.of(start, end)
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
+
     def fixed(self, width: int) -> np.ndarray:
         """The hash of every range of this many bytes."""
         n = len(self.sums) - 1
@@ -184,7 +193,8 @@ def long_shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, width: in
     found, at = [], 0
     while at + width <= len(start):
         stop = max(at + width, int(np.searchsorted(end, start[at] + PART_BYTES)))
-        h = RollingHash(raw[start[at] : end[stop - 1]]).of(start[at:stop] - start[at], end[at:stop] - start[at])
+        part = raw[start[at] : end[stop - 1]]
+        h = RollingHash(part).words(part, start[at:stop] - start[at], end[at:stop] - start[at])
         found.append(np.unique(mix(chained(h, width))))
         at = stop - width + 1
     return np.unique(np.concatenate(found))
@@ -202,7 +212,7 @@ def shingles(raw: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarr
     if len(off) == 2 and len(raw) > 2 * PART_BYTES and len(start) >= width:
         found = long_shingles(raw, start, end, width)
         return found, np.array([0, len(found)])
-    h = RollingHash(raw).of(start, end)
+    h = RollingHash(raw).words(raw, start, end)
     first = np.concatenate([[0], np.cumsum(counts)])
     n_docs = len(counts)
     parts_doc, parts_hash = [], []

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vecforest.llm.common import table
+from vecforest.llm.common import quoted, table
 
 #: Sums below this are exact in double precision.
 EXACT = 1 << 53
@@ -37,8 +37,8 @@ def whole_vectors(df: DataFrame, scale: int, offset: int = 0, id_col: str = "vec
     """
     number = lambda c: c.cast("double")
     bad = lambda c: number(c).isNull() | F.isnan(number(c)) | (F.abs(number(c)) == float("inf"))
-    v = F.col(f"`{vector_col}`")
-    rows = df.filter(v.isNotNull() & ~F.exists(v, bad)).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, lambda c: F.floor(number(c) * scale) + offset).alias("x"), *[c.alias(k) for k, c in kept.items()])
+    v = F.col(quoted(vector_col))
+    rows = df.filter(v.isNotNull() & ~F.exists(v, bad)).select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.transform(v, lambda c: F.floor(number(c) * scale) + offset).alias("x"), *[c.alias(k) for k, c in kept.items()])
     for name in ("vec_id", *kept):
         rows = rows.filter(F.col(name).isNotNull())
     most = F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))
