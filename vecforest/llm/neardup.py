@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.llm.common import quoted, row_key, split_by, table, text_rows
+from vecforest.llm.common import drop_table, quoted, row_key, split_by, table, text_rows
 from vecforest.llm.components import components
 from vecforest.llm.textops import buffer_of, mix, parts_by_bytes, shingles, spare, tidy
 
@@ -336,12 +336,15 @@ def judged(docs: DataFrame, width: int) -> DataFrame:
     made = table(sketches(docs, width), "sketches")
     classes = made.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("sketch").alias("sketch"))
     reps = table(classes.select(F.monotonically_increasing_id().alias("rep"), "n", "one", "two", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"), "sketch"), "reps")
+    sketched, made = made, table(made.select("doc_id", "key", "n", "one", "two"), "rows")
+    drop_table(sketched)
     rows = table(index_rows(reps), "lists")
     sizes = table(rows.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("values")).filter("m > 1"), "sizes")
     blocks = blocks_of(F.col("m"), F.col("values"))
     short = rows.join(sizes.filter(F.col("m") <= HUB), "v").select("*", F.col("rep").alias("component"), F.lit(True).alias("lhs"), F.lit(True).alias("rhs"), blocks.alias("lefts"), blocks.alias("rights"))
     long = table(rows.join(sizes.filter(F.col("m") > HUB), "v"), "long")
     first = table(candidates(dealt_lists(short).unionByName(hub_groups(long))), "candidates")
+    drop_table(rows)
     wanted = first.select("rep").unionByName(long.select("rep")).distinct().join(reps.select("rep", "key"), "rep")
     sets = table(sets_of(docs, table(wanted, "wanted"), width), "sets")
     links = table(verified(first, sets), "links")
@@ -362,7 +365,7 @@ def judged(docs: DataFrame, width: int) -> DataFrame:
     grouped = table(grouped, "grouped")
     ids = table(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
     by_set = table(grouped.join(ids, "component").select("n", "one", "two", "component_id"), "by_set")
-    out = made.select("doc_id", "key", "n", "one", "two").join(by_set, ["n", "one", "two"], "left")
+    out = made.join(by_set, ["n", "one", "two"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
