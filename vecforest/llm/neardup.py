@@ -99,7 +99,7 @@ def index_rows(reps: DataFrame) -> DataFrame:
     values, by which a pair is compared in its first common list only.
     """
     values = values_of(reps)
-    common = values.groupBy("v").count().filter("count > 1").withColumnRenamed("count", "df")
+    common = table(values.groupBy("v").count().filter("count > 1").withColumnRenamed("count", "df"), "common")  # a table, so that a join with it can be split at hot values
     shared = values.join(common, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
