@@ -240,6 +240,41 @@ def test_capped_is_the_sequential_greedy(spark):
     assert R.capped(spark.createDataFrame(rows, "i long, j long, score double, leaf_i string, leaf_j string"), 0).count() == 0
 
 
+def test_neighbours_found_without_all_pairs(spark):
+    from vecforest.operators import neighbours as H
+
+    v = Files.synthetic_corpus(spark, 2500, 32).withColumn("root", F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3).cast("string")))
+    exact = R.knn(v.withColumn("root", F.coalesce("root", F.lit("-"))), "root", 4)
+    got = H.approximate_knn(v, "root", 4, width=16, cell=64, trees=2).cache()
+    r = H.recall(got, exact).first()
+    assert r.rows == 10_000 and r.recall >= 0.95
+    assert got.groupBy("src").count().filter("count <> 4").count() == 0
+    same = spark.range(300).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"), F.lit("r").alias("root"))
+    assert H.approximate_knn(same, "root", 4, width=8, cell=32, trees=1, rounds=2).filter("score = 1").count() == 1200
+    few = Files.synthetic_corpus(spark, 40, 8).withColumn("root", F.lit("r"))
+    assert {tuple(e) for e in H.approximate_knn(few, "root", 4).collect()} == {tuple(e) for e in R.knn(few, "root", 4).collect()}
+
+
+@pytest.mark.parametrize(("tau", "spread"), [(0.3, 1.0), (0.9, 0.1), (-0.5, 1.0)])
+def test_bridges_lose_no_pair(spark, tau, spread):
+    """Pruned blocks give the pairs of a plain matrix product; tight topics leave most pairs of blocks out."""
+    from vecforest.operators import bridges as B
+
+    rng = np.random.default_rng(8)
+    leaf = rng.integers(12, size=500)
+    x = rng.normal(size=(12, 16))[leaf] + spread * rng.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] = x[8] * 1.5  # no unit vector
+    v = frame(spark, [(i, row, leaf[i], leaf[i] % 3) for i, row in enumerate(x.tolist())])
+    score = np.round(x @ x.T, 6)
+    want = {(i, j, round(float(score[i, j]), 6)) for i in range(500) for j in range(i + 1, 500) if leaf[i] % 3 != leaf[j] % 3 and score[i, j] >= tau}
+    got = {(r.i, r.j, round(r.score, 6)) for r in R.cross_candidates(v, tau, block=16).collect()}
+    assert {p[:2] for p in got} == {p[:2] for p in want} and all(abs(score[i, j] - s) < 2e-6 for i, j, s in got)
+    why = {r.why: r.n for r in B.pruning(B.block_pairs(B.block_summaries(B.like_blocks(v, 16)), tau)).collect()}
+    assert sum(why.values()) == 32 * 33 // 2 and why["one root"] > 100
+    assert why.get("out of reach", 0) > 200 if spread < 1 else True
+
+
 def test_no_link_where_no_length_is_allowed(spark, pairs):
     pos = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(4)], "doc_id long, x double, y double, z double")
     split = pairs.withColumn("root", F.col("leaf"))
@@ -255,6 +290,86 @@ def test_placement_classes(spark):
     assert got[0].x == pytest.approx(0) and got[1].x == pytest.approx(-100)
 
 
+def plain_place(i, v, anchors, floor, density, scopes=(), axes=(), extent=None):
+    """One document at a time: (leaf, placement, place)."""
+    names, c, pos, radius = zip(*sorted(anchors), strict=True)
+    c, pos = np.array(c), np.array(pos)
+    score = np.round(c @ v, 6)
+    order = np.argsort(-score, kind="stable")
+    top = order[0]
+    active = [j for j in order[:3] if score[j] > floor]
+    scope = max((s @ v for s in scopes), default=None)
+    if not active or (scope is not None and scope < floor):
+        state, d = i + 452, []
+        for _ in range(3):
+            state = (state * 1664525 + 1013904223) % 2**32
+            d.append(state / 2**32 - 0.5)
+        reach = max(np.linalg.norm(p) + r for p, r in zip(pos, radius, strict=True)) if extent is None else extent
+        return names[top], "outlier", np.array(d) / np.linalg.norm(d) * (reach + 225 * (1.2 + max(0, floor - (score[top] if scope is None else scope))))
+    w = np.array([((score[j] - floor) / (1 - floor)) ** 2 * math.exp((score[j] - score[top]) / 0.07) for j in active])
+    dominance = 1 if len(w) == 1 else 1 - w[1] / w[0]
+    p = (1 - density * dominance) * (w @ pos[active] / w.sum()) + density * dominance * pos[top]
+    raw = np.array([a @ (v - c[top]) for a in axes] or [0, 0, 0])
+    size = np.linalg.norm(raw)
+    if size > 1e-10:
+        p = p + raw / size * min(radius[top], size * 225 * 0.7 * (1 - 0.65 * density)) * dominance
+    return names[top], "bridge" if dominance < 0.35 else "cluster", p
+
+
+@pytest.mark.parametrize("most", [2048, 4])
+def test_placement_is_that_of_one_document_at_a_time(spark, most):
+    """With themes and residual axes; also where anchors are too many for one task."""
+    rng = np.random.default_rng(4)
+    u = lambda *shape: (lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True))(rng.normal(size=shape))
+    c, x, scopes, axes = u(11, 6), u(80, 6), u(3, 6), u(3, 6)
+    anchors = [(f"l{i}", c[i].tolist(), rng.normal(size=3).tolist(), float(rng.uniform(8, 30))) for i in range(11)]
+    df = spark.createDataFrame([(n, v, *p, r) for n, v, p, r in anchors], "leaf string, centroid array<double>, x double, y double, z double, radius double")
+    v = frame(spark, [(i, row, 0, 0) for i, row in enumerate(x.tolist())])
+    seen = set()
+    for s, a in ((scopes, axes), (None, None)):
+        got = {r.doc_id: r for r in L.place_documents(v, df, 0.45, 0.8, s, a, most=most).collect()}
+        for i in range(80):
+            leaf, kind, p = plain_place(i, x[i], anchors, 0.45, 0.8, () if s is None else s, () if a is None else a)
+            r = got[i]
+            assert (r.nearest_leaf, r.placement) == (leaf, kind) and np.allclose([r.x, r.y, r.z], p, atol=1e-6)
+            assert r.distance == pytest.approx(np.linalg.norm(p - np.array(dict((n, q) for n, _, q, _ in anchors)[leaf])), abs=1e-6)
+            seen.add(kind)
+    assert seen == {"outlier", "bridge", "cluster"}
+
+
+def test_places_move_with_topics_and_tighten_with_density(spark):
+    rows = lambda dx: spark.createDataFrame([("a", [1.0, 0.0, 0.0], -100.0 + dx, 0.0, 0.0), ("b", [0.0, 1.0, 0.0], 100.0 + dx, 0.0, 0.0)], "leaf string, centroid array<double>, x double, y double, z double")
+    v = frame(spark, [(0, unit(1, 1, 0), 0, 0), (1, unit(0.8, 0.6, 0), 0, 0), (2, [1.0, 0.0, 0.0], 0, 0)])
+    at = lambda *a, **k: {r.doc_id: r for r in L.place_documents(v, *a, **k).collect()}
+    assert at(rows(1000.0), 0.45, 0.8)[0].x == pytest.approx(1000) and at(rows(0.0), 0.45, 0.8)[2].distance == pytest.approx(0)
+    assert at(rows(0.0), 0.45, 1.0)[1].distance < at(rows(0.0), 0.45, 0.0)[1].distance
+    assert {r.placement for r in at(rows(0.0), 0.45, 0.8, scopes=np.array([[0.0, 0.0, 1.0]])).values()} == {"outlier"}
+    assert L.place_documents(v.limit(0), rows(0.0), 0.45, 0.8).count() == 0
+
+
+def test_landmarks_fit_nearly_as_well_as_all_topics_together(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(8, 12))[rng.integers(8, size=160)] + 0.6 * rng.normal(size=(160, 12))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    kind = ["root" if i < 4 else "leaf" for i in range(160)]
+    rows = [("s", f"t{i:03}", kind[i], v) for i, v in enumerate(c.tolist())] + [("few", "a", "leaf", c[0].tolist()), ("few", "b", "leaf", c[1].tolist())]
+    df = spark.createDataFrame(rows, "scope string, topic string, kind string, centroid array<double>")
+    root = np.array(kind) == "root"
+    target, weight = L._targets(c, c, root, root, 0.5)
+    np.fill_diagonal(weight, 0)
+
+    def rms(got):
+        p = np.array([[r.x, r.y, r.z] for r in sorted(got, key=lambda r: r.topic) if r.scope == "s"])
+        assert p.shape == (160, 3) and np.allclose(p.mean(0), 0, atol=1e-6)
+        d = np.linalg.norm(p[:, None] - p[None], axis=2)
+        return math.sqrt((weight * (d - target) ** 2).sum() / weight.sum())
+
+    full, fast = L.fit_topics(df, "scope", 0.5).collect(), L.fit_topics(df, "scope", 0.5, most=100, landmarks=48).collect()
+    assert len(full) == len(fast) == 162
+    assert rms(fast) <= 1.05 * rms(full)
+    assert next(r.rms for r in fast if r.scope == "s") == pytest.approx(rms(fast), rel=0.1)
+
+
 def test_topic_fit(spark):
     rows = [("s", str(i), "leaf", unit(*v)) for i, v in enumerate([(1, 0), (0.99, 0.1), (-1, 0)])]
     got = sorted(L.fit_topics(spark.createDataFrame(rows, "scope string, topic string, kind string, centroid array<double>"), "scope", 0.0).collect(), key=lambda r: r.topic)

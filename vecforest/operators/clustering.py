@@ -95,14 +95,30 @@ def cells(vecs: DataFrame, path: str = "path", planes: int = 3) -> DataFrame:
     return vecs.mapInArrow(run, schema)
 
 
-def bounded_hierarchy(vecs: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def round_robin(rows: DataFrame, group: str, order: str, cells: int = BRANCHES) -> DataFrame:
+    """Adds `cell`: each row's rank within its group modulo `cells`, by one range sort for all groups. Rows carry no column g."""
+    dealt = _ranks(rows.withColumn("g", F.col(group)), [order], "_rank")
+    return dealt.withColumn("cell", F.pmod("_rank", F.lit(cells)).cast("int")).drop("g", "_rank")
+
+
+def theme_roots(vecs: DataFrame, themes: DataFrame | None = None, most: int = 32) -> DataFrame:
+    """(doc_id, root): the most similar theme (theme, centroid); without themes, or with more than `most`, the cell of three fixed planes."""
+    if themes is not None and 0 < themes.count() <= most:
+        return assign_themes(vecs, themes).select("doc_id", F.concat(F.lit("nebula:"), "theme").alias("root"))
+    fixed = vecs.select("doc_id", "vector", F.lit("nebulae").alias("path"))
+    return cells(fixed).select("doc_id", F.concat(F.lit("nebula:"), F.col("cell").cast("string")).alias("root"))
+
+
+def bounded_hierarchy(vecs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, roots: DataFrame | None = None) -> DataFrame:
     """(doc_id, path): a leaf path for each vector; leaves hold at most `leaf` documents, branches at most eight children.
 
-    A cell with more members is cut by three planes that its path seeds. Where that
-    gives one cell, or below `depth` levels, members are dealt by a hash of path and
-    id, and where that fails too, round-robin by id, which always ends.
+    The paths start from one root, or from the roots (doc_id, root) of theme_roots(). A
+    cell with more members is cut by three planes that its path seeds. Where that gives
+    one cell, or below `depth` levels, members are dealt by a hash of path and id, and
+    where that fails too, round-robin by id, which always ends.
     """
-    open_rows = materialize(vecs.select("doc_id", "vector", F.lit("r").alias("path"), F.lit("plane").alias("how")))
+    start = vecs.select("doc_id", "vector", F.lit("r").alias("path")) if roots is None else vecs.select("doc_id", "vector").join(roots.select("doc_id", F.col("root").alias("path")), "doc_id")
+    open_rows = materialize(start.withColumn("how", F.lit("plane")))
     done = None
     level = 0
     while True:
@@ -110,17 +126,17 @@ def bounded_hierarchy(vecs: DataFrame, leaf: int = LEAF, depth: int = DEPTH) ->
         marked = open_rows.join(sizes, "path")
         ended = marked.filter(F.col("n") <= leaf).select("doc_id", F.concat("path", F.lit("/system")).alias("path"))
         done = ended if done is None else done.unionByName(ended)
-        large = marked.filter(F.col("n") > leaf)
+        large = marked.filter(F.col("n") > leaf).drop("n")
         if large.isEmpty():
             return done
         level += 1
         how = F.when((F.lit(level) > depth) & (F.col("how") == "plane"), "hash").otherwise(F.col("how"))
-        dealt = cells(large.withColumn("how", how))
+        large = large.withColumn("how", how)
         hashed = F.pmod(F.xxhash64("path", "doc_id"), F.lit(BRANCHES)).cast("int")
-        # Round-robin by rank, without one task for a whole cell: the rank within hash shards decides.
-        shard = F.pmod(F.xxhash64("doc_id"), F.lit(1024))
-        rank = F.row_number().over(W.partitionBy("path", shard).orderBy("doc_id")) + shard
-        dealt = dealt.withColumn("cell", F.when(F.col("how") == "plane", F.col("cell")).when(F.col("how") == "hash", hashed).otherwise(F.pmod(rank, F.lit(BRANCHES)).cast("int")))
+        dealt = cells(large.filter("how <> 'round'")).withColumn("cell", F.when(F.col("how") == "plane", F.col("cell")).otherwise(hashed))
+        last = large.filter("how = 'round'")
+        if not last.isEmpty():
+            dealt = dealt.unionByName(round_robin(last, "path", "doc_id").select(*dealt.columns))
         dealt = materialize(dealt)
         used = dealt.groupBy("path").agg(F.count_distinct("cell").alias("used"))
         after = dealt.join(used, "path")

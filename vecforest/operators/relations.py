@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vecforest.functions.vectors import distance3
+from vecforest.operators import bridges
 from vecforest.sources.tables import materialize
 
 BLOCK, DIGITS, SCALE = 2048, 6, 225.0
@@ -70,36 +71,17 @@ def knn_edges(vecs: DataFrame, group: str, k: int) -> DataFrame:
     return undirected(knn(vecs, group, k))
 
 
-def cross_candidates(vecs: DataFrame, tau: float, best_per_leaf_pair: bool = False, block: int = BLOCK) -> DataFrame:
-    """Pairs i < j of different roots with a similarity of tau or more: i, j, score, leaf_i, leaf_j.
+def cross_candidates(vecs: DataFrame, tau: float, best_per_leaf_pair: bool = False, block: int = bridges.BLOCK, pos: DataFrame | None = None, max_length: float | None = None) -> DataFrame:
+    """Pairs i < j of different roots with a similarity of tau or more: i, j, score, leaf_i, leaf_j. Blocks of rows that can hold none are not compared.
 
-    With best_per_leaf_pair each task sends only its best pair of two leaves.
+    With pos (doc_id, x, y, z) and max_length, pairs that are farther apart are dropped where
+    they are found; with best_per_leaf_pair each task then sends only its best pair of two leaves.
     """
-
-    def pairs(t: pa.Table) -> pa.Table:
-        ids, own, x = t["doc_id"].to_numpy(), t["own"].to_numpy(), _matrix(t)
-        root, leaf = np.array(t["root"].to_pylist()), np.array(t["leaf"].to_pylist())
-        a, b = t["i"][0].as_py(), t["j"][0].as_py()
-        rows, cols = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        score = np.round(x[rows] @ x[cols].T, DIGITS) + 0.0
-        keep = (score >= tau) & (root[rows][:, None] != root[cols][None])
-        if a == b:
-            keep &= ids[rows][:, None] < ids[cols][None]
-        r, c = np.nonzero(keep)
-        s, r, c = score[r, c], rows[r], cols[c]
-        swap = ids[r] > ids[c]
-        r, c = np.where(swap, c, r), np.where(swap, r, c)
-        out = pa.table([ids[r], ids[c], s, pa.array(leaf[r].tolist(), pa.string()), pa.array(leaf[c].tolist(), pa.string())], ["i", "j", "score", "leaf_i", "leaf_j"])
-        if best_per_leaf_pair and len(out):
-            low, high = np.where(leaf[r] < leaf[c], leaf[r], leaf[c]), np.where(leaf[r] < leaf[c], leaf[c], leaf[r])
-            order = np.lexsort((ids[c], ids[r], -s, high, low))
-            first = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
-            out = out.take(pa.array(order[first]))
-        return out
-
-    rows = vecs.select("doc_id", "vector", F.col("leaf").cast("string").alias("leaf"), F.col("root").cast("string").alias("root"))
-    dealt = _blocks(rows, None, block).select("g", "i", "j", "own", "doc_id", "vector", "leaf", "root")
-    return dealt.groupBy("g", "i", "j").applyInArrow(pairs, "i long, j long, score double, leaf_i string, leaf_j string")
+    if pos is not None:
+        vecs = vecs.join(pos.select("doc_id", "x", "y", "z"), "doc_id")
+    rows = bridges.like_blocks(vecs, block)
+    pairs = bridges.block_pairs(bridges.block_summaries(rows), tau)
+    return bridges.compared(rows, pairs, tau, best_per_leaf_pair, max_length)
 
 
 def best_leaf_pairs(cands: DataFrame) -> DataFrame:
@@ -147,8 +129,7 @@ def capped(links: DataFrame, cap: int) -> DataFrame:
 
 def cross_links(vecs: DataFrame, pos: DataFrame, tau: float, max_length: float, cap: int) -> DataFrame:
     """Links between roots: similar and short enough, the best for each two leaves, at most cap for each leaf."""
-    short = drop_long_links(cross_candidates(vecs, tau), pos, max_length, src="i", dst="j")
-    return capped(best_leaf_pairs(short), cap)
+    return capped(best_leaf_pairs(cross_candidates(vecs, tau, True, pos=pos, max_length=max_length)), cap)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -7,10 +7,13 @@ walk over the tree is needed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from vecforest.functions.scalars import fnv1a32
 from vecforest.functions.vectors import distance3
 
 
@@ -69,15 +72,38 @@ def related_edges(edges: DataFrame, members: DataFrame, node: str, k: int = 8) -
     return a.unionByName(b.select(*a.columns)).distinct().orderBy(F.desc("score"), "src", "dst").limit(k)
 
 
-def visible_frontier(nodes: DataFrame, depth: int, focus: str | None, budget: int) -> DataFrame:
-    """Nodes to show: roots first, then in pre-order nodes down to a depth or on the way to the focus, focus first, up to a budget."""
-    on_path = (F.lit(focus or "").startswith(F.concat(F.col("node"), F.lit("/")))) | (F.col("node") == F.lit(focus or ""))
-    parent_on = F.col("parent").isNotNull() & (F.lit((focus or "") + "/").startswith(F.concat(F.col("parent"), F.lit("/"))))
-    shown = nodes.withColumn("on", on_path).filter((F.col("depth") <= depth) | F.col("on") | parent_on)
-    first = F.split_part("node", F.lit("/"), F.lit(1)) != F.split_part(F.lit(focus or ""), F.lit("/"), F.lit(1))
-    order = [F.col("depth") > 0, first, F.col("node")]
-    top = shown.orderBy(*order).limit(budget)
-    return top.withColumn("position", F.row_number().over(W.orderBy(*order))).select("position", "node", "depth", "on")  # at most budget rows
+TEXT_ZOOM = 0.85
+
+
+def text_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Documents as nodes below their leaves: node (path/number of the document, filled up with zeros), depth, parent."""
+    leaf = nodes.select(F.col("node").alias("path"), (F.col("depth") + 1).alias("depth"))
+    return members.join(leaf, "path").select(F.concat("path", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 20, "0")).alias("node"), F.lit("text").alias("kind"), "depth", F.col("path").alias("parent"))
+
+
+def visible_frontier(nodes: DataFrame, depth: int, focus: str | None, budget: int, members: DataFrame | None = None, matches: Column | None = None, zoom: float = 1.0) -> DataFrame:
+    """(position, node, depth, on): nodes to show, up to a budget.
+
+    All roots come first, then nodes in pre-order down to `depth` and below the nodes on
+    the way to the focus, those on the way before their siblings, which are in the order
+    of their names. With members (doc_id, path, ...) documents are nodes too, shown from a
+    zoom of TEXT_ZOOM on or below a leaf on the way; with matches, a condition on members,
+    only nodes that hold a matching document are shown. Each task keeps `budget` nodes.
+    """
+    focus = focus or ""
+    every = nodes.select("node", "kind", "depth", "parent")
+    if members is not None:
+        if matches is not None:
+            every = every.join(matching_nodes(members, matches).select("node"), "node", "left_semi")
+            members = members.filter(matches)
+        every = every.unionByName(text_nodes(members, nodes))
+    on = lambda c: F.coalesce(F.lit(focus + "/").startswith(F.concat(c, F.lit("/"))), F.lit(False))
+    open_parent = (F.col("depth") <= depth) | on(F.col("parent"))
+    shown = every.filter(open_parent & ((F.col("kind") != "text") | F.lit(zoom >= TEXT_ZOOM) | on(F.col("parent"))))
+    way = F.transform(prefixes(F.col("node")), lambda p: F.struct((~on(p)).alias("off"), p.alias("node")))
+    key = [F.col("depth") > 0, F.when(F.col("depth") > 0, way), F.col("node")]
+    top = shown.withColumn("on", on(F.col("node"))).orderBy(*key).limit(budget)
+    return top.withColumn("position", F.row_number().over(W.orderBy(*key))).select("position", "node", "depth", "on")  # at most budget rows
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -187,3 +213,49 @@ def farthest_distance(leaves: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds each leaf's distance to its root: leaves (leaf, root, x, y, z), roots (root, x, y, z)."""
     r = roots.select("root", *[F.col(c).alias(f"r{c}") for c in "xyz"])
     return leaves.join(r, "root").withColumn("distance", distance3([F.col(c) for c in "xyz"], [F.col(f"r{c}") for c in "xyz"])).drop("rx", "ry", "rz")
+
+
+CELL, REACH, SPREAD = 15.0, 65.0, 58.0
+
+
+def scene_layout(children: DataFrame) -> DataFrame:
+    """(scope, node, x, y, z, moved) of children (scope, node, role, x, y, z) around their scope's middle.
+
+    Where all children of a scope are galaxies, and more than one, they lie evenly on a
+    sphere. Else places are centred and scaled to REACH, and one after another, by name,
+    a child whose cell of CELL units is taken moves to a place on a smaller sphere that
+    its name chooses. A child other than the first of its cell moves in any case, as the
+    first or what drove that away sits there. The first moves if an earlier child that
+    has moved landed in its cell, which rounds over the cluster find until none is added.
+    """
+    from vecforest.operators.clustering import _ranks
+    from vecforest.sources.tables import materialize
+
+    rows = _ranks(children.select(F.col("scope").alias("g"), "node", "role", "x", "y", "z"), ["node"], "i")
+    about = rows.groupBy("g").agg(F.count("*").alias("n"), F.bool_and(F.col("role") == "galaxy").alias("galaxies"), *[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    rows = rows.join(about, "g").withColumns({f"d{c}": F.col(c) - F.col(f"m{c}") for c in "xyz"})
+    far = rows.groupBy("g").agg(F.greatest(F.lit(1.0), F.max(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))).alias("extent"))
+    around = lambda z, angle, radius: {"x": F.cos(angle) * F.sqrt(1 - z * z) * radius, "y": z * radius, "z": F.sin(angle) * F.sqrt(1 - z * z) * radius}
+    phase = fnv1a32(F.col("node")) / F.lit(4294967296.0) * (2 * math.pi)
+    away = around((F.col("i") + 0.5) / F.col("n") * 2 - 1, phase, SPREAD)
+    even = around(1 - 2 * (F.col("i") + 0.5) / F.col("n"), F.col("i") * (math.pi * (3 - math.sqrt(5))), 68.0)
+    cell = lambda p: F.concat_ws(",", *[F.floor(F.col(f"{p}{c}") / CELL + 0.5).cast("string") for c in "xyz"])
+    rows = rows.join(far, "g").withColumns({f"p{c}": F.col(f"d{c}") / F.col("extent") * REACH for c in "xyz"} | {f"q{c}": v for c, v in away.items()} | {f"e{c}": v for c, v in even.items()})
+    rows = rows.withColumns({"sphere": F.col("galaxies") & (F.col("n") > 1), "own": cell("p"), "to": cell("q"), "crowded": (F.col("n") > 1) & (F.col("extent") <= 1)})
+    rows = materialize(rows.select("g", "node", "i", "sphere", "own", "to", "crowded", *[f"{s}{c}" for s in "pqe" for c in "xyz"]))
+    first = rows.filter("not sphere").groupBy("g", "own").agg(F.min("i").alias("i"))
+    still = rows.filter("not sphere and not crowded").join(first, ["g", "own", "i"], "left_semi").select("g", "own", "i")
+    moved = rows.filter("not sphere").join(still, ["g", "own", "i"], "left_anti").select("g", "i", "to")
+    still, moved = materialize(still), materialize(moved)
+    fresh = moved
+    while True:
+        landed = fresh.groupBy("g", F.col("to").alias("own")).agg(F.min("i").alias("least"))
+        driven = still.join(landed, ["g", "own"]).filter("least < i").select("g", "i")
+        fresh = materialize(rows.join(driven, ["g", "i"], "left_semi").select("g", "i", "to"))
+        if fresh.isEmpty():
+            break
+        still = materialize(still.join(driven, ["g", "i"], "left_anti"))
+        moved = moved.unionByName(fresh)
+    out = rows.join(moved.select("g", "i", F.lit(True).alias("moved")), ["g", "i"], "left")
+    place = [F.when(F.col("sphere"), F.col(f"e{c}")).when(F.col("moved"), F.col(f"q{c}")).otherwise(F.col(f"p{c}")).alias(c) for c in "xyz"]
+    return out.select(F.col("g").alias("scope"), "node", *place, F.coalesce("moved", F.lit(False)).alias("moved"))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecforest.functions import scalars as S
 from vecforest.functions import vectors as V
+from vecforest.operators import bridges as B
 from vecforest.operators import clustering as C
 from vecforest.operators import embed as E
 from vecforest.operators import imports as I
 from vecforest.operators import layout as L
+from vecforest.operators import neighbours as H
 from vecforest.operators import normalize as N
 from vecforest.operators import registry as G
 from vecforest.operators import relations as R
@@ -109,6 +112,18 @@ def cross_links(s: SparkSession, d: str) -> DataFrame:
     return R.cross_links(vecs(s, d), positions(s, d), 0.3, 0.65, 2)
 
 
+@query("SELECT m * (m + 1) // 2 AS pairs FROM (SELECT CAST(ceil(count(*) / 64) AS BIGINT) AS m FROM embeddings)")
+def cross_pruning(s: SparkSession, d: str) -> DataFrame:
+    """Every pair of blocks is either compared or left out for a reason."""
+    pairs = B.block_pairs(B.block_summaries(B.like_blocks(vecs(s, d), 64)), 0.3)
+    return B.pruning(pairs).agg(F.sum("n").alias("pairs"))
+
+
+@query()
+def approximate_knn(s: SparkSession, d: str) -> DataFrame:
+    return H.approximate_knn(vecs(s, d), "root", 4)
+
+
 @query(f"WITH {KNN} SELECT src AS node, dst AS other, score FROM knn UNION ALL SELECT dst, src, score FROM knn")
 def adjacency(s: SparkSession, d: str) -> DataFrame:
     return R.adjacency(edges(s, d))
@@ -553,6 +568,16 @@ def bounded_hierarchy(s: SparkSession, d: str) -> DataFrame:
     return C.bounded_hierarchy(vecs(s, d))
 
 
+@query("SELECT vec_id AS doc_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 8 AS INT) AS cell FROM embeddings")
+def round_robin(s: SparkSession, d: str) -> DataFrame:
+    return C.round_robin(vecs(s, d).select("doc_id", "leaf"), "leaf", "doc_id").select("doc_id", "cell")
+
+
+@query(f"""WITH {SUMS} SELECT doc_id, 'nebula:' || leaf AS root FROM (SELECT doc_id, c.leaf AS leaf, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_dot_product(vector, centroid), 6) DESC, c.leaf) AS k FROM v CROSS JOIN c) WHERE k = 1""")
+def theme_roots(s: SparkSession, d: str) -> DataFrame:
+    return C.theme_roots(vecs(s, d), C.centroids(vecs(s, d), "leaf").withColumnRenamed("leaf", "theme"))
+
+
 @query("""SELECT vec_id AS doc_id, list_reduce(list_transform(string_split('r/0|' || vec_id, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) % 8 AS shard FROM embeddings""")
 def identity_shards(s: SparkSession, d: str) -> DataFrame:
     return vecs(s, d).select("doc_id", C.identity_shard(F.lit("r/0"), F.col("doc_id")).alias("shard"))
@@ -610,17 +635,36 @@ def top_topics(s: SparkSession, d: str) -> DataFrame:
     return L.top_topics(L.leaf_scores(vecs(s, d), anchors(s, d)), 0.1)
 
 
-@query(f"""WITH {SCORES}, w AS (SELECT *, greatest(0, (score - 0.1) / 0.9) ** 2 * exp((score - best) / 0.07) AS w FROM rk WHERE score > 0.1 AND rank <= 3),
-g AS (SELECT doc_id, max(w) FILTER (rank = 1) AS w1, max(w) FILTER (rank = 2) AS w2, sum(w * x) / sum(w) AS mx, max(x) FILTER (rank = 1) AS tx FROM w JOIN t USING (leaf) GROUP BY doc_id),
-q AS (SELECT *, round(CASE WHEN w2 IS NULL THEN 1 ELSE 1 - w2 / w1 END, 4) AS dominance FROM g)
-SELECT rk.doc_id, rk.leaf AS nearest_leaf, rk.score, q.dominance, CASE WHEN w1 IS NULL THEN 'outlier' WHEN dominance < 0.35 THEN 'bridge' ELSE 'cluster' END AS placement, round(mx + (tx - mx) * 0.8 * dominance, 4) AS x FROM rk LEFT JOIN q USING (doc_id) WHERE rank = 1""")
+ROOTS = """rs AS (SELECT root, pos, sum(x) AS x FROM (SELECT root, i AS pos, vector[i] AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM v)) GROUP BY ALL),
+rc AS (SELECT root, list(x / n ORDER BY pos) AS rv FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY root)) AS n FROM rs) GROUP BY root)"""
+PLACED = f"""{SCORES}, {ROOTS}, near AS (SELECT doc_id, max(list_dot_product(vector, rv)) AS scope FROM v CROSS JOIN rc GROUP BY doc_id),
+w AS (SELECT *, ((score - 0.1) / 0.9) ** 2 * exp((score - best) / 0.07) AS w FROM rk WHERE score > 0.1 AND rank <= 3),
+g AS (SELECT doc_id, max(w) FILTER (rank = 1) AS w1, max(w) FILTER (rank = 2) AS w2, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM w JOIN t USING (leaf) GROUP BY doc_id),
+top AS (SELECT rk.doc_id, rk.leaf, rk.score, t.x, t.y, t.z, [vector[i] - centroid[i] for i in [4, 5, 6]] AS r, ((rk.doc_id + 452) * 1664525 + 1013904223) % 4294967296 AS s1 FROM rk JOIN t USING (leaf) JOIN c USING (leaf) JOIN v ON v.doc_id = rk.doc_id WHERE rank = 1),
+turn AS (SELECT *, (s2 * 1664525 + 1013904223) % 4294967296 AS s3 FROM (SELECT *, (s1 * 1664525 + 1013904223) % 4294967296 AS s2 FROM top)),
+q AS (SELECT turn.*, scope, g.*, CASE WHEN w2 IS NULL THEN 1 ELSE 1 - w2 / w1 END AS dom, sqrt(list_dot_product(r, r)) AS len, [s1 / 4294967296 - 0.5, s2 / 4294967296 - 0.5, s3 / 4294967296 - 0.5] AS d, (SELECT max(sqrt(x * x + y * y + z * z) + 24) FROM t) + 225 * (1.2 + greatest(0, 0.1 - scope)) AS shell FROM turn JOIN near USING (doc_id) LEFT JOIN g USING (doc_id)),
+p AS (SELECT *, w1 IS NULL OR scope < 0.1 AS outside, least(24, len * 225 * 0.7 * (1 - 0.65 * 0.8)) * dom / len AS step FROM q),
+placed AS (SELECT doc_id, leaf AS nearest_leaf, score, round(CASE WHEN NOT outside THEN dom END, 4) AS dominance, CASE WHEN outside THEN 'outlier' WHEN dom < 0.35 THEN 'bridge' ELSE 'cluster' END AS placement, x AS tx, y AS ty, z AS tz, shell,
+CASE WHEN outside THEN d[1] / sqrt(list_dot_product(d, d)) * shell ELSE mx + (x - mx) * 0.8 * dom + r[1] * step END AS x,
+CASE WHEN outside THEN d[2] / sqrt(list_dot_product(d, d)) * shell ELSE my + (y - my) * 0.8 * dom + r[2] * step END AS y,
+CASE WHEN outside THEN d[3] / sqrt(list_dot_product(d, d)) * shell ELSE mz + (z - mz) * 0.8 * dom + r[3] * step END AS z FROM p)"""
+
+
+def placed(s: SparkSession, d: str) -> DataFrame:
+    """Documents between the leaves, with the roots as scopes and three dimensions as residual axes."""
+    scopes = np.array([r.centroid for r in C.centroids(vecs(s, d), "root").collect()])  # a handful of roots
+    return L.place_documents(vecs(s, d), anchors(s, d), 0.1, 0.8, scopes, np.eye(64)[3:6])
+
+
+@query(f"WITH {PLACED} SELECT doc_id, nearest_leaf, score, dominance, placement, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(sqrt((x - tx) ** 2 + (y - ty) ** 2 + (z - tz) ** 2), 4) AS distance FROM placed")
 def place_documents(s: SparkSession, d: str) -> DataFrame:
-    return L.place_documents(vecs(s, d), anchors(s, d), 0.1, 0.8).select("doc_id", "nearest_leaf", "score", F.when(F.col("placement") != "outlier", F.col("dominance")).alias("dominance"), "placement", F.round("x", 4).alias("x"))
+    return placed(s, d).select("doc_id", "nearest_leaf", "score", F.round("dominance", 4).alias("dominance"), "placement", *[F.round(c, 4).alias(c) for c in ("x", "y", "z", "distance")])
 
 
-@query()
+@query(f"WITH {PLACED} SELECT doc_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(shell, 4) AS radius FROM placed WHERE placement = 'outlier'")
 def outlier_positions(s: SparkSession, d: str) -> DataFrame:
-    return L.outlier_positions(L.place_documents(vecs(s, d), anchors(s, d), 0.1, 0.8), 300.0, 0.1)
+    far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return placed(s, d).filter("placement = 'outlier'").select("doc_id", *[F.round(c, 4).alias(c) for c in "xyz"], F.round(far, 4).alias("radius"))
 
 
 @query()
@@ -685,10 +729,35 @@ def related_edges(s: SparkSession, d: str) -> DataFrame:
     return T.related_edges(edges(s, d), members(s, d), "r1").select("src", "dst", "score")
 
 
-@query(f"""WITH {NODES}, f AS (SELECT *, depth = 0 OR node IN ('r1/1', 'r1/1/system') OR parent IN ('r1', 'r1/1') AS shown FROM nodes)
-SELECT row_number() OVER (ORDER BY depth > 0, root <> 'r1', node) AS position, node, depth FROM f WHERE shown ORDER BY position LIMIT 7""")
+FRONTIER = f"""{MEMBERS}, fr AS (SELECT m.* FROM m JOIN documents USING (doc_id) WHERE lang = 'fr'), e AS (SELECT DISTINCT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2), path]) AS node FROM fr
+UNION ALL SELECT path || '/' || lpad(CAST(doc_id AS VARCHAR), 20, '0') FROM fr), k AS (SELECT node, len(string_split(node, '/')) - 1 AS depth, [array_to_string(string_split(node, '/')[1:i], '/') for i in range(1, len(string_split(node, '/')) + 1)] AS up FROM e),
+o AS (SELECT *, list_contains(['r1', 'r1/1', 'r1/1/system'], up[-2]) AS below, [CASE WHEN p IN ('r1', 'r1/1', 'r1/1/system') THEN '0' ELSE '1' END || p for p in up] AS way FROM k)"""
+
+
+@query(f"WITH {FRONTIER} SELECT row_number() OVER (ORDER BY depth > 0, CASE WHEN depth > 0 THEN way END, node) AS position, node, depth FROM o WHERE (depth <= 1 OR below) AND (depth < 3 OR below) ORDER BY position LIMIT 25")
 def visible_frontier(s: SparkSession, d: str) -> DataFrame:
-    return T.visible_frontier(nodes(s, d), 0, "r1/1", 7).select("position", "node", "depth")
+    """Topics with French documents, the way to one leaf first, and its documents, as the zoom is too small for others."""
+    m = members(s, d).join(read_documents(s, d).select("doc_id", "lang"), "doc_id")
+    return T.visible_frontier(nodes(s, d), 1, "r1/1/system", 25, m, F.col("lang") == "fr", 0.5).select("position", "node", "depth")
+
+
+SCENE = f"""{VSQL}, {POS}, it AS (SELECT leaf AS scope, 'doc:' || doc_id AS node, x, y, z FROM pos JOIN v USING (doc_id) UNION ALL SELECT 'universe', 'galaxy:' || root, any_value(x), any_value(y), any_value(z) FROM (SELECT root, min(doc_id) AS doc_id FROM v GROUP BY root) JOIN pos USING (doc_id) GROUP BY root),
+c AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY node) - 1 AS i, count(*) OVER w AS n, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz FROM it WINDOW w AS (PARTITION BY scope)),
+e AS (SELECT *, greatest(1, max(sqrt(dx * dx + dy * dy + dz * dz)) OVER (PARTITION BY scope)) AS ext, list_reduce(list_transform(string_split(node, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) / 4294967296 * 2 * pi() AS a, (i + 0.5) / n * 2 - 1 AS h FROM c),
+f AS (SELECT *, [dx / ext * 65, dy / ext * 65, dz / ext * 65] AS p, [cos(a) * sqrt(1 - h * h) * 58, h * 58, sin(a) * sqrt(1 - h * h) * 58] AS q, [cos(i * pi() * (3 - sqrt(5))) * sqrt(1 - h * h) * 68, -h * 68, sin(i * pi() * (3 - sqrt(5))) * sqrt(1 - h * h) * 68] AS s FROM e),
+k AS (SELECT *, [floor(t / 15 + 0.5) for t in p] AS own, [floor(t / 15 + 0.5) for t in q] AS other FROM f),
+r AS (SELECT scope, i, false AS moved, [own] AS taken FROM k WHERE i = 0 UNION ALL
+SELECT k.scope, k.i, list_contains(taken, own), list_append(taken, CASE WHEN list_contains(taken, own) THEN other ELSE own END) FROM r JOIN k ON k.scope = r.scope AND k.i = r.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {SCENE} SELECT scope, node, round(CASE WHEN scope = 'universe' THEN s[1] WHEN moved THEN q[1] ELSE p[1] END, 4) AS x, round(CASE WHEN scope = 'universe' THEN s[2] WHEN moved THEN q[2] ELSE p[2] END, 4) AS y, round(CASE WHEN scope = 'universe' THEN s[3] WHEN moved THEN q[3] ELSE p[3] END, 4) AS z, moved AND scope <> 'universe' AS moved FROM k JOIN r USING (scope, i)")
+def scene_layout(s: SparkSession, d: str) -> DataFrame:
+    """Documents around the middle of their leaf, and the roots as galaxies; the SQL places them one after another."""
+    rows = positions(s, d).join(vecs(s, d).select("doc_id", "leaf", "root"), "doc_id")
+    docs = rows.select(F.col("leaf").alias("scope"), F.concat(F.lit("doc:"), "doc_id").alias("node"), F.lit("planet").alias("role"), "x", "y", "z")
+    first = rows.groupBy("root").agg(F.min_by(F.struct("x", "y", "z"), "doc_id").alias("p"))
+    galaxies = first.select(F.lit("universe").alias("scope"), F.concat(F.lit("galaxy:"), "root").alias("node"), F.lit("galaxy").alias("role"), "p.*")
+    return T.scene_layout(docs.unionByName(galaxies)).select("scope", "node", *[F.round(c, 4).alias(c) for c in "xyz"], "moved")
 
 
 @query(f"""WITH {NODES}, {KNN} SELECT 'nodes' AS what, kind AS name, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'members', node, n FROM nodes WHERE parent IS NULL UNION ALL SELECT 'edges', 'knn', count(*) FROM knn""")
