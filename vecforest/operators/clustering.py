@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from vecforest.functions.scalars import fnv1a32, short_label
 from vecforest.functions.vectors import dot, unit
+from vecforest.operators.stats import ranks
 from vecforest.sources.tables import materialize
 
 LEAF, BRANCHES, DEPTH = 32, 8, 5
@@ -97,7 +98,7 @@ def cells(vecs: DataFrame, path: str = "path", planes: int = 3) -> DataFrame:
 
 def round_robin(rows: DataFrame, group: str, order: str, cells: int = BRANCHES) -> DataFrame:
     """Adds `cell`: each row's rank within its group modulo `cells`, by one range sort for all groups. Rows carry no column g."""
-    dealt = _ranks(rows.withColumn("g", F.col(group)), [order], "_rank")
+    dealt = ranks(rows.withColumn("g", F.col(group)), [order], "_rank")
     return dealt.withColumn("cell", F.pmod("_rank", F.lit(cells)).cast("int")).drop("g", "_rank")
 
 
@@ -315,16 +316,6 @@ def _merge_rounds(nodes: DataFrame, merges: list[DataFrame], most: int, tau: flo
             members = materialize(members.join(to, "at", "left").select("doc_id", "g", F.coalesce("pair", "at").alias("at")))
 
 
-def _ranks(df: DataFrame, keys: list, name: str) -> DataFrame:
-    """Adds the rank, from 0, within g by the keys: a range sort and one number carried for each partition and group."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = df.repartitionByRange(parts, "g", *keys).sortWithinPartitions("g", *keys)
-    t = materialize(t.withColumns({"_i": F.monotonically_increasing_id(), "_p": F.spark_partition_id()}))
-    heads = t.groupBy("g", "_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
-    heads = heads.withColumn("_off", F.coalesce(F.sum("_n").over(W.partitionBy("g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return t.join(heads.drop("_n"), ["g", "_p"]).withColumn(name, F.col("_i") - F.col("_first") + F.col("_off")).drop("_i", "_p", "_first", "_off")
-
-
 def _by_size(vecs: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame]:
     """Rows (g, doc_id, vector) of groups up to `most` rows, and of larger ones. g is never null, so that a null group meets itself in joins; _group_of() gives the group."""
     rows = vecs.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"), "doc_id", "vector")
@@ -356,7 +347,7 @@ def _numbered(nodes: DataFrame, merges: list[DataFrame], leaves: DataFrame) -> D
     every = nodes.groupBy("g").applyInPandas(_link_rest, MERGES)
     for m in merges:
         every = every.unionByName(m)
-    every = materialize(_ranks(every, [F.desc("cap"), "round", "at", "sub"], "step"))
+    every = materialize(ranks(every, [F.desc("cap"), "round", "at", "sub"], "step"))
     rows = leaves.groupBy("g").agg(F.count("*").alias("rows"))
     number = materialize(leaves.select("g", "name", "number").unionByName(every.join(rows, "g").select("g", "name", (F.col("rows") + F.col("step")).alias("number"))))
     for c in ("left", "right"):
@@ -378,7 +369,7 @@ def average_linkage(vecs: DataFrame, group: str, most: int = 400) -> DataFrame:
     if not large.isEmpty():
         start, merges, _ = _equal_first(large)
         nodes, merges, _ = _merge_rounds(start, merges, most)
-        leaves = _ranks(large.select("g", "doc_id"), ["doc_id"], "number").select("g", F.concat(F.lit("d:"), "doc_id").alias("name"), "number")
+        leaves = ranks(large.select("g", "doc_id"), ["doc_id"], "number").select("g", F.concat(F.lit("d:"), "doc_id").alias("name"), "number")
         every = every.unionByName(_numbered(nodes, merges, leaves))
     return every.select(_group_of(group), "step", "left", "right", "score", "size")
 
@@ -428,7 +419,7 @@ def numbered_parts(vecs: DataFrame, group: str, part: str) -> DataFrame:
     """(g, part, number, at, vector, n): the parts of each group with their mean vectors, numbered from 0 in their order; `at` is unique over all groups."""
     means = vector_sums(vecs.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"), F.col(part).alias("part"), "vector"), "g", "part")
     means = means.select("g", "part", F.transform("sum", lambda x: x / F.col("n")).alias("vector"), "n")
-    means = _ranks(means, ["part"], "number")
+    means = ranks(means, ["part"], "number")
     before = F.sum("m").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1))  # one row for each group
     sizes = means.groupBy("g").agg(F.count("*").alias("m"))
     return materialize(means.join(sizes.select("g", F.coalesce(before, F.lit(0)).alias("before")), "g").withColumn("at", F.col("before") + F.col("number")).drop("before"))

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecforest.functions.vectors import dot, norm
+from vecforest.functions.vectors import dot, norm, unit
+from vecforest.operators.stats import ranks
 from vecforest.sources.tables import materialize
 
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
@@ -69,3 +71,83 @@ def embedding_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per id: cosine of two vectors and both norms."""
     met = a.select("doc_id", F.col("vector").alias("x")).join(b.select("doc_id", F.col("vector").alias("y")), "doc_id")
     return met.select("doc_id", (dot(F.col("x"), F.col("y")) / (norm(F.col("x")) * norm(F.col("y")))).alias("cosine"), norm(F.col("x")).alias("norm_a"), norm(F.col("y")).alias("norm_b"))
+
+
+def _moments(met: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, sums and the matrix of products of the columns of (z array<double>). A task sends one row for each column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                z = batch["z"].flatten().to_numpy().reshape(len(batch), -1)
+                n, total, products = n + len(z), total + z.sum(0), products + z.T @ z
+        yield pa.record_batch([pa.array(range(width), pa.int32()), pa.array([n] * width), pa.array(total), pa.array(products.tolist(), pa.list_(pa.float64()))], ["i", "n", "total", "products"])
+
+    rows = met.select("z").mapInArrow(run, "i int, n long, total double, products array<double>")
+    sums = rows.select("i", "n", "total", F.posexplode("products").alias("j", "value")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("value").alias("value"))
+    n, total, products = 0, np.zeros(width), np.zeros((width, width))
+    for r in sums.collect():  # the square of the dimension
+        n, total[r.i], products[r.i, r.j] = r.n, r.total, r.value
+    return n, total, products
+
+
+def largest_difference(met: DataFrame, n: int, block: int = 1024) -> tuple[float, int]:
+    """The largest absolute difference of the two cosines of a pair, over rows (doc_id, x, y) of unit vectors, and the number of pairs of blocks compared.
+
+    The cosines of a pair differ by at most the lengths of both rows' own differences
+    x - y. Rows are cut into blocks by falling length of that; a block is compared with
+    itself first, and then only pairs of blocks whose bound is above the largest found.
+    """
+    error = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    rows = ranks(met.withColumns({"g": F.lit(""), "error": error}), [F.desc("error"), F.asc("doc_id")], "at")
+    rows = materialize(rows.select(F.floor(F.col("at") / block).alias("block"), "doc_id", "x", "y", "error"))
+    tops = rows.groupBy("block").agg(F.max("error").alias("top"))
+
+    def difference(a: pa.Table, b: pa.Table) -> pa.Table:
+        wide = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        if not len(a) or not len(b):
+            return pa.table([pa.array([], pa.float64())], ["most"])
+        d = np.abs(wide(a, "x") @ wide(b, "x").T - wide(a, "y") @ wide(b, "y").T)
+        d[a["doc_id"].to_numpy()[:, None] == b["doc_id"].to_numpy()] = 0.0
+        return pa.table([[float(d.max())]], ["most"])
+
+    def largest(pairs: DataFrame) -> float:
+        left = rows.join(pairs.withColumn("block", F.col("p")), "block").select("p", "q", "doc_id", "x", "y")
+        right = rows.join(pairs.withColumn("block", F.col("q")), "block").select(*[F.col(c).alias(c) for c in ("p", "q", "doc_id", "x", "y")])
+        found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(difference, "most double").agg(F.max("most")).first()[0]
+        return found or 0.0
+
+    own = materialize(tops.select(F.col("block").alias("p"), F.col("block").alias("q")))
+    most = largest(own)
+    others = tops.select(F.col("block").alias("p"), "top").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n // block) - 1)).cast("long")))).filter("p < q")
+    rest = materialize(others.join(tops.select(F.col("block").alias("q"), F.col("top").alias("other")), "q").filter(F.col("top") + F.col("other") > most).select("p", "q"))
+    return max(most, largest(rest)), own.count() + rest.count()
+
+
+def pair_agreement(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
+    """One row on the cosines of all pairs of ids in two embeddings: pairs, mean and variance in each, mean, root mean square and largest absolute difference, and the pairs of blocks compared for that.
+
+    Sums over all pairs come from the sums of the vectors and the matrix of their products,
+    in one pass; only the largest difference looks at pairs. Vectors without a direction take no part.
+    """
+    met = a.select("doc_id", unit(F.col("vector")).alias("x")).join(b.select("doc_id", unit(F.col("vector")).alias("y")), "doc_id").filter("x is not null and y is not null")
+    met = materialize(met.withColumn("z", F.concat("x", "y")))
+    schema = "pairs long, mean_a double, variance_a double, mean_b double, variance_b double, mean_difference double, rms_difference double, largest_difference double, compared long"
+    first = met.select(F.size("x").alias("d"), F.size("z").alias("w")).first()
+    if first is None:
+        return a.sparkSession.createDataFrame([(0, *[None] * 8)], schema)
+    n, total, products = _moments(met, first.w)
+    pairs = n * (n - 1) // 2
+    if not pairs:
+        return a.sparkSession.createDataFrame([(0, *[None] * 8)], schema)
+    d = first.d
+    of = lambda s: (float(s @ s) - n) / 2  # noqa: E731  sums of the products of all pairs of unit rows, and of pairs of such products
+    both = lambda m: (float((m * m).sum()) - n) / 2
+    sa, sb, aa, bb = of(total[:d]), of(total[d:]), both(products[:d, :d]), both(products[d:, d:])
+    # The products of both embeddings on the diagonal are one as well.
+    ab = both(products[:d, d:])
+    ma, mb = sa / pairs, sb / pairs
+    most, compared = largest_difference(met.select("doc_id", "x", "y"), n, block)
+    rms = max(0.0, aa + bb - 2 * ab) / pairs
+    return a.sparkSession.createDataFrame([(pairs, ma, aa / pairs - ma * ma, mb, bb / pairs - mb * mb, ma - mb, rms**0.5, most, compared)], schema)

@@ -4,24 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from vecforest.operators.stats import ranks
+from vecforest.sources.tables import materialize
 
 
 def dedupe_files(files: DataFrame) -> DataFrame:
-    """Files (path, hash): the first path of each content, and the other paths as its aliases."""
-    return files.groupBy("hash").agg(F.min("path").alias("path"), F.sort_array(F.collect_set("path")).alias("paths")).select("path", "hash", F.slice("paths", F.lit(2), F.greatest(F.size("paths") - 1, F.lit(0))).alias("aliases"))
+    """Files (path, hash): the first path of each content, and how many other paths it has. file_aliases() lists these."""
+    return files.select("path", "hash").distinct().groupBy("hash").agg(F.min("path").alias("path"), (F.count("*") - 1).alias("aliases"))
+
+
+def file_aliases(files: DataFrame) -> DataFrame:
+    """(path, alias): every further path of a content, with its first path; one row for each, as a content may have any number of paths."""
+    first = materialize(files.groupBy("hash").agg(F.min("path").alias("path")))
+    return files.select("hash", F.col("path").alias("alias")).distinct().join(first, "hash").filter("alias <> path").select("path", "alias")
 
 
 def dedupe_records(records: DataFrame) -> DataFrame:
-    """Records (file, position, hash, ...): the first of equal bodies in a file, with all positions; equal bodies of different files stay."""
-    groups = records.groupBy("file", "hash").agg(F.min("position").alias("position"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """Records (file, position, hash, ...): the first of equal bodies in a file, and how many there are; equal bodies of different files stay. mark_duplicates() has all positions."""
+    groups = materialize(records.groupBy("file", "hash").agg(F.min("position").alias("position"), F.count("*").alias("copies")))
     rest = [c for c in records.columns if c not in ("file", "hash", "position")]
     return groups.join(records.select("file", "position", *rest), ["file", "position"])
 
 
 def mark_duplicates(records: DataFrame) -> DataFrame:
-    """Adds the number of each record among those of its file with the same body, from 1."""
-    return records.withColumn("copy", F.row_number().over(W.partitionBy("file", "hash").orderBy("position")))
+    """Adds the number of each record among those of its file with the same body, from 1.
+
+    One range sort by file, body and position numbers all records, and what stands before
+    a body in a partition is carried, so a body that fills a file is spread over tasks.
+    """
+    body = F.concat_ws("|", F.xxhash64("file").cast("string"), F.coalesce("hash", F.lit("")), F.coalesce("file", F.lit("")))
+    return ranks(records.withColumn("g", body), ["position"], "copy").withColumn("copy", F.col("copy") + 1).drop("g")
 
 
 def key_conflicts(records: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 
 from vecforest.functions.scalars import fnv1a32
 from vecforest.functions.vectors import distance3
+from vecforest.operators.stats import ranks
+from vecforest.sources.tables import materialize
 
 
 def prefixes(path: Column) -> Column:
@@ -228,10 +230,7 @@ def scene_layout(children: DataFrame) -> DataFrame:
     first or what drove that away sits there. The first moves if an earlier child that
     has moved landed in its cell, which rounds over the cluster find until none is added.
     """
-    from vecforest.operators.clustering import _ranks
-    from vecforest.sources.tables import materialize
-
-    rows = _ranks(children.select(F.col("scope").alias("g"), "node", "role", "x", "y", "z"), ["node"], "i")
+    rows = ranks(children.select(F.col("scope").alias("g"), "node", "role", "x", "y", "z"), ["node"], "i")
     about = rows.groupBy("g").agg(F.count("*").alias("n"), F.bool_and(F.col("role") == "galaxy").alias("galaxies"), *[F.avg(c).alias(f"m{c}") for c in "xyz"])
     rows = rows.join(about, "g").withColumns({f"d{c}": F.col(c) - F.col(f"m{c}") for c in "xyz"})
     far = rows.groupBy("g").agg(F.greatest(F.lit(1.0), F.max(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))).alias("extent"))

@@ -350,12 +350,17 @@ IMPORTED = "i AS (SELECT source AS file, doc_id AS position, sha256(text) AS has
 
 @query(f"WITH {IMPORTED} SELECT hash, min(file) AS path, len(list(DISTINCT file)) - 1 AS aliases FROM i GROUP BY hash")
 def dedupe_files(s: SparkSession, d: str) -> DataFrame:
-    return I.dedupe_files(imported(s, d).select(F.col("file").alias("path"), "hash")).select("hash", "path", F.size("aliases").cast("long").alias("aliases"))
+    return I.dedupe_files(imported(s, d).select(F.col("file").alias("path"), "hash")).select("hash", "path", "aliases")
+
+
+@query(f"WITH {IMPORTED}, h AS (SELECT hash, min(file) AS path FROM i GROUP BY hash) SELECT DISTINCT path, file AS alias FROM i JOIN h USING (hash) WHERE file <> path")
+def file_aliases(s: SparkSession, d: str) -> DataFrame:
+    return I.file_aliases(imported(s, d).select(F.col("file").alias("path"), "hash")).distinct()
 
 
 @query(f"WITH {IMPORTED} SELECT file, hash, min(position) AS position, count(*) AS copies FROM i GROUP BY file, hash")
 def dedupe_records(s: SparkSession, d: str) -> DataFrame:
-    return I.dedupe_records(imported(s, d)).select("file", "hash", "position", F.size("positions").cast("long").alias("copies"))
+    return I.dedupe_records(imported(s, d)).select("file", "hash", "position", "copies")
 
 
 @query(f"WITH {IMPORTED} SELECT file, position, row_number() OVER (PARTITION BY file, hash ORDER BY position) AS copy FROM i")
@@ -503,6 +508,16 @@ def embedding_agreement(s: SparkSession, d: str) -> DataFrame:
     return E.embedding_agreement(a, b).select("doc_id", *[F.round(c, 6).alias(c) for c in ("cosine", "norm_a", "norm_b")])
 
 
+@query(f"""WITH {VSQL}, b AS (SELECT doc_id, vector AS x, list_transform(vector, lambda x, i: x + 0.1 * list_reverse(vector)[i]) AS y FROM v), u AS (SELECT doc_id, list_transform(x, lambda t: t / sqrt(list_dot_product(x, x))) AS x, list_transform(y, lambda t: t / sqrt(list_dot_product(y, y))) AS y FROM b),
+p AS (SELECT list_dot_product(a.x, b.x) AS s, list_dot_product(a.y, b.y) AS t FROM u a JOIN u b ON a.doc_id < b.doc_id)
+SELECT count(*) AS pairs, round(avg(s), 9) AS mean_a, round(var_pop(s), 9) AS variance_a, round(avg(t), 9) AS mean_b, round(var_pop(t), 9) AS variance_b, round(avg(s - t), 9) AS mean_difference, round(sqrt(avg((s - t) ** 2)), 9) AS rms_difference, round(max(abs(s - t)), 9) AS largest_difference FROM p""")
+def pair_agreement(s: SparkSession, d: str) -> DataFrame:
+    a = vecs(s, d)
+    b = a.withColumn("vector", F.zip_with("vector", F.reverse("vector"), lambda x, y: x + 0.1 * y))
+    out = E.pair_agreement(a, b)
+    return out.select("pairs", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("pairs", "compared")])
+
+
 # Aggregates
 
 
