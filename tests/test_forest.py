@@ -1,6 +1,5 @@
 """Known small answers and invariants of the forest operators."""
 
-import io
 import json
 import math
 
@@ -388,19 +387,6 @@ def test_synthetic_rows_do_not_depend_on_partitions(spark):
     assert a == b
 
 
-def test_npy_files(spark, tmp_path):
-    x = np.arange(6, dtype="<f4").reshape(3, 2)
-    np.save(tmp_path / "a.npy", x)
-    np.save(tmp_path / "b.npy", np.asfortranarray(x.astype("<f8")))
-    for name in "ab":
-        got = sorted((r.row, r.vector) for r in Files.read_npy(spark, f"file://{tmp_path}/{name}.npy").collect())
-        assert [v for _, v in got] == x.tolist()
-    buffer = io.BytesIO()
-    np.save(buffer, x)
-    with pytest.raises(ValueError):
-        Files._npy(buffer.getvalue()[:-4])
-
-
 def test_json_files(spark, tmp_path):
     shapes = {
         "m.json": {"files": [{"file": "a.json", "count": 1, "bytes": 2}]}, "g.json": {"nodes": [], "edges": []}, "t.json": {"texts": [{"id": "x", "title": "t"}]}, "l.json": ["a", "b"],
@@ -470,3 +456,57 @@ def test_a_replayed_batch_keeps_its_documents(spark, tmp_path):
         Inc.embed_stream(stream, f"{at}/cache", f"{at}/out", E.hashed_ngrams(), "cfg", f"{at}/state").awaitTermination()
         assert spark.read.parquet(f"{at}/out").filter("vector is not null").count() == 20
         shutil.rmtree(tmp_path / "state" / "commits")  # as if the run had ended before it could commit the batch
+
+
+def test_a_large_json_graph_is_read_by_ranges(spark, tmp_path):
+    """Every size of range gives what a JSON parser gives, whatever is in the texts."""
+    from vecforest.sources import ranges as G
+
+    rng = np.random.default_rng(1)
+    odd = ['a "quoted" word', "back\\slash \\\\ end\\", "brackets ]}[{,:", "日本語 🙂", "", "\n\t", '\\"', "x" * 300]
+    graph = {
+        "meta": {"list": [1, [2, "]"]], "n": 3}, "roots": ["r1", "r2"],
+        "nodes": [{"id": f"n{i}", "label": odd[i % 8], "pos": rng.normal(size=3).round(3).tolist(), "children": [{"x": [i]}] * (i % 3)} for i in range(60)],
+        "empty": [], 'na"me ]': [[1, 2], [3]], "edges": [{"source": "n1", "target": f"n{i}", "score": i / 7} for i in range(40)], "schema": "v1",
+    }
+    for indent in (None, 1):
+        text = json.dumps(graph, ensure_ascii=bool(indent), indent=indent)
+        (tmp_path / f"g{indent}.json").write_text(text, encoding="utf-8")
+        for size in (7, 64, 1000, 1 << 20) if indent is None else (97,):
+            got = {}
+            for r in sorted(G.read_json_elements(spark, f"file://{tmp_path}/g{indent}.json", size * max(1, len(text) // 60_000)).collect(), key=lambda r: r.offset) if size > 7 else []:
+                got.setdefault(r.list, []).append(json.loads(r.text))
+            assert size == 7 or got == {k: v for k, v in graph.items() if isinstance(v, list) and v}
+    raw = np.frombuffer(text.encode(), np.uint8)
+    whole = G.structure(raw, False, False)
+    for cut in range(1, len(raw), 61):  # two parts in a row are as the whole
+        one = G.structure(raw[:cut], False, False)
+        n = len(raw[:cut].tobytes()) - len(raw[:cut].tobytes().rstrip(b"\\"))
+        two = G.structure(raw[cut:], n % 2 == 1, one[2])
+        assert (np.concatenate([one[1], two[1]]) == whole[1]).all()
+    tables = G.read_graph_json(spark, f"{tmp_path}/gNone.json", {"nodes": "id string, label string, pos array<double>", "edges": "source string, target string, score double"}, 500)
+    assert [(r.id, r.label, r.pos) for r in tables["nodes"].orderBy("offset").collect()] == [(n["id"], n["label"], n["pos"]) for n in graph["nodes"]]
+    assert [r.score for r in tables["edges"].orderBy("offset").collect()] == [e["score"] for e in graph["edges"]]
+    (tmp_path / "list.json").write_text('[1, "a,]", {"b": [2, 3]}]')
+    assert [r.text for r in G.read_json_elements(spark, f"{tmp_path}/list.json", 6).orderBy("offset").collect()] == ["1", '"a,]"', '{"b": [2, 3]}']
+    (tmp_path / "cut.json").write_text('{"a": [1, 2')
+    with pytest.raises(ValueError, match="whole"):
+        G.read_json_elements(spark, f"{tmp_path}/cut.json")
+
+
+def test_npy_files_are_read_by_ranges(spark, tmp_path):
+    from vecforest.sources import ranges as G
+
+    x = np.random.default_rng(0).normal(size=(501, 6))
+    (tmp_path / "v").mkdir()
+    np.save(tmp_path / "v" / "a.npy", x.astype("<f4"))
+    np.save(tmp_path / "v" / "b.npy", np.asfortranarray(x))
+    (tmp_path / "v" / "note.txt").write_text("no matrix")
+    rows = G.read_npy(spark, f"file://{tmp_path}/v", 1500).withColumn("task", F.spark_partition_id()).collect()
+    for name, kind in (("a", np.float32), ("b", np.float64)):
+        mine = sorted((r.row, r.vector, r.task) for r in rows if r.path.endswith(f"{name}.npy"))
+        assert len({t for *_, t in mine}) > 5 and [r for r, *_ in mine] == list(range(501))
+        assert (np.array([v for _, v, _ in mine]) == x.astype(kind)).all()
+    (tmp_path / "bad.npy").write_bytes((tmp_path / "v" / "a.npy").read_bytes()[:-4])
+    with pytest.raises(Exception, match="length does not fit"):
+        G.read_npy(spark, f"{tmp_path}/bad.npy").count()

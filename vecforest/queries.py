@@ -24,6 +24,7 @@ from vecforest.operators import topics as P
 from vecforest.operators import tree as T
 from vecforest.plans import catalog as K
 from vecforest.sources import files as Files
+from vecforest.sources import ranges as Ranges
 from vecforest.sources.tables import fresh_path, read_documents, read_table, read_vectors
 from vecforest.streaming import incremental as Inc
 
@@ -923,6 +924,15 @@ def json_files(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("format", Files.identify_format(F.col("doc")))
 
 
+@query("SELECT vec_id AS doc_id, round(list_sum(embedding::DOUBLE[]), 6) AS total, len(embedding) AS width FROM embeddings")
+def npy_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The vectors, with their ids in front, written as NPY files and read back by ranges."""
+    path = fresh_path(s, "npy")
+    Ranges.write_npy(vecs(s, d).select(F.concat(F.array(F.col("doc_id").cast("double")), "vector").alias("vector")), path)
+    rest = F.slice("vector", 2, 4096)
+    return Ranges.read_npy(s, path).select(F.col("vector")[0].cast("long").alias("doc_id"), F.round(F.aggregate(rest, F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.size(rest).cast("long").alias("width"))
+
+
 @query("SELECT doc_id, ['manifest', 'graph', 'briefing', 'array', 'timestamp-items', 'corpus-items', 'items', 'texts', NULL][doc_id % 9 + 1] AS format FROM documents")
 def identify_format(s: SparkSession, d: str) -> DataFrame:
     return json_files(s, d).select("doc_id", "format")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import io
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,33 +75,6 @@ def local_ids(records: DataFrame, section: str | None = None) -> DataFrame:
     return records.withColumn("doc_id", F.concat(F.lit("local:"), uri_component(F.col("path")), F.lit(":"), uri_component(key)))
 
 
-def _npy(raw: bytes) -> np.ndarray:
-    if raw[:6] != b"\x93NUMPY" or raw[6] not in (1, 2, 3):
-        raise ValueError("no NPY file of version 1 to 3")
-    size, at = (struct.unpack_from("<H", raw, 8)[0], 10) if raw[6] == 1 else (struct.unpack_from("<I", raw, 8)[0], 12)
-    head = ast.literal_eval(raw[at : at + size].decode("latin1"))
-    if head["descr"] not in ("<f4", "<f8") or len(head["shape"]) != 2:
-        raise ValueError("only two-dimensional <f4 and <f8 are read")
-    body = raw[at + size :]
-    if len(body) != int(np.prod(head["shape"])) * int(head["descr"][2]):
-        raise ValueError("the length does not fit the shape")
-    return np.load(io.BytesIO(raw), allow_pickle=False)
-
-
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, vector) of NPY files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, raw in zip(batch["path"], batch["content"], strict=True):
-                x = _npy(raw)
-                for s in range(0, len(x), 10_000):
-                    some = x[s : s + 10_000].astype(float)
-                    yield pd.DataFrame({"path": file, "row": np.arange(s, s + len(some)), "vector": list(some)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, vector array<double>")
-
-
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of files, by name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
