@@ -510,3 +510,52 @@ def test_npy_files_are_read_by_ranges(spark, tmp_path):
     (tmp_path / "bad.npy").write_bytes((tmp_path / "v" / "a.npy").read_bytes()[:-4])
     with pytest.raises(Exception, match="length does not fit"):
         G.read_npy(spark, f"{tmp_path}/bad.npy").count()
+
+
+def test_a_forest_in_one_job(spark, tmp_path):
+    """Both ways: every document in one leaf and placed, the tree whole, edges right, the same forest again; then published and read back."""
+    from vecforest.plans import forest as G
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6, 12))[rng.integers(6, size=130)] + 0.25 * rng.normal(size=(130, 12))
+    x[40:80] = x[40]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = frame(spark, [(i, row, 0, 0) for i, row in enumerate(x.tolist())])
+    for exact in (400, 1):
+        params = Params(tau_in=0.8, tau_cross=0.3, relevance_floor=0.2, max_worm_length=1.5)
+        made = G.build_forest(v, params, exact=exact)
+        assert G.forest_violations(made).collect() == []
+        nodes = {r.node: r for r in made["nodes"].collect()}
+        paths = {r.doc_id: r.path for r in made["members"].collect()}
+        places = {r.doc_id: r for r in made["places"].collect()}
+        assert sorted(paths) == sorted(places) == list(range(130)) and all(nodes[p].kind == "leaf" for p in paths.values())
+        assert sum(r.n for r in nodes.values() if r.kind == "root") == 130
+        edges = made["edges"].collect()
+        for e in edges:
+            roots = {paths[e.src].split("/")[0], paths[e.dst].split("/")[0]}
+            assert e.score == pytest.approx(x[e.src] @ x[e.dst], abs=1e-5) and len(roots) == (2 if e.type == "cross" else 1)
+        if exact == 1:
+            assert max(r.n for r in nodes.values() if r.kind == "leaf") <= 32 and {e.type for e in edges} == {"knn"}
+            deep = next(p for p in sorted(paths.values(), key=lambda p: (-p.count("/"), p)))
+            i = min(i for i, p in paths.items() if p == deep)
+            home = nodes[deep.rpartition("/")[0]]
+            state, jitter = int.from_bytes(b"", "big"), []
+            state = 2166136261
+            for c in str(i):
+                state = ((state ^ ord(c)) * 16777619) % 2**32
+            for _ in range(3):
+                state = (state * 1664525 + 1013904223) % 2**32
+                jitter.append(state / 2**32 - 0.5)
+            want = np.array([home.x, home.y, home.z]) + (24 * C.seeded_planes(home.node, 3, 12) @ x[i] + 8 * np.array(jitter)) / (deep.count("/") + 1)
+            assert np.allclose([places[i].x, places[i].y, places[i].z], want)
+            branch = next(n for n in nodes.values() if n.kind == "branch" and not n.node.rpartition("/")[2].startswith("h"))
+            below = x[[i for i, p in paths.items() if p.startswith(branch.node + "/")]].sum(0)
+            up = nodes[branch.parent]
+            assert np.allclose([branch.x - up.x, branch.y - up.y, branch.z - up.z], 225 * C.seeded_planes(branch.parent, 3, 12) @ (below / np.linalg.norm(below)) / 2**branch.depth)
+        else:
+            assert {e.type for e in edges} == {"knn", "cross"} and {p.placement for p in places.values()} >= {"cluster"}
+    docs = spark.range(130).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    G.publish_forest(made, docs, f"file://{tmp_path}/out")
+    assert [r.text for r in K.read_catalog(spark, f"file://{tmp_path}/out/catalogue", [77]).collect()] == ["text 77"]
+    again = K.read_graph(spark, f"file://{tmp_path}/out/graph", ["nodes", "edges"])
+    assert again["nodes"].count() == len(nodes) and again["edges"].count() == len(edges)

@@ -116,7 +116,8 @@ def bounded_hierarchy(vecs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, roo
     The paths start from one root, or from the roots (doc_id, root) of theme_roots(). A
     cell with more members is cut by three planes that its path seeds. Where that gives
     one cell, or below `depth` levels, members are dealt by a hash of path and id, and
-    where that fails too, round-robin by id, which always ends.
+    where that fails too, round-robin by id, which always ends; such cells have an h
+    before their number.
     """
     start = vecs.select("doc_id", "vector", F.lit("r").alias("path")) if roots is None else vecs.select("doc_id", "vector").join(roots.select("doc_id", F.col("root").alias("path")), "doc_id")
     open_rows = materialize(start.withColumn("how", F.lit("plane")))
@@ -142,7 +143,8 @@ def bounded_hierarchy(vecs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, roo
         used = dealt.groupBy("path").agg(F.count_distinct("cell").alias("used"))
         after = dealt.join(used, "path")
         next_how = F.when(F.col("used") > 1, F.col("how")).when(F.col("how") == "plane", "hash").otherwise("round")
-        next_path = F.when(F.col("used") > 1, F.concat("path", F.lit("/"), F.col("cell").cast("string"))).otherwise(F.col("path"))
+        shard = F.when(F.col("how") == "plane", "").otherwise("h")  # a cell that says nothing on what its members are like
+        next_path = F.when(F.col("used") > 1, F.concat("path", F.lit("/"), shard, F.col("cell").cast("string"))).otherwise(F.col("path"))
         open_rows = materialize(after.select("doc_id", "vector", next_path.alias("path"), next_how.alias("how")))
 
 

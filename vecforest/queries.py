@@ -23,6 +23,7 @@ from vecforest.operators import stats as A
 from vecforest.operators import topics as P
 from vecforest.operators import tree as T
 from vecforest.plans import catalog as K
+from vecforest.plans import forest as Forest
 from vecforest.sources import files as Files
 from vecforest.sources import ranges as Ranges
 from vecforest.sources.tables import fresh_path, read_documents, read_table, read_vectors
@@ -698,7 +699,19 @@ def residual_projection(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hierarchy_positions(s: SparkSession, d: str) -> DataFrame:
-    return L.hierarchy_positions(vecs(s, d).join(C.bounded_hierarchy(vecs(s, d)), "doc_id"))
+    roots = s.createDataFrame([("r", 0.0, 0.0, 0.0)], "root string, x double, y double, z double")
+    return L.hierarchy_places(vecs(s, d), C.bounded_hierarchy(vecs(s, d)), roots)[1]
+
+
+@query("""SELECT 'placed documents' AS what, count(*) AS n FROM embeddings UNION ALL SELECT 'documents of the roots', count(*) FROM embeddings UNION ALL SELECT 'roots', count(DISTINCT root) FROM (WITH %s SELECT doc_id, c.leaf AS root FROM v CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(list_dot_product(vector, centroid), 6) DESC, c.leaf) = 1)
+UNION ALL SELECT 'violations', 0""" % SUMS)
+def build_forest(s: SparkSession, d: str) -> DataFrame:
+    """The whole job over all vectors, with the labels' centroids as themes: what it holds, and that nothing is wrong with it."""
+    forest = Forest.build_forest(vecs(s, d), themes=C.centroids(vecs(s, d), "leaf").withColumnRenamed("leaf", "theme"))
+    count = lambda what, df: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    top = forest["nodes"].filter("kind = 'root'")
+    held = top.agg(F.lit("documents of the roots").alias("what"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return count("placed documents", forest["places"]).unionByName(held).unionByName(count("roots", top)).unionByName(count("violations", Forest.forest_violations(forest)))
 
 
 @query(f"""WITH {VSQL}, {POS}, b AS (SELECT doc_id, leaf, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM pos JOIN v USING (doc_id) WINDOW w AS (PARTITION BY leaf))
