@@ -109,7 +109,14 @@ def best_leaf_pairs(s: SparkSession, d: str) -> DataFrame:
     return R.best_leaf_pairs(R.cross_candidates(vecs(s, d), 0.3, best_per_leaf_pair=True))
 
 
-@query()
+#: The greedy choice, one link after another: k numbers the links, a and b are their ends, each of which may be used `cap` times.
+GREEDY = """g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, false AS ok UNION ALL
+SELECT o.k, CASE WHEN fits THEN used || [a, b] ELSE used END, fits FROM (SELECT o.*, used, len(list_filter(used, lambda u: u = a)) < cap AND len(list_filter(used, lambda u: u = b)) < cap AS fits FROM g JOIN o ON o.k = g.k + 1) o)"""
+
+
+@query(f"""WITH RECURSIVE {CROSS}, {POS}, short AS (SELECT cand.* FROM cand JOIN pos a ON a.doc_id = i JOIN pos b ON b.doc_id = j WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 225 <= 0.65 + 1e-9),
+best AS (SELECT * FROM short QUALIFY row_number() OVER (PARTITION BY least(leaf_i, leaf_j), greatest(leaf_i, leaf_j) ORDER BY score DESC, i, j) = 1),
+o AS (SELECT *, leaf_i AS a, leaf_j AS b, 2 AS cap, row_number() OVER (ORDER BY score DESC, i, j) AS k FROM best), {GREEDY} SELECT i, j, score, leaf_i, leaf_j FROM o JOIN g USING (k) WHERE ok""")
 def cross_links(s: SparkSession, d: str) -> DataFrame:
     return R.cross_links(vecs(s, d), positions(s, d), 0.3, 0.65, 2)
 
@@ -502,6 +509,14 @@ def embed_documents(s: SparkSession, d: str) -> DataFrame:
     return E.embed_documents(read_documents(s, d), empty, E.hashed_ngrams(), "hashed")[0].select("doc_id", "row_key", "vector")
 
 
+@query("""SELECT doc_id, sha256('hashed' || chr(10) || text) AS row_key, count(*) OVER (PARTITION BY text) AS rows_of_text, 1 AS vectors_of_text, 1.0::DOUBLE AS length FROM documents""")
+def embed_rows(s: SparkSession, d: str) -> DataFrame:
+    """Every document has one unit vector, equal texts the same, computed once."""
+    made = embed_documents(s, d)
+    of = made.groupBy("row_key").agg(F.count("*").alias("rows_of_text"), F.count_distinct("vector").cast("int").alias("vectors_of_text"))
+    return made.join(of, "row_key").select("doc_id", "row_key", "rows_of_text", "vectors_of_text", F.round(V.norm(F.col("vector")), 9).alias("length"))
+
+
 @query(f"""WITH {VSQL}, b AS (SELECT doc_id, vector, list_transform(vector, lambda x, i: x + 0.1 * list_reverse(vector)[i]) AS other FROM v)
 SELECT doc_id, round(list_dot_product(vector, other) / sqrt(list_dot_product(vector, vector) * list_dot_product(other, other)), 6) AS cosine, round(sqrt(list_dot_product(vector, vector)), 6) AS norm_a, round(sqrt(list_dot_product(other, other)), 6) AS norm_b FROM b""")
 def embedding_agreement(s: SparkSession, d: str) -> DataFrame:
@@ -575,7 +590,12 @@ def name_topics(s: SparkSession, d: str) -> DataFrame:
     return C.name_topics(vecs(s, d), read_documents(s, d).select("doc_id", F.col("text").alias("title")), "leaf", "· ")
 
 
-@query()
+#: The planes of the path r: numbers of a linear congruential generator from the hash of the path, in rows of 64, at length 1.
+PLANES = """s AS (SELECT 0 AS k, xor(2166136261::BIGINT, ascii('r')) * 16777619 & 4294967295 AS x UNION ALL SELECT k + 1, (x * 1664525 + 1013904223) % 4294967296 FROM s WHERE k < 192),
+plane AS (SELECT (k - 1) // 64 AS p, list(x / 4294967296 - 0.5 ORDER BY k) AS w FROM s WHERE k > 0 GROUP BY p)"""
+
+
+@query(f"WITH RECURSIVE {VSQL}, {PLANES} SELECT doc_id, CAST(sum(CASE WHEN round(list_dot_product(vector, w) / sqrt(list_dot_product(w, w)), 12) >= 0 THEN 1 << p ELSE 0 END) AS INT) AS cell FROM v CROSS JOIN plane GROUP BY doc_id")
 def seeded_cells(s: SparkSession, d: str) -> DataFrame:
     return C.cells(vecs(s, d).select("doc_id", "vector", F.lit("r").alias("path"))).select("doc_id", "cell")
 
@@ -625,14 +645,17 @@ def topic_tree(s: SparkSession, d: str) -> DataFrame:
     return P.topic_tree(vecs(s, d), "root", 0.35, 2)[1]
 
 
-@query(f"""WITH {SUMS}, rs AS (SELECT root, pos, sum(x) AS x FROM (SELECT root, i AS pos, vector[i] AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM v)) GROUP BY ALL),
-rc AS (SELECT root, list(x / n ORDER BY pos) AS rv FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY root)) AS n FROM rs) GROUP BY root)
-SELECT root, leaf AS theme, round(list_dot_product(rv, centroid), 6) AS score FROM rc CROSS JOIN c""")
+ROOTS = """rs AS (SELECT root, pos, sum(x) AS x FROM (SELECT root, i AS pos, vector[i] AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM v)) GROUP BY ALL),
+rc AS (SELECT root, list(x / n ORDER BY pos) AS rv FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY root)) AS n FROM rs) GROUP BY root)"""
+
+
+@query(f"WITH {SUMS}, {ROOTS} SELECT root, leaf AS theme, round(list_dot_product(rv, centroid), 6) AS score FROM rc CROSS JOIN c")
 def theme_scores(s: SparkSession, d: str) -> DataFrame:
     return C.theme_scores(C.centroids(vecs(s, d), "root"), C.centroids(vecs(s, d), "leaf").withColumnRenamed("leaf", "theme"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SUMS}, {ROOTS}, t AS (SELECT root, leaf AS theme, round(list_dot_product(rv, centroid), 6) AS score FROM rc CROSS JOIN c),
+o AS (SELECT *, 'r:' || root AS a, 't:' || theme AS b, 1 AS cap, row_number() OVER (ORDER BY score DESC, root, theme) AS k FROM t), {GREEDY} SELECT root, theme, score FROM o JOIN g USING (k) WHERE ok""")
 def name_roots(s: SparkSession, d: str) -> DataFrame:
     return C.name_roots(theme_scores(s, d))
 
@@ -652,8 +675,6 @@ def top_topics(s: SparkSession, d: str) -> DataFrame:
     return L.top_topics(L.leaf_scores(vecs(s, d), anchors(s, d)), 0.1)
 
 
-ROOTS = """rs AS (SELECT root, pos, sum(x) AS x FROM (SELECT root, i AS pos, vector[i] AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM v)) GROUP BY ALL),
-rc AS (SELECT root, list(x / n ORDER BY pos) AS rv FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY root)) AS n FROM rs) GROUP BY root)"""
 PLACED = f"""{SCORES}, {ROOTS}, near AS (SELECT doc_id, max(list_dot_product(vector, rv)) AS scope FROM v CROSS JOIN rc GROUP BY doc_id),
 w AS (SELECT *, ((score - 0.1) / 0.9) ** 2 * exp((score - best) / 0.07) AS w FROM rk WHERE score > 0.1 AND rank <= 3),
 g AS (SELECT doc_id, max(w) FILTER (rank = 1) AS w1, max(w) FILTER (rank = 2) AS w2, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM w JOIN t USING (leaf) GROUP BY doc_id),
