@@ -559,3 +559,53 @@ def test_a_forest_in_one_job(spark, tmp_path):
     assert [r.text for r in K.read_catalog(spark, f"file://{tmp_path}/out/catalogue", [77]).collect()] == ["text 77"]
     again = K.read_graph(spark, f"file://{tmp_path}/out/graph", ["nodes", "edges"])
     assert again["nodes"].count() == len(nodes) and again["edges"].count() == len(edges)
+
+
+def test_links_of_sources(spark):
+    links = {
+        "https://github.com/a/b": ("github", "a", "b", None, "", "", None), "https://github.com/a/b.git/": ("github", "a", "b", None, "", "", None), "https://github.com/a/b/tree/main/x%20y/z?q#f": ("github", "a", "b", "tree", "main", "x y/z", None),
+        "https://github.com/a/b/blob/v1/c+d.json": ("github", "a", "b", "blob", "v1", "c+d.json", None), "https://drive.google.com/drive/folders/1Yk-_?usp=x": ("drive", None, None, None, None, None, "1Yk-_"),
+        "https://docs.google.com/open?x=1&id=9z": ("drive", None, None, None, None, None, "9z"), "https://github.com/a/b/blob/v1": None, "https://github.com/a/b/tree": None, "https://github.com/a/b/raw/v1/x": None, "http://github.com/a/b": None,
+        "https://u:p@github.com/a/b": None, "https://github.com:8443/a/b": None, "https://github.com/a": None, "https://drive.google.com/file/d/": None, "https://example.com/a/b": None, "no link": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in links], "url string").select("url", S.source_parts(F.col("url")).alias("p")).collect()
+    assert {r.url: r.p and (r.p.kind, r.p.owner, r.p.repo, r.p.mode, r.p.ref, r.p.path, r.p.id) for r in rows} == links
+
+
+def test_numbers_of_a_body_that_fills_a_file(spark):
+    """Copies are numbered by one range sort, whose partitions all hold some of them."""
+    from vecforest.operators import imports as I
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, "f").otherwise("g").alias("file"), F.col("id").alias("position"), F.when(F.col("id") % 10 > 0, "same").otherwise(F.col("id").cast("string")).alias("hash"))
+    got = I.mark_duplicates(rows)
+    hot = got.filter("hash = 'same'")
+    assert hot.count() == 36_000 and hot.agg(F.min("copy"), F.max("copy"), F.count_distinct("copy")).first() == (1, 36_000, 36_000)
+    assert hot.filter("copy <> position - floor(position / 10)").count() == 0 and got.filter("hash <> 'same' and copy <> 1").count() == 0
+    one = I.dedupe_records(rows).filter("hash = 'same'").collect()
+    assert len(one) == 1 and one[0].copies == 36_000 and one[0].position == 1
+
+
+def test_cells_that_are_taken(spark):
+    """One child after another, by name: a plain version of the spread, with crowds, single children and galaxies."""
+    rng = np.random.default_rng(9)
+    rows = [("s", f"n{i:03}", "planet", *map(float, p)) for i, p in enumerate(np.repeat(rng.normal(size=(60, 3)) * 10, 2, axis=0))] + [("one", "x", "planet", 5.0, 5.0, 5.0)]
+    rows += [("crowd", f"c{i}", "planet", 1.0, 1.0, 1.0) for i in range(5)] + [("sky", f"g{i}", "galaxy", float(i), 0.0, 0.0) for i in range(4)] + [("alone", "g", "galaxy", 3.0, 1.0, 2.0)]
+    got = {(r.scope, r.node): ([r.x, r.y, r.z], r.moved) for r in T.scene_layout(spark.createDataFrame(rows, "scope string, node string, role string, x double, y double, z double")).collect()}
+    for scope in ("s", "one", "crowd", "sky", "alone"):
+        mine = sorted(r for r in rows if r[0] == scope)
+        p = np.array([r[3:] for r in mine]) - np.mean([r[3:] for r in mine], axis=0)
+        reach, taken, n = max(1.0, np.linalg.norm(p, axis=1).max()), set(), len(mine)
+        for i, r in enumerate(mine):
+            state = 2166136261
+            for c in r[1]:
+                state = ((state ^ ord(c)) * 16777619) % 2**32
+            around = lambda h, a, size: np.array([math.cos(a) * math.sqrt(1 - h * h) * size, h * size, math.sin(a) * math.sqrt(1 - h * h) * size])
+            cell = lambda q: tuple(np.floor(q / 15 + 0.5))
+            q = p[i] / reach * 65
+            moved = cell(q) in taken or (n > 1 and reach <= 1)
+            if moved:
+                q = around((i + 0.5) / n * 2 - 1, state / 2**32 * 2 * math.pi, 58)
+            taken.add(cell(q))
+            if scope == "sky":
+                q, moved = around(1 - 2 * (i + 0.5) / n, i * math.pi * (3 - math.sqrt(5)), 68), got[r[:2]][1]
+            assert np.allclose(got[r[:2]][0], q, atol=1e-6) and got[r[:2]][1] == moved

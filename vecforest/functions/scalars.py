@@ -93,6 +93,31 @@ def parse_source_link(url: Column) -> Column:
     return F.struct(kind.alias("kind"), F.nullif(host, F.lit("")).alias("host"), at(1).alias("first"), at(2).alias("second"), F.nullif(path, F.lit("")).alias("path"))
 
 
+def source_parts(url: Column) -> Column:
+    """Where a public source lies: kind (github or drive), owner, repo, mode (tree or blob), ref and path, or id and folder; null for any other link.
+
+    Only https without credentials or port. A repository's name loses its .git; a tree
+    needs a ref, a blob a path as well; a drive link needs the id of a file or folder.
+    """
+    m = lambda g: F.regexp_extract(F.trim(url), r"^https://([^/?#@:]+)(/[^?#]*)?(\?[^#]*)?(?:#.*)?$", g)
+    host = F.lower(m(1))
+    parts = F.transform(F.filter(F.split(m(2), "/"), lambda p: p != ""), lambda p: F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))))
+    at = lambda i: F.try_element_at(parts, F.lit(i))
+    repo = F.regexp_replace(at(2), r"\.git$", "")
+    mode = at(3)
+    named = at(1).rlike(r"^[\w.-]+$") & repo.rlike(r"^[\w.-]+$")
+    whole = mode.isNull() | (mode.isin("tree", "blob") & (F.size(parts) >= F.when(mode == "blob", 5).otherwise(4)))
+    github = (host == "github.com") & F.coalesce(named & whole, F.lit(False)) & F.forall(parts, lambda p: p.isNotNull())
+    after = lambda word: F.try_element_at(parts, (F.array_position(parts, F.lit(word)) + 1).cast("int"))
+    folder = F.coalesce(F.array_contains(parts, F.lit("folders")), F.lit(False))
+    number = F.when(folder, after("folders")).when(F.array_contains(parts, F.lit("d")), after("d")).otherwise(F.regexp_extract(m(3), r"[?&]id=([^&]*)", 1))
+    drive = host.isin("drive.google.com", "docs.google.com") & F.coalesce(number.rlike(r"^[\w-]+$"), F.lit(False))
+    empty = F.lit(None).cast("string")
+    git = F.struct(F.lit("github").alias("kind"), at(1).alias("owner"), repo.alias("repo"), mode.alias("mode"), F.coalesce(at(4), F.lit("")).alias("ref"), F.array_join(F.slice(parts, 5, 1 << 20), "/").alias("path"), empty.alias("id"), F.lit(None).cast("boolean").alias("folder"))
+    own = F.struct(F.lit("drive").alias("kind"), *[empty.alias(c) for c in ("owner", "repo", "mode", "ref", "path")], number.alias("id"), folder.alias("folder"))
+    return F.when(github, git).when(drive, own)
+
+
 def flat(value: object) -> str:
     if value is None:
         return ""

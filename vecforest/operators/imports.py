@@ -59,6 +59,38 @@ def import_report(records: DataFrame, max_records: int = 20_000) -> DataFrame:
     )
 
 
+#: What one import may hold, where it is one person's: files, bytes and records. Reported, never cut.
+LIMITS = {"files": 2000, "bytes": 40 << 20, "records": 20_000}
+
+
+def file_report(files: DataFrame, records: DataFrame) -> DataFrame:
+    """Per file (path, bytes, hash, status) with its records (file, hash): path, bytes, status, duplicate_of, records, unique_records, duplicates.
+
+    Of files with equal contents the first path counts, the others are duplicates of it
+    and bring no records. A file with another status than ready keeps it.
+    """
+    first = materialize(files.filter("status = 'ready'").groupBy("hash").agg(F.min("path").alias("first")))
+    met = files.join(first, "hash", "left")
+    again = (F.col("status") == "ready") & (F.col("path") != F.col("first"))
+    met = met.select("path", "bytes", F.when(again, "duplicate").otherwise(F.col("status")).alias("status"), F.when(again, F.col("first")).alias("duplicate_of"))
+    held = records.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("records"), F.count_distinct("hash").alias("unique_records"))
+    count = lambda c: F.when(F.col("status") == "ready", F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    out = met.join(held, "path", "left").select("path", "bytes", "status", "duplicate_of", count("records").alias("records"), count("unique_records").alias("unique_records"))
+    return out.withColumn("duplicates", F.col("records") - F.col("unique_records"))
+
+
+def import_totals(report: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """One row over a file_report(): files, bytes, records, unique_records, duplicates, duplicate_files, failed_files, the limits passed, and the status: ok, or what stands against the import."""
+    limits = LIMITS | (limits or {})
+    total = report.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("unique_records"), F.lit(0)).alias("records"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"),
+        F.count_if(F.col("status") == "duplicate").alias("duplicate_files"), F.count_if(F.col("status") == "error").alias("failed_files"),
+    )
+    over = F.filter(F.array(*[F.when(F.col(c) > most, c) for c, most in limits.items()]), lambda c: c.isNotNull())
+    status = F.when(F.col("files") == 0, "no files").when(F.size("over") > 0, "over limits").when(F.col("failed_files") > 0, "failed files").otherwise("ok")
+    return total.withColumn("over", over).withColumn("status", status)
+
+
 def dataset_warnings(records: DataFrame, declared: DataFrame) -> DataFrame:
     """Per file: declared and found number of records, and how many lie outside the window; files in order are left out."""
     found = records.groupBy("file").agg(F.count("*").alias("found"), F.count_if(F.col("in_window") == F.lit(False)).alias("outside"))

@@ -14,21 +14,25 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
-def normalize_documents(df: DataFrame, id_col: str = "id", title: str = "title", text: str = "text", summary: str = "summary", category: str = "category", position: str = "position") -> DataFrame:
-    """Defaults of the common record form: doc_id, title, text, summary, category.
+def normalize_documents(df: DataFrame, id_col: str = "id", title: str = "title", text: str = "text", summary: str = "summary", category: str = "category", position: str = "position", entities: str = "entities", bare: str = "bare") -> DataFrame:
+    """Defaults of the common record form: doc_id, title, text, summary, category, entities.
 
     The id falls back to doc-<position>, the title to the text's first 60
     characters and then to a numbered name, the text to summary, text, title and
-    then nothing, the category to `uncategorized`.
+    then nothing, the category to `uncategorized`. Entities are made texts, an empty list
+    where there are none. A row with a text in the column `bare` is a record that is only
+    that text: its title is the first 60 characters.
     """
     have = set(df.columns)
     get = lambda c: blank_to_null(F.col(c)) if c in have else F.lit(None).cast("string")
-    body = F.coalesce(get(summary), get(text), get(title), F.lit(""))
+    alone = get(bare)
+    listed = F.col(entities).cast("array<string>") if entities in have else F.lit(None).cast("array<string>")
+    body = F.coalesce(alone, get(summary), get(text), get(title), F.lit(""))
     number = F.col(position).cast("long")
     return df.select(
         F.coalesce(get(id_col), F.concat(F.lit("doc-"), number.cast("string"))).alias("doc_id"),
-        F.coalesce(get(title), get(text).substr(1, 60), F.concat(F.lit("文本 "), (number + 1).cast("string"))).alias("title"),
-        body.alias("text"), body.alias("summary"), F.coalesce(get(category), F.lit("uncategorized")).alias("category"),
+        F.coalesce(alone.substr(1, 60), get(title), get(text).substr(1, 60), F.concat(F.lit("文本 "), (number + 1).cast("string"))).alias("title"),
+        body.alias("text"), body.alias("summary"), F.coalesce(get(category), F.lit("uncategorized")).alias("category"), F.coalesce(listed, F.array().cast("array<string>")).alias("entities"),
     )
 
 
@@ -37,6 +41,14 @@ def event_date(event: Column, day: Column) -> Column:
     return F.coalesce(event, day)
 
 
+def record_date(record: Column) -> Column:
+    """The date of a record in JSON (variant): that of the event if it has one, else its own, and only if the value chosen is a text."""
+    at = lambda p: F.try_variant_get(record, p, "variant")
+    there = lambda v: F.when(~F.is_variant_null(v), v)
+    chosen = F.coalesce(there(at("$.event_date")), there(at("$.date")))
+    return F.when(F.schema_of_variant(chosen) == "STRING", F.try_variant_get(chosen, "$", "string"))
+
+
 def clean_sources(items: Column) -> Column:
     """Of structs (title, name, url): those with a url, titled by title, name or url; of equal urls the first."""
     with_url = F.filter(items, lambda s: s["url"].isNotNull())

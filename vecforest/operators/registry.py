@@ -34,6 +34,11 @@ def evidence_audit(events: DataFrame) -> DataFrame:
     return each.groupBy("verification").agg(F.count_distinct("event_key").alias("events"), F.count("s.url").alias("sources"), F.count_distinct(F.parse_url("s.url", F.lit("HOST"))).alias("hosts"), F.count_if(F.col("s.url").isNull()).alias("without_source"))
 
 
+def evidence_lists(events: DataFrame, listed: tuple[str, ...] = ("partial", "unresolved")) -> DataFrame:
+    """(verification, event_key, url): the sources of events that are verified in part or not at all, one row for each; an event without sources has one with a null url."""
+    return events.filter(F.col("verification").isin(*listed)).select("verification", "event_key", F.explode_outer("sources").alias("s")).select("verification", "event_key", "s.url")
+
+
 def evidence_violations(events: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """(event_key, rule) over rows (event_key, category, published, limitations, sources)."""
     good = F.exists("sources", lambda s: s["url"].rlike("^https?://") & s["category"].isNotNull())

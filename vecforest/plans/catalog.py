@@ -15,7 +15,7 @@ ROWS_A_CHUNK = 32
 
 
 def chunk_numbers(docs: DataFrame, order: str, rows: int = ROWS_A_CHUNK) -> DataFrame:
-    """Adds the chunk of each document: its rank in the order, over `rows`.
+    """Adds the position of each document, its rank in the order from 0, and its chunk: the position over `rows`.
 
     The range sort is written once, as its bounds are sampled anew whenever it runs;
     places within partitions and the partitions' counts then come from the same sort.
@@ -24,7 +24,7 @@ def chunk_numbers(docs: DataFrame, order: str, rows: int = ROWS_A_CHUNK) -> Data
     part = materialize(part.withColumns({"__part": F.shiftright("__at", 33).cast("int"), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}))
     before = F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # one row per partition
     base = part.groupBy("__part").count().select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
-    return part.join(base, "__part").withColumn("chunk", F.floor((F.col("__base") + F.col("__at")) / rows).cast("long")).drop("__part", "__at", "__base")
+    return part.join(base, "__part").withColumn("position", F.col("__base") + F.col("__at")).withColumn("chunk", F.floor(F.col("position") / rows).cast("long")).drop("__part", "__at", "__base")
 
 
 def page_slice(df: DataFrame, order: str, page: int, rows: int) -> DataFrame:
@@ -40,9 +40,15 @@ def catalog_edges(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def catalog_index(chunks: DataFrame, members: DataFrame, title: str = "text") -> DataFrame:
-    """A short row for each document: node, parent, chunk, label and facets."""
-    return chunks.join(members, "doc_id", "left").select("doc_id", F.concat(F.lit("text:"), F.col("doc_id").cast("string")).alias("node"), F.col("path").alias("parent"), "chunk", short_label(F.col(title)).alias("label"), "lang", "source")
+#: The fields of a record that its row in the index holds, where the record has them.
+INDEX_FIELDS = ("id", "title", "text", "date", "event_date", "published_date", "category", "topic", "vendor", "model_name", "evidence_category", "verification_status", "inWindow")
+
+
+def catalog_index(chunks: DataFrame, members: DataFrame, title: str = "text", fields: tuple[str, ...] = INDEX_FIELDS) -> DataFrame:
+    """A row for each document: its position in the original order, node, parent, chunk, label, facets and those of the fields that it has."""
+    held = [c for c in fields if c in chunks.columns]
+    facets = [c for c in ("lang", "source") if c in chunks.columns and c not in held]
+    return chunks.join(members, "doc_id", "left").select("doc_id", "position", F.concat(F.lit("text:"), F.col("doc_id").cast("string")).alias("node"), F.col("path").alias("parent"), "chunk", short_label(F.col(title)).alias("label"), *facets, *held)
 
 
 def catalog_manifest(edges: DataFrame) -> DataFrame:
@@ -50,6 +56,15 @@ def catalog_manifest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def topic_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the manifest holds of a graph: nodes that are no texts, and edges (src, dst, type) between two of them, tree edges included."""
+    topics = nodes.filter("kind <> 'text'")
+    tree = topics.filter("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("tree").alias("type"))
+    every = tree.unionByName(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type"))
+    ends = topics.select("node")
+    return topics, every.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "type")
+
+
 def by_chunk(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("chunk").sortWithinPartitions("chunk")
 

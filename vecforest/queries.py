@@ -200,6 +200,19 @@ def source_links(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "pages").select("page_id", link.alias("l")).select("page_id", "l.kind", "l.host", "l.path", "l.first")
 
 
+@query("""WITH u AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', ''), '/'), lambda p: p <> '') AS q FROM pages),
+l AS (SELECT page_id, q, page_id % 5 AS k, CASE page_id % 5 WHEN 4 THEN ['d', page_id::VARCHAR] ELSE ['own-' || page_id, 'repo.x'] END AS own FROM u)
+SELECT page_id, CASE k WHEN 4 THEN 'drive' ELSE 'github' END AS kind, CASE WHEN k < 4 THEN own[1] END AS owner, CASE WHEN k < 4 THEN 'repo.x' END AS repo, CASE k WHEN 1 THEN 'tree' WHEN 2 THEN 'blob' END AS mode, CASE k WHEN 0 THEN '' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'main' END AS ref,
+CASE k WHEN 1 THEN array_to_string(q, '/') WHEN 2 THEN array_to_string(q || ['a b.json'], '/') WHEN 4 THEN NULL ELSE '' END AS path, CASE WHEN k = 4 THEN page_id::VARCHAR END AS id, CASE WHEN k = 4 THEN false END AS folder FROM l""")
+def source_parts(s: SparkSession, d: str) -> DataFrame:
+    """Links to places in repositories, with the pages' paths, and to files of a drive."""
+    tail, own = F.regexp_replace("url", "^https?://[^/]+|[?#].*$", ""), F.concat(F.lit("https://github.com/own-"), "page_id")
+    k = F.col("page_id") % 5
+    link = F.when(k == 0, F.concat(own, F.lit("/repo.x.git"))).when(k == 1, F.concat(own, F.lit("/repo.x/tree/main"), tail)).when(k == 2, F.concat(own, F.lit("/repo.x/blob/main"), tail, F.lit("/a%20b.json?raw=1#L1")))
+    link = link.when(k == 3, F.concat(own, F.lit("/repo.x/"))).otherwise(F.concat(F.lit("https://drive.google.com/file/d/"), "page_id", F.lit("/view?usp=sharing")))
+    return read_table(s, d, "pages").select("page_id", S.source_parts(link).alias("p")).select("page_id", "p.*")
+
+
 @query("""SELECT event_id, '{"dimension":"64","dtype":"q8","model":"m","pooling":"' || event_type || '","updatedAt":"' || strftime(ts, '%Y-%m-%d') || '"}' AS signature FROM events""")
 def config_signature(s: SparkSession, d: str) -> DataFrame:
     of_the_run = ("inputSha256", "generatedAt", "durationMs", "reusedRows", "computedRows", "uniqueInputs", "gpuAdapter")
@@ -254,15 +267,15 @@ def embedding_text(s: SparkSession, d: str) -> DataFrame:
 # Records
 
 
-@query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 5 > 0 THEN text END AS text, CASE WHEN doc_id % 7 > 0 THEN lang ELSE '' END AS category, CASE WHEN doc_id % 4 > 0 THEN 'id' || doc_id END AS id FROM documents)
-SELECT coalesce(id, 'doc-' || doc_id) AS doc_id, coalesce(title, nullif(left(text, 60), ''), '文本 ' || (doc_id + 1)) AS title, sha256(coalesce(nullif(text, ''), title, '')) AS text, coalesce(nullif(category, ''), 'uncategorized') AS category FROM b""")
+@query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 5 > 0 THEN text END AS text, CASE WHEN doc_id % 7 > 0 THEN lang ELSE '' END AS category, CASE WHEN doc_id % 4 > 0 THEN 'id' || doc_id END AS id, CASE WHEN doc_id % 11 = 0 THEN nullif(text, '') END AS bare, CASE WHEN doc_id % 6 > 0 THEN doc_id || ',' || n_chars ELSE '' END AS entities FROM documents)
+SELECT coalesce(id, 'doc-' || doc_id) AS doc_id, coalesce(left(bare, 60), title, nullif(left(text, 60), ''), '文本 ' || (doc_id + 1)) AS title, sha256(coalesce(bare, nullif(text, ''), title, '')) AS text, coalesce(nullif(category, ''), 'uncategorized') AS category, entities FROM b""")
 def normalize_documents(s: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
     raw = read_documents(s, d).select(
         F.when(n % 4 > 0, F.concat(F.lit("id"), n.cast("string"))).alias("id"), F.when(n % 3 > 0, F.col("source")).alias("title"), F.when(n % 5 > 0, F.col("text")).alias("text"),
-        F.when(n % 7 > 0, F.col("lang")).otherwise("").alias("category"), n.alias("position"),
+        F.when(n % 7 > 0, F.col("lang")).otherwise("").alias("category"), n.alias("position"), F.when(n % 11 == 0, F.col("text")).alias("bare"), F.when(n % 6 > 0, F.array(n, F.col("n_chars"))).alias("entities"),
     )
-    return N.normalize_documents(raw).select("doc_id", "title", S.sha256_hex(F.col("text")).alias("text"), "category")
+    return N.normalize_documents(raw).select("doc_id", "title", S.sha256_hex(F.col("text")).alias("text"), "category", F.array_join("entities", ",").alias("entities"))
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'e' || strftime(o_orderdate, '%Y-%m') END, strftime(o_orderdate, '%Y-%m-%d')) AS day FROM orders")
@@ -271,6 +284,16 @@ def event_dates(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "orders").select("o_orderkey", N.event_date(event, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def record_dates(s: SparkSession, d: str) -> DataFrame:
+    """Records in JSON: with a month for the event, a number for it, null for it, and none."""
+    k = F.col("o_orderkey") % 4
+    own = F.concat(F.lit(', "date": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"}'))
+    event = F.when(k == 0, F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM"), F.lit('"'))).when(k == 1, "2026").otherwise("null")
+    record = F.when(k == 3, F.concat(F.lit('{"id": 1'), own)).otherwise(F.concat(F.lit('{"event_date": '), event, own))
+    return read_table(s, d, "orders").select("o_orderkey", N.record_date(F.try_parse_json(record)).alias("day"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1996-12' END AS inside FROM orders")
 def in_window(s: SparkSession, d: str) -> DataFrame:
     day = F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -397,6 +420,28 @@ def import_report(s: SparkSession, d: str) -> DataFrame:
     return I.import_report(imported(s, d), 40)
 
 
+FILES = "f AS (SELECT source || '/' || doc_id || '.json' AS path, n_chars AS bytes, sha256(text) AS hash, CASE WHEN doc_id % 97 = 5 THEN 'error' ELSE 'ready' END AS status FROM documents), a AS (SELECT *, min(path) FILTER (status = 'ready') OVER (PARTITION BY hash) AS first FROM f), rep AS (SELECT path, bytes, CASE WHEN status = 'ready' AND path <> first THEN 'duplicate' ELSE status END AS status, CASE WHEN status = 'ready' AND path <> first THEN first END AS duplicate_of FROM a), full_report AS (SELECT *, CASE WHEN status = 'ready' THEN 2 ELSE 0 END AS records, CASE WHEN status = 'ready' THEN 1 ELSE 0 END AS unique_records, CASE WHEN status = 'ready' THEN 1 ELSE 0 END AS duplicates FROM rep)"
+
+
+def reported(s: SparkSession, d: str) -> DataFrame:
+    """Each document as a file that holds it twice."""
+    docs = read_documents(s, d).select(F.concat("source", F.lit("/"), "doc_id", F.lit(".json")).alias("path"), F.col("n_chars").alias("bytes"), S.sha256_hex(F.col("text")).alias("hash"), F.when(F.col("doc_id") % 97 == 5, "error").otherwise("ready").alias("status"))
+    records = docs.select(F.col("path").alias("file"), "hash")
+    return I.file_report(docs, records.unionAll(records))
+
+
+@query(f"WITH {FILES} SELECT * FROM full_report")
+def file_report(s: SparkSession, d: str) -> DataFrame:
+    return reported(s, d)
+
+
+@query(f"""WITH {FILES} SELECT count(*) AS files, sum(bytes)::BIGINT AS bytes, sum(unique_records)::BIGINT AS records, sum(duplicates)::BIGINT AS duplicates, count_if(status = 'duplicate') AS duplicate_files, count_if(status = 'error') AS failed_files,
+array_to_string(list_filter([CASE WHEN count(*) > 500 THEN 'files' END, CASE WHEN sum(bytes) > 40 * 1024 * 1024 THEN 'bytes' END, CASE WHEN sum(unique_records) > 20000 THEN 'records' END], lambda c: c IS NOT NULL), ',') AS over,
+CASE WHEN count(*) > 500 OR sum(bytes) > 40 * 1024 * 1024 OR sum(unique_records) > 20000 THEN 'over limits' WHEN count_if(status = 'error') > 0 THEN 'failed files' ELSE 'ok' END AS status FROM full_report""")
+def import_totals(s: SparkSession, d: str) -> DataFrame:
+    return I.import_totals(reported(s, d), {"files": 500}).withColumn("over", F.array_join("over", ","))
+
+
 @query("""WITH f AS (SELECT source AS file, count(*) AS found, count_if(n_chars > 5000)::BIGINT AS outside FROM documents GROUP BY source), k AS (SELECT file, found - (found % 2) AS declared FROM f)
 SELECT file, declared, found, outside FROM f JOIN k USING (file) WHERE declared <> found OR outside > 0""")
 def dataset_warnings(s: SparkSession, d: str) -> DataFrame:
@@ -474,6 +519,11 @@ def evidence_audit(s: SparkSession, d: str) -> DataFrame:
     return G.evidence_audit(evidence(s, d))
 
 
+@query(f"WITH {EVIDENCE} SELECT DISTINCT verification, event_key, CASE WHEN g % 5 > 0 THEN url END AS url FROM e WHERE verification <> 'verified'")
+def evidence_lists(s: SparkSession, d: str) -> DataFrame:
+    return G.evidence_lists(evidence(s, d)).distinct()
+
+
 @query(f"""WITH {EVIDENCE}, k AS (SELECT g, event_key, max(CASE WHEN page_id % 4 > 0 AND g % 5 > 0 THEN 1 ELSE 0 END) AS good FROM e GROUP BY ALL)
 SELECT event_key, 'category' AS rule FROM k WHERE g % 6 = 0 UNION ALL SELECT event_key, 'published' FROM k WHERE g % 7 = 0 UNION ALL SELECT event_key, 'limitations' FROM k WHERE g % 8 = 0
 UNION ALL SELECT event_key, 'sources' FROM k WHERE good = 0 UNION ALL SELECT event_key, 'repeated' FROM k GROUP BY event_key HAVING count(*) > 1""")
@@ -895,9 +945,17 @@ def catalog_edges(s: SparkSession, d: str) -> DataFrame:
     return K.catalog_edges(edges(s, d), chunk_numbers(s, d))
 
 
-@query(f"""WITH {CHUNKS}, {MEMBERS} SELECT doc_id, 'text:' || doc_id AS node, path AS parent, chunk, CASE WHEN length(text) > 22 THEN left(text, 21) || '…' ELSE text END AS label, lang, source FROM k LEFT JOIN m USING (doc_id)""")
+@query(f"""WITH {CHUNKS}, {MEMBERS} SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, 'text:' || doc_id AS node, path AS parent, chunk, CASE WHEN length(text) > 22 THEN left(text, 21) || '…' ELSE text END AS label, lang, source, source AS title, sha256(text) AS text, lang AS category FROM k LEFT JOIN m USING (doc_id)""")
 def catalog_index(s: SparkSession, d: str) -> DataFrame:
-    return K.catalog_index(K.chunk_numbers(read_documents(s, d), "doc_id"), members(s, d))
+    docs = read_documents(s, d).withColumns({"title": F.col("source"), "category": F.col("lang")})
+    return K.catalog_index(K.chunk_numbers(docs, "doc_id"), members(s, d)).withColumn("text", S.sha256_hex(F.col("text")))
+
+
+@query(f"WITH {NODES} SELECT parent AS src, node AS dst, 'tree' AS type FROM nodes WHERE parent IS NOT NULL")
+def topic_edges(s: SparkSession, d: str) -> DataFrame:
+    """The manifest's edges: those of the tree; neighbours are between texts and stay in the shards."""
+    texts = edges(s, d).select(F.concat(F.lit("text:"), "src").alias("src"), F.concat(F.lit("text:"), "dst").alias("dst"), F.lit("knn").alias("type"))
+    return K.topic_graph(nodes(s, d), texts)[1]
 
 
 @query(f"WITH {KNN} SELECT CASE WHEN score > 0.3 THEN 'strong' ELSE 'weak' END AS type, count(*) AS n FROM knn GROUP BY 1")
