@@ -1,17 +1,21 @@
-"""Repeated runs of lines, found by rolling hashes over two lines.
-
-A run of two or more lines that are not empty, with the empty lines between them,
-goes where the same bytes stand at an earlier place: a smaller id, then nearer the
-start of the text. Every such run is a union of windows that reach from one line that
-is not empty to the next, so all windows are compared over the corpus: first by hash,
-in narrow rows, then by their bytes, which only repeated hashes send. The first
-window stays; of three or more equal lines in a row, two stay. A line's first place
-in the corpus never goes. Empty lines before and after a run stay.
-
-Content-defined chunks are counted beside that: a rolling hash over the hashes of
-WINDOW lines ends a chunk where it meets a fixed pattern, a chunk has two lines that
-are not empty unless its text has fewer, and in periodic lines a chunk is a period.
-A chunk counts as removed if all of it lies in removed lines.
+"""Repeated runs of lines, found by content-defined chunks.
+
+A rolling hash over the hashes of WINDOW lines ends a chunk where it meets a fixed
+pattern, so chunks are cut alike wherever the same lines stand. A chunk has two lines
+that are not empty unless its text has fewer, and in periodic lines a chunk is a
+period. Chunks are counted over the corpus by hash; those that repeat bring their
+texts together.
+
+A repeated run hardly ever ends with a chunk, so chunks are extended to both sides: in
+a repeated chunk and the chunks beside it, windows that reach from one line that is not
+empty to the next are compared, first by hash, then by their bytes, which only
+repeated hashes send. Windows that stand at an earlier place too, at a smaller id or
+nearer the start of the text, go; a longer run is the union of its windows, as chunks
+inside it repeat themselves. So what goes is always a byte-equal run of two or more
+lines that are not empty, and all of a run goes that holds a whole chunk; a short run
+that no chunk fits in stays. The first window stays; of three or more equal lines in a
+row, two stay. A line's first place in the corpus never goes. Empty lines before and
+after a run stay. A chunk counts as removed if all of it lies in removed lines.
 
 Defined results: null text counts as empty; lines end at line feeds, and bytes are
 compared without the last line feed; a null id comes after all others; rows with the
@@ -32,9 +36,10 @@ from pyspark.sql import functions as F
 from vecforest.llm.common import kept_row, row_key, split_by, table, whole_text, with_row
 from vecforest.llm.textops import RollingHash, buffer_of, mix, parts_by_bytes
 
-WINDOW, LINES_A_CHUNK = 2, 4
+WINDOW, LINES_A_CHUNK = 2, 2
 #: Longest period, in lines, that ends chunks.
 PERIOD = 8
+CHUNKS = "key binary, begin int, hash long"
 WINDOWS = "key binary, doc_id long, begin int, second int, end int, hash long"
 
 
@@ -115,6 +120,22 @@ def line_chunks(raw: np.ndarray, off: np.ndarray, window: int, lines: int) -> tu
     return d, np.arange(len(d)) - np.searchsorted(d, d), start[begin], bare[stop], stop - begin + 1, filled[stop + 1] - filled[begin], rolling.of(start[begin], bare[stop]).view(np.int64)
 
 
+def windows_near(raw: np.ndarray, off: np.ndarray, repeated: list[np.ndarray], window: int, lines: int) -> tuple[np.ndarray, ...]:
+    """The line_windows() in chunks that begin at the places `repeated` of each document, and in the chunks beside them."""
+    d, _, begin, *_ = line_chunks(raw, off, window, lines)
+    doc, one, two, end, h = line_windows(raw, off)
+    if not len(doc):
+        return doc, one, two, end, h
+    wanted = np.concatenate([r + o for r, o in zip(repeated, off[:-1], strict=True)]) if repeated else np.zeros(0, np.int64)
+    hit = np.isin(begin, wanted)
+    beside = d[1:] == d[:-1]
+    near = hit.copy()
+    near[1:] |= hit[:-1] & beside
+    near[:-1] |= hit[1:] & beside
+    keep = near[np.searchsorted(begin, one, side="right") - 1] & near[np.searchsorted(begin, two, side="right") - 1]
+    return doc[keep], one[keep], two[keep], end[keep], h[keep]
+
+
 def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted ranges of whole lines (ends without line feeds), those that touch or overlap made one."""
     out: list[tuple[int, int]] = []
@@ -136,13 +157,30 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
             done = 0
             for part in parts_by_bytes(batch["text"]):
                 raw, off = buffer_of(part)
-                doc, begin, second, end, h = line_windows(raw, off)
+                doc, _, begin, _, _, filled, h = line_chunks(raw, off, window, lines)
+                some = filled > 1
+                doc, begin, h = doc[some], begin[some], h[some]
+                yield pa.record_batch([batch["key"].take(pa.array(doc + done)), pa.array((begin - off[doc]).astype(np.int32)), pa.array(h)], ["key", "begin", "hash"])
+                done += len(part)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in parts_by_bytes(batch["text"]):
+                raw, off = buffer_of(part)
+                repeated = [np.array(r, np.int64) for r in batch["chunks"].slice(done, len(part)).to_pylist()]
+                doc, begin, second, end, h = windows_near(raw, off, repeated, window, lines)
                 at = pa.array(doc + done)
                 done += len(part)
                 yield pa.record_batch([batch["key"].take(at), batch["doc_id"].take(at), *(pa.array((c - off[doc]).astype(np.int32)) for c in (begin, second, end)), pa.array(h >> (64 - hash_bits))], [c.split()[0] for c in WINDOWS.split(", ")])
 
-    windows = table(rows.select("key", "doc_id", "text").mapInArrow(find, WINDOWS), "windows")
-    twice = windows.groupBy("hash").count().filter("count > 1").select("hash")
+    chunks = table(rows.select("key", "text").mapInArrow(find, CHUNKS), "chunks")
+    # Tables, so that joins with them can be split at a hash that a third of the texts have.
+    common = table(chunks.groupBy("hash").count().filter("count > 1").select("hash"), "common")
+    met = table(chunks.join(common, "hash").groupBy("key").agg(F.collect_set("begin").alias("chunks")), "met")
+    near, _ = split_by(rows.select("key", "doc_id", "text"), "key", met)
+    windows = table(near.join(met, "key").select("key", "doc_id", "text", "chunks").mapInArrow(extend, WINDOWS), "windows")
+    twice = table(windows.groupBy("hash").count().filter("count > 1").select("hash"), "twice")
     per_text = table(windows.join(twice, "hash").groupBy("key").agg(F.collect_set(F.struct("doc_id", "begin", "second", "end", "hash")).alias("windows")), "asked")
     texts, _ = split_by(rows.select("key", "text"), "key", per_text)
 
