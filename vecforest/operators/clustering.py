@@ -28,8 +28,21 @@ def majority(df: DataFrame, group: str, col: str, fallback: str) -> DataFrame:
 
 
 def vector_sums(vecs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, sum array<double>, n): component sums, added up before the shuffle."""
-    each = vecs.select(*keys, F.posexplode("vector").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    """(keys, sum array<double>, n): component sums. Each batch of rows sends one sum for each of its keys, whose components are then added up, before the shuffle once more."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = batch["vector"].flatten().to_numpy().reshape(len(batch), -1)
+                which = pa.Table.from_batches([batch]).select(list(keys)).to_pandas().groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+                sums = np.zeros((which.max() + 1, x.shape[1]))
+                np.add.at(sums, which, x)
+                first = pa.array(np.unique(which, return_index=True)[1])
+                yield pa.record_batch([*(batch[k].take(first) for k in keys), pa.array(list(sums), pa.list_(pa.float64())), pa.array(np.bincount(which))], [*keys, "sum", "n"])
+
+    fields = [*(vecs.schema[k] for k in keys), T.StructField("sum", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]
+    parts = vecs.select(*keys, "vector").mapInArrow(partial, T.StructType(fields))
+    each = parts.select(*keys, "n", F.posexplode("sum").alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sum"), F.max("n").alias("n"))
 
 
@@ -40,14 +53,13 @@ def centroids(vecs: DataFrame, key: str) -> DataFrame:
     return sums.join(first, key).select(key, F.when(dot(F.col("sum"), F.col("sum")) < 1e-20, F.col("first")).otherwise(unit(F.col("sum"))).alias("centroid"), "n")
 
 
-def assign_themes(vecs: DataFrame, themes: DataFrame, most: int = 512) -> DataFrame:
-    """(doc_id, theme, score): the most similar theme; ties go to the smallest. Themes are few: their number is checked before they are sent out."""
-    n = themes.count()
-    if n > most:
-        raise ValueError(f"{n} themes; at most {most} can be sent to every task")
-    scored = vecs.select("doc_id", "vector").crossJoin(F.broadcast(themes.select("theme", "centroid"))).select("doc_id", "theme", F.round(dot(F.col("vector"), F.col("centroid")), 6).alias("score"))
-    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "theme")).alias("b"))
-    return best.select("doc_id", F.col("b.theme").alias("theme"), (-F.col("b.s")).alias("score"))
+def assign_themes(vecs: DataFrame, themes: DataFrame) -> DataFrame:
+    """(doc_id, theme, score): the most similar of the themes (theme, centroid), of any number; ties go to the smallest. One matrix product for each batch of rows."""
+    from vecforest.operators.layout import anchor_candidates
+
+    anchors = themes.select(F.col("theme").alias("leaf"), "centroid", *[F.lit(0.0).alias(c) for c in "xyz"])
+    best = F.col("candidates")[0]
+    return anchor_candidates(vecs, anchors, None, None).select("doc_id", best["leaf"].alias("theme"), best["score"].alias("score"))
 
 
 def representatives(vecs: DataFrame, cents: DataFrame, key: str) -> DataFrame:
@@ -458,12 +470,14 @@ def group_linkage(vecs: DataFrame, group: str, part: str, most: int = 400) -> Da
 
 def theme_scores(roots: DataFrame, themes: DataFrame) -> DataFrame:
     """Every root with every theme (both few): root, theme, score."""
-    return roots.select("root", "centroid").crossJoin(F.broadcast(themes.select("theme", F.col("centroid").alias("t")))).select("root", "theme", F.round(dot(F.col("centroid"), F.col("t")), 6).alias("score"))
+    return roots.select("root", "centroid").crossJoin(themes.select("theme", F.col("centroid").alias("t"))).select("root", "theme", F.round(dot(F.col("centroid"), F.col("t")), 6).alias("score"))
 
 
 def name_roots(scores: DataFrame) -> DataFrame:
     """One theme for each root and one root for each theme, by falling score."""
     from vecforest.operators.relations import capped
 
-    links = scores.select(F.dense_rank().over(W.orderBy("root")).alias("i"), F.dense_rank().over(W.orderBy("theme")).alias("j"), "score", F.concat(F.lit("r:"), "root").alias("leaf_i"), F.concat(F.lit("t:"), "theme").alias("leaf_j"))
+    number = lambda c, n: ranks(scores.select(F.lit("").alias("g"), c).distinct(), [c], n).drop("g")
+    numbered = scores.join(number("root", "i"), "root").join(number("theme", "j"), "theme")
+    links = numbered.select("i", "j", "score", F.concat(F.lit("r:"), "root").alias("leaf_i"), F.concat(F.lit("t:"), "theme").alias("leaf_j"))
     return capped(links, 1).select(F.substring("leaf_i", 3, 1 << 20).alias("root"), F.substring("leaf_j", 3, 1 << 20).alias("theme"), "score")

@@ -722,7 +722,7 @@ SCORES = f"{TOPICS}, sc AS (SELECT doc_id, c.leaf AS leaf, round(list_dot_produc
 
 @query(f"WITH {SCORES} SELECT doc_id, leaf, score, best, rank FROM rk WHERE score > 0.1 AND rank <= 3")
 def top_topics(s: SparkSession, d: str) -> DataFrame:
-    return L.top_topics(L.leaf_scores(vecs(s, d), anchors(s, d)), 0.1)
+    return L.top_topics(vecs(s, d), anchors(s, d), 0.1)
 
 
 PLACED = f"""{SCORES}, {ROOTS}, near AS (SELECT doc_id, max(list_dot_product(vector, rv)) AS scope FROM v CROSS JOIN rc GROUP BY doc_id),

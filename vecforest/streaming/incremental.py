@@ -14,18 +14,25 @@ def embed_stream(stream: DataFrame, cache_path: str, out_path: str, embedder: Em
 
     Files are written under the batch's number, so a batch that is run again after
     a failure replaces what it wrote before. It does not take its own earlier rows for
-    known ones; and a document without a vector is an error, never a lost row.
+    known ones; and a document without a vector is an error, never a lost row. The cache
+    lies in a folder for each first two digits of its keys, and a batch reads only the
+    folders that its own keys may be in.
     """
     schema = "row_key string, vector array<double>"
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         rows = df.withColumn("row_key", row_key(config))
+        shard = F.substring("row_key", 1, 2).alias("shard")
+        wanted = "|".join(sorted(r.shard for r in rows.select(shard).distinct().collect()))  # at most 256
         every = spark.read.option("recursiveFileLookup", True).schema(schema).parquet(cache_path)
-        known = every.filter(~F.col("_metadata.file_path").contains(f"/batch={number}/")).dropDuplicates(["row_key"])
+        path = F.col("_metadata.file_path")
+        mine = ~path.contains("/shard=") | path.rlike(f"/shard=({wanted})/")
+        known = every.filter(~path.contains(f"/batch={number}/") & mine).dropDuplicates(["row_key"])
         missing = rows.select("row_key", "text").dropDuplicates(["row_key"]).join(known, "row_key", "left_anti")
-        embed_missing(missing, embedder).write.mode("overwrite").parquet(f"{cache_path}/batch={number}")
-        found = known.unionByName(spark.read.schema(schema).parquet(f"{cache_path}/batch={number}"))
+        fresh = embed_missing(missing, embedder).withColumn("shard", F.substring("row_key", 1, 2))
+        fresh.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{cache_path}/batch={number}")
+        found = known.unionByName(spark.read.option("recursiveFileLookup", True).schema(schema).parquet(f"{cache_path}/batch={number}"))
         vector = F.coalesce("vector", F.raise_error(F.concat(F.lit("no vector for "), F.col("row_key"))).cast("array<double>"))
         rows.join(found, "row_key", "left").select("doc_id", "row_key", vector.alias("vector")).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
