@@ -879,14 +879,17 @@ def graph_violations(s: SparkSession, d: str) -> DataFrame:
     return T.graph_violations(bad, e, some)
 
 
-@query(f"""WITH {NODES}, {KNN} SELECT 'score' AS rule, count(*) AS n FROM knn WHERE src % 50 = 3 UNION ALL SELECT 'lost documents', count(*) FROM m WHERE doc_id % 100 = 7
-UNION ALL SELECT 'tree edges', -count(*) FROM nodes WHERE parent IS NULL AND depth = 0 UNION ALL SELECT unnest(['knn root', 'cross root', 'cross score', 'cross degree']), 0""")
+@query(f"""WITH {NODES}, {KNN}, placed AS (SELECT doc_id, leaf, CASE WHEN doc_id % 40 = 11 THEN 'other' ELSE root END AS root FROM v), e AS (SELECT src, dst, score, CASE WHEN src % 10 = 9 THEN 'cross' ELSE 'knn' END AS type, a.root AS ra, b.root AS rb, a.leaf AS la, b.leaf AS lb FROM knn JOIN placed a ON a.doc_id = src JOIN placed b ON b.doc_id = dst)
+SELECT 'score' AS rule, count(*) AS n FROM knn WHERE src % 50 = 3 UNION ALL SELECT 'lost documents', count(*) FROM m WHERE doc_id % 100 = 7
+UNION ALL SELECT 'tree edges', -count(*) FROM nodes WHERE parent IS NULL AND depth = 0 UNION ALL SELECT 'knn root', count(*) FROM e WHERE type = 'knn' AND ra <> rb UNION ALL SELECT 'cross root', count(*) FROM e WHERE type = 'cross' AND ra = rb
+UNION ALL SELECT 'cross score', count(*) FROM e WHERE type = 'cross' AND score < 0.3 UNION ALL SELECT 'cross degree', count(*) FROM (SELECT leaf FROM (SELECT unnest([la, lb]) AS leaf FROM e WHERE type = 'cross') GROUP BY leaf HAVING count(*) > 8)""")
 def check_build(s: SparkSession, d: str) -> DataFrame:
-    cross = cross_links(s, d).select(F.col("i").alias("src"), F.col("j").alias("dst"), "score", F.lit("cross").alias("type"))
-    e = edges(s, d).withColumn("type", F.lit("knn")).unionByName(cross)
-    e = e.withColumn("score", F.when((F.col("type") == "knn") & (F.col("src") % 50 == 3), F.col("score") + 0.5).otherwise(F.col("score")))
+    """All seven rules broken: scores moved, documents lost, a wrong kind of root, documents in other roots, and neighbours in one root passed off as bridges."""
+    e = edges(s, d).withColumn("type", F.when(F.col("src") % 10 == 9, "cross").otherwise("knn"))
+    e = e.withColumn("score", F.when(F.col("src") % 50 == 3, F.col("score") + 0.5).otherwise(F.col("score")))
     tree = nodes(s, d).withColumn("kind", F.when(F.col("kind") == "root", "lost root").otherwise(F.col("kind")))
-    return T.check_build(tree, members(s, d).filter("doc_id % 100 <> 7"), e, vecs(s, d), 0.3, 2)
+    moved = vecs(s, d).withColumn("root", F.when(F.col("doc_id") % 40 == 11, "other").otherwise(F.col("root")))
+    return T.check_build(tree, members(s, d).filter("doc_id % 100 <> 7"), e, moved, 0.3, 8)
 
 
 def leaves(s: SparkSession, d: str) -> DataFrame:
