@@ -449,6 +449,25 @@ def test_neighbours_of_awkward_vectors(spark):
     assert got == {0: [1, 2, 200, 7], 200: [0, 1, 2, 7]}
 
 
+def test_neighbours_of_other_rows_are_all_found(spark):
+    """Without clusters, in tight clusters far from zero, with one long component, and many copies: every neighbour is found."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 24)) * 5
+    for x in (
+        rng.normal(size=(1200, 24)), 1000 + centres[rng.integers(0, 12, 1200)] + rng.normal(size=(1200, 24)) * 0.01,
+        rng.normal(size=(1200, 24)) * np.r_[1e4, np.ones(23)], np.repeat(rng.normal(size=(6, 24)), 200, 0) + np.r_[np.zeros(900), np.ones(300)][:, None] * rng.normal(size=(1200, 24)) * 1e-6,
+    ):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in sorted(ann.nearest_neighbours(df).collect(), key=lambda r: r["rank"]):
+            got[r.query_id].append((r.vec_id, r.score))
+        for q in range(0, 1200, 100):
+            far = np.sqrt(((x - x[q]) ** 2).sum(1))
+            order = [i for i in np.lexsort((np.arange(1200), far)).tolist() if i != q][:10]
+            assert got[q] == [(i, far[i]) for i in order]
+        assert len(got) == 12
+
+
 # Empty tables and shared helpers
 
 
