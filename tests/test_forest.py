@@ -610,3 +610,15 @@ def test_cells_that_are_taken(spark):
             if scope == "sky":
                 q, moved = around(1 - 2 * (i + 0.5) / n, i * math.pi * (3 - math.sqrt(5)), 68), got[r[:2]][1]
             assert np.allclose(got[r[:2]][0], q, atol=1e-6) and got[r[:2]][1] == moved
+
+
+def test_check_build_query_checks_the_true_bridges(spark, monkeypatch):
+    from vecforest import queries as Q
+
+    seen, real = [], Q.T.check_build
+    monkeypatch.setattr(Q.T, "check_build", lambda nodes, members, edges, *rest: seen.append(edges) or real(nodes, members, edges, *rest))
+    d = "/root/testdata/sf0.001"
+    Q.check_build(spark, d)
+    cross = {(r.src, r.dst) for r in seen[0].filter("type = 'cross'").collect()}
+    links = {(r.i, r.j) for r in Q.cross_links(spark, d).collect()}
+    assert links and links <= cross
