@@ -622,3 +622,26 @@ def test_check_build_query_checks_the_true_bridges(spark, monkeypatch):
     cross = {(r.src, r.dst) for r in seen[0].filter("type = 'cross'").collect()}
     links = {(r.i, r.j) for r in Q.cross_links(spark, d).collect()}
     assert links and links <= cross
+
+
+def test_embedder_hashes_each_ngram_once(monkeypatch):
+    import hashlib
+
+    import pandas as pd
+
+    from vecforest.operators import embed as E
+
+    texts = ["the same words again and again " * 40] * 50 + [None, "", "a", "日本🙂語 the end"]
+    hashed, real = [], hashlib.blake2b
+    monkeypatch.setattr(E.hashlib, "blake2b", lambda b, **k: hashed.append(b) or real(b, **k))
+    monkeypatch.setattr(E, "PIECE", 100)
+    got = list(E.hashed_ngrams()([pd.Series(texts)]))[0].tolist()
+    grams = [[t[i : i + 3] for i in range(max(1, len(t) - 2))] for t in (f" {t or ''} " for t in texts)]
+    assert len(hashed) <= len({g for gs in grams for g in gs}) + 1
+    for gs, v in zip(grams, got, strict=True):
+        want = np.zeros(32)
+        for g in gs:
+            h = int.from_bytes(real(g.encode(), digest_size=8).digest(), "little")
+            want[h % 32] += 1 if h >> 63 else -1
+        want[0] = want[0] if want.any() else 1
+        assert v == (want / np.linalg.norm(want)).tolist()

@@ -15,6 +15,8 @@ from vecforest.functions.vectors import dot, norm, unit
 from vecforest.operators.stats import ranks
 from vecforest.sources.tables import materialize
 
+#: Characters of texts that are counted at once, and n-grams whose hashes a task keeps.
+PIECE, MOST_GRAMS = 1 << 20, 1 << 20
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
@@ -32,19 +34,57 @@ def split_cached(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
 def hashed_ngrams(dims: int = 32, n: int = 3) -> Embedder:
     """A stand-in embedder: signed counts of hashed character n-grams at length 1. A row's vector depends on its text alone."""
 
-    def one(text: str | None) -> list[float]:
-        v = np.zeros(dims)
-        padded = f" {text or ''} "
-        for i in range(max(1, len(padded) - n + 1)):
-            h = int.from_bytes(hashlib.blake2b(padded[i : i + n].encode(), digest_size=8).digest(), "little")
-            v[h % dims] += 1 if h >> 63 else -1
-        if not v.any():
-            v[0] = 1
-        return (v / np.linalg.norm(v)).tolist()
+    bins: dict[int | str, int] = {}  # of n-grams met before: twice the dimension, and one more for a positive sign
+
+    def bin_of(gram: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+        return h % dims * 2 + (h >> 63)
+
+    def bins_of(keys: list[int] | list[str]) -> np.ndarray:
+        if len(bins) > MOST_GRAMS:
+            bins.clear()
+        for key in keys:
+            if key not in bins:
+                bins[key] = bin_of(key if isinstance(key, str) else "".join(chr(key >> (21 * i) & 0x1FFFFF) for i in range(n)))
+        return np.array([bins[key] for key in keys], np.int64)
+
+    def add_counts(total: np.ndarray, pieces: list[tuple[int, str]]) -> None:
+        """Adds the n-grams of pieces (row, text) to the rows' counts by bin; each distinct one is hashed once."""
+        row = np.repeat([r for r, _ in pieces], [max(0, len(t) - n + 1) for _, t in pieces])
+        if n > 3:  # a code point has 21 bits
+            at, grams = pd.factorize(np.array([t[i : i + n] for _, t in pieces for i in range(len(t) - n + 1)], object))
+        else:
+            points = np.frombuffer("".join(t for _, t in pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
+            keys = sum(points[i : len(points) - n + 1 + i] << (21 * i) for i in range(n))
+            end = np.cumsum([len(t) for _, t in pieces])
+            whole = np.ones(len(points), bool)
+            for i in range(1, n):
+                whole[end - i] = False  # such an n-gram would go on in the next piece
+            at, grams = pd.factorize(keys[whole[: len(keys)]])
+        total += np.bincount(row * 2 * dims + bins_of(grams.tolist())[at], minlength=total.size).reshape(total.shape)
+
+    def counted(texts: list[str]) -> np.ndarray:
+        total = np.zeros((len(texts), 2 * dims), np.int64)
+        pieces, held = [], 0
+        for i, text in enumerate(texts):
+            if len(text) < n:
+                total[i, bin_of(text)] += 1
+            for s in range(0, len(text) - n + 1, PIECE):
+                pieces.append((i, text[s : s + PIECE + n - 1]))
+                held += len(pieces[-1][1])
+                if held >= PIECE:
+                    add_counts(total, pieces)
+                    pieces, held = [], 0
+        if pieces:
+            add_counts(total, pieces)
+        return total
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(one)
+            total = counted([f" {text or ''} " for text in batch])
+            v = (total[:, 1::2] - total[:, ::2]).astype(float)
+            v[~v.any(1), 0] = 1
+            yield pd.Series([(x / np.linalg.norm(x)).tolist() for x in v], index=batch.index)
 
     return run
 
