@@ -645,3 +645,28 @@ def test_embedder_hashes_each_ngram_once(monkeypatch):
             want[h % 32] += 1 if h >> 63 else -1
         want[0] = want[0] if want.any() else 1
         assert v == (want / np.linalg.norm(want)).tolist()
+
+
+def test_linkage_from_vectors_and_in_rounds_is_the_one_by_one_linkage(large_groups, monkeypatch):
+    x, label, v = large_groups
+    rng = np.random.default_rng(3)
+    y, n = rng.normal(size=(700, 6)), rng.integers(1, 5, 700)
+    for m, w in ((y / np.linalg.norm(y, axis=1, keepdims=True), n), (x[:10], np.ones(10)), (x[:1], np.ones(1))):
+        tree = lambda merges: {(round(s, 9), size) for _, _, s, size in merges}
+        assert tree(C._chain(m, w)) == tree(C._merge(m @ m.T, w))
+    key = lambda r: tuple(r)[:4] + (r["size"], round(r.score, 9))
+    want = sorted(map(key, C.average_linkage(v, "root").collect()), key=str)
+    for most, rest in ((12, 12), (12, 60), (60, 4096)):
+        monkeypatch.setattr(C, "MATRIX", most)
+        got = sorted(map(key, C.average_linkage(v, "root", most, rest).collect()), key=str)
+        assert [g[:1] + g[4:] for g in got if g[0] == "1"] == [w[:1] + w[4:] for w in want if w[0] == "1"] and len(got) == len(want)
+        parts = lambda *a: sorted(map(tuple, C.protected_groups(v, "root", 0.6, 3, *a).collect()))
+        assert parts(most, rest) == parts(most, 12)
+
+
+def test_linkage_of_1200_rows_needs_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 8))
+    v = frame(spark, [(i, u.tolist(), 0, 0) for i, u in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))])
+    monkeypatch.setattr(C, "_nearest", lambda *a: pytest.fail("a round on Spark"))
+    assert C.average_linkage(v, "root").count() == 1199
