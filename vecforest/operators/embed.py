@@ -17,6 +17,8 @@ from vecforest.sources.tables import materialize
 
 #: Characters of texts that are counted at once, and n-grams whose hashes a task keeps.
 PIECE, MOST_GRAMS = 1 << 20, 1 << 20
+#: Blocks of rows that go to a task together when pairs of blocks are compared.
+TOGETHER = 16
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
@@ -148,13 +150,24 @@ def largest_difference(met: DataFrame, n: int, block: int = 1024) -> tuple[float
         wide = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
         if not len(a) or not len(b):
             return pa.table([pa.array([], pa.float64())], ["most"])
-        d = np.abs(wide(a, "x") @ wide(b, "x").T - wide(a, "y") @ wide(b, "y").T)
-        d[a["doc_id"].to_numpy()[:, None] == b["doc_id"].to_numpy()] = 0.0
-        return pa.table([[float(d.max())]], ["most"])
+        xa, ya, xb, yb, ids, others = wide(a, "x"), wide(a, "y"), wide(b, "x"), wide(b, "y"), a["doc_id"].to_numpy(), b["doc_id"].to_numpy()
+        block, other, mask, most = a["block"].to_numpy(), b["block"].to_numpy(), a["mask"].to_numpy(), 0.0
+        for k in np.unique(block).tolist():
+            own = np.flatnonzero(block == k)
+            for m in np.unique(other).tolist():
+                if mask[own[0]] >> (m % TOGETHER) & 1:
+                    met = np.flatnonzero(other == m)
+                    d = np.abs(xa[own] @ xb[met].T - ya[own] @ yb[met].T)
+                    d[ids[own][:, None] == others[met]] = 0.0
+                    most = max(most, float(d.max()))
+        return pa.table([[most]], ["most"])
 
     def largest(pairs: DataFrame) -> float:
-        left = rows.join(pairs.withColumn("block", F.col("p")), "block").select("p", "q", "doc_id", "x", "y")
-        right = rows.join(pairs.withColumn("block", F.col("q")), "block").select(*[F.col(c).alias(c) for c in ("p", "q", "doc_id", "x", "y")])
+        bits = F.sum(F.expr(f"shiftleft(1L, cast(q % {TOGETHER} as int))")).alias("mask")
+        masks = materialize(pairs.groupBy(F.col("p").alias("block"), F.floor(F.col("p") / TOGETHER).alias("p"), F.floor(F.col("q") / TOGETHER).alias("q")).agg(bits))
+        left = rows.join(masks, "block").select("p", "q", "mask", "block", "doc_id", "x", "y")
+        right = rows.withColumn("q", F.floor(F.col("block") / TOGETHER)).join(masks.select("p", "q").distinct(), "q").select("p", "q", "block", "doc_id", "x", "y")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
         found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(difference, "most double").agg(F.max("most")).first()[0]
         return found or 0.0
 
