@@ -293,6 +293,34 @@ def test_bridges_lose_no_pair(spark, tau, spread):
     assert why.get("out of reach", 0) > 200 if spread < 1 else True
 
 
+def test_bridges_send_a_row_as_often_at_any_size(spark, monkeypatch):
+    """The groups grow with the rows, and small strips and batches give the same pairs, also where all are copies."""
+    from vecforest.operators import bridges as B
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(480, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sent = []
+    for n in (240, 480):
+        rows = B.like_blocks(frame(spark, [(i, row, i % 6, i % 3) for i, row in enumerate(x[:n].tolist())]), 4)
+        met = B.meetings(rows, B.block_pairs(B.block_summaries(rows), -1.0), 4)
+        sent.append(met.filter("kind > 0").count() / n)
+    assert sent[1] < 1.1 * sent[0] and sent[1] <= B.GROUPS + 1
+    assert B.group_size(100_000, 256, 64) * 256 * 64 * 8 <= B.HELD and B.group_size(100_000, 256, 1024) * 256 * 1024 * 8 <= B.HELD
+    for name, value in {"GROUPS": 3, "LEAST": 1, "STRIP": 7, "SENT": 5}.items():
+        monkeypatch.setattr(B, name, value)
+    x[100:130] = x[100]
+    v = frame(spark, [(i, row, i % 6, i % 3) for i, row in enumerate(x[:200].tolist())])
+    score = np.round(x @ x.T, 6)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if i % 3 != j % 3 and score[i, j] >= 0.5}
+    got = [(r.i, r.j) for r in R.cross_candidates(v, 0.5, block=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    best = {}
+    for i, j in sorted(want, key=lambda ij: (-score[ij], ij)):
+        best.setdefault(frozenset((i % 6, j % 6)), (i, j))
+    assert {(r.i, r.j) for r in R.best_leaf_pairs(R.cross_candidates(v, 0.5, True, block=8)).collect()} == set(best.values())
+
+
 def test_no_link_where_no_length_is_allowed(spark, pairs):
     pos = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(4)], "doc_id long, x double, y double, z double")
     split = pairs.withColumn("root", F.col("leaf"))
