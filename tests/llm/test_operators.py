@@ -94,6 +94,58 @@ def test_ids_of_texts_with_added_tokens():
     assert ids[:4].tolist() == [31373, 220, 50256, 995]
 
 
+def odd_words(n, seed=3):
+    import random
+
+    rnd = random.Random(seed)
+    some = lambda signs, k: "".join(rnd.choice(signs) for _ in range(rnd.randint(0, k)))
+    gaps = [" ", " ", " ", "\n", "  ", "\t", " \n", "\u00a0", "\u3000", "\u0085"]
+    return [some("abcdefgéèñß×÷äŁжш'1234", 9) + some("!,.|$%'é÷×\u00bd日🙂s", 2) + rnd.choice(gaps) for _ in range(n)]
+
+
+def test_ids_of_pieces_in_one_string(monkeypatch):
+    from vecforest.llm import tokens
+
+    words = odd_words(12_000)
+    texts = ["".join(words[i : i + 300]) for i in range(0, len(words), 300)] + [w.strip() + e for w in words[:200] for e in ("", "<|endoftext|>", " <|endof", "text|>")]
+    want = brute.token_lists(texts)
+    for pieces, joined in ((200_000, 64), (2_000, 7)):
+        monkeypatch.setattr(tokens, "MEMO_PIECES", pieces)
+        monkeypatch.setattr(tokens, "JOINED", joined)
+        tokens.memo.cache_clear()
+        for s in (0, 10, 20, 30, 0, 10):  # again, with pieces that are still known and others that were forgotten
+            part = slice(s, s + 10 if s < 30 else None)
+            ids, off = tokens.encode_batch(pa.array(texts[part]), JSON, 2)
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want[part]
+    # Ids whose bytes do not end with the pieces: one by one.
+    tokens.memo.cache_clear()
+    monkeypatch.setattr(tokens, "id_bytes", lambda path: np.full(60_000, 3))
+    ids, off = tokens.encode_batch(pa.array(texts), JSON, 2)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    tokens.memo.cache_clear()
+
+
+def test_few_strings_are_encoded(monkeypatch):
+    from vecforest.llm import tokens
+
+    strings, real = [], tokens.tokenizer(JSON)
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **how):
+            strings.extend(texts)
+            return real.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokens, "tokenizer", lambda path: Counted())
+    tokens.memo.cache_clear()
+    text = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzäéüö'[i // 100 % 10]}{'aeiouäéüöy'[i // 1000]}" for i in range(10_000))
+    ids, _ = tokens.encode_batch(pa.array([text]), JSON, 2)
+    tokens.memo.cache_clear()
+    assert ids.tolist() == brute.token_lists([text])[0] and len(strings) <= 200
+
+
 def test_token_files_with_odd_ids(odd_ids):
     got = binary.token_file_digests(odd_ids, JSON, 2, 50257).collect()
     assert len(got) == 7 and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 1, 1, 1, 2, 3]
