@@ -146,6 +146,18 @@ def test_few_strings_are_encoded(monkeypatch):
     assert ids.tolist() == brute.token_lists([text])[0] and len(strings) <= 200
 
 
+def test_packing_leaves_no_pieces_in_workers(spark, docs):
+    assert packing.pack_documents(docs, JSON, 2).count() > 0
+
+    def held(batches):
+        from vecforest.llm import tokens
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([tokens.memo.cache_info().currsize] * len(batch))], ["held"])
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "held long").agg(F.max("held")).first()[0] == 0
+
+
 def test_token_files_with_odd_ids(odd_ids):
     got = binary.token_file_digests(odd_ids, JSON, 2, 50257).collect()
     assert len(got) == 7 and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 1, 1, 1, 2, 3]
@@ -532,6 +544,19 @@ def test_empty_tables(spark, nothing):
     assert [df.count() for df in results] == [0] * len(results)
 
 
+def test_memory_of_comparing_samples():
+    import tracemalloc
+
+    rnd, n = np.random.default_rng(1), 4_000
+    around = [bytes(rnd.integers(0, 2, 400, dtype=np.uint8)) for _ in range(n)]
+    left = np.full(n, 150)
+    tracemalloc.start()
+    row, _ = suffixes.equal_strings(np.zeros(n, int), left, np.ones(n, int), [*around[:-1], around[0]], 400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(row.tolist()) == [0, n - 1] and most < 4_000 * n
+
+
 def test_pieces_are_whole_texts(texts):
     raw, off = textops.buffer_of(pa.array(list(texts.values())))
     which, distinct, first = textops.pieces(raw, off)

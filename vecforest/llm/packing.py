@@ -48,7 +48,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
     """One row per piece: id (of the piece), doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare(held=False)
+        spare()
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, off = encode_batch(batch["text"], tokenizer_path, end_id)
@@ -66,7 +66,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id
             number += len(row)
             yield pa.record_batch(columns, ["id", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return text_rows(df, id_col, text_col).mapInArrow(tidy(run, held=False), "id long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_rows(df, id_col, text_col).mapInArrow(tidy(run), "id long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def swept(rows: DataFrame, n: int) -> DataFrame:
