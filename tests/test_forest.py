@@ -716,3 +716,36 @@ def test_linkage_of_1200_rows_needs_no_rounds(spark, monkeypatch):
     v = frame(spark, [(i, u.tolist(), 0, 0) for i, u in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))])
     monkeypatch.setattr(C, "_nearest", lambda *a: pytest.fail("a round on Spark"))
     assert C.average_linkage(v, "root").count() == 1199
+
+
+@pytest.mark.parametrize("held", [1 << 26, 16 * 8 * 6 * 3])
+def test_largest_difference_sends_a_row_to_few_groups(spark, monkeypatch, held):
+    """40 blocks: a row went to as many others as there are blocks; now to one group after another, with the same result."""
+    from vecforest.operators import embed as E
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(2, 315, 6))
+    y = x + 0.3 * y
+    x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+    met = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(315)], "doc_id long, x array<double>, y array<double>")
+    sent, real = [], E._difference_meetings
+    monkeypatch.setattr(E, "_difference_meetings", lambda *a: sent.append(real(*a)) or sent[-1])
+    most, compared = E.largest_difference(met, 315, 8, held)
+    d = np.abs(x @ x.T - y @ y.T)
+    np.fill_diagonal(d, 0)
+    error = np.sort(np.linalg.norm(x - y, axis=1))[::-1]
+    own = max(d[np.ix_(b, b)].max() for b in np.split(np.argsort(-np.linalg.norm(x - y, axis=1)), range(8, 315, 8)))
+    tops = error[::8]
+    assert most == pytest.approx(d.max(), abs=1e-12)
+    assert compared == 40 + sum(tops[i] + tops[j] > own for i in range(40) for j in range(i + 1, 40))
+    groups = -(-40 // (4 if held > 1 << 20 else 3))
+    assert 315 < sent[0].count() <= 315 * (groups + 1)
+    same = met.withColumn("y", F.col("x"))
+    assert E.largest_difference(same, 315, 8, held) == (0.0, 40)
+
+
+def test_unit_of_vectors_without_direction(spark):
+    from vecforest.functions.vectors import unit as unit_column
+
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([float("nan"), 1.0],)], "v array<double>")
+    assert [r[0] for r in v.select(unit_column(F.col("v"))).collect()] == [[0.6, 0.8], None, None, None]

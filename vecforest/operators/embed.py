@@ -17,6 +17,8 @@ from vecforest.sources.tables import materialize
 
 #: Characters of texts that are counted at once, and n-grams whose hashes a task keeps.
 PIECE, MOST_GRAMS = 1 << 20, 1 << 20
+#: Groups of rows that meet, bytes of vectors of a group that a task holds, and rows of it that are compared at once.
+GROUPS, HELD, STRIP = 12, 1 << 26, 4096
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
@@ -132,37 +134,83 @@ def _moments(met: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     return n, total, products
 
 
-def largest_difference(met: DataFrame, n: int, block: int = 1024) -> tuple[float, int]:
+def _difference_meetings(rows: DataFrame, tops: np.ndarray, most: float, group: int) -> DataFrame:
+    """What two groups p <= q of `group` blocks need to be compared: the rows of p (kind 1) and those of q (kind 2), where a bound is above `most`."""
+    heads = tops[::group]  # of blocks by falling bound
+    near = [int(np.count_nonzero(heads[p] + heads[p:] > most)) for p in range(len(heads))]
+    own = F.floor(F.col("block") / group).cast("int")
+    reach = F.array(*[F.lit(p + k - 1) for p, k in enumerate(near)])  # the last group that p meets
+    fields = ["block", "doc_id", "x", "y"]
+    dealt = rows.withColumns({"own": own, "last": reach[own]})
+    left = dealt.filter("last >= own").select(F.col("own").alias("p"), F.explode(F.sequence("own", "last")).alias("q"), F.lit(1).alias("kind"), *fields)
+    meets = F.filter(F.sequence(F.lit(0), F.col("own")), lambda p: F.get(reach, p) >= F.col("own"))
+    right = dealt.select(F.explode(meets).alias("p"), F.col("own").alias("q"), F.lit(2).alias("kind"), *fields)
+    return left.unionByName(right)
+
+
+def largest_difference(met: DataFrame, n: int, block: int = 1024, held: int = HELD) -> tuple[float, int]:
     """The largest absolute difference of the two cosines of a pair, over rows (doc_id, x, y) of unit vectors, and the number of pairs of blocks compared.
 
     The cosines of a pair differ by at most the lengths of both rows' own differences
     x - y. Rows are cut into blocks by falling length of that; a block is compared with
     itself first, and then only pairs of blocks whose bound is above the largest found.
+    Blocks meet in groups: a task holds the rows of one group, at most `held` bytes of
+    vectors, and reads those of the other as they come. Up to GROUPS groups a row is sent
+    about as often at any number of rows. Single precision with its error bound tells
+    which strips may hold more than the largest so far; those are measured in double.
     """
     error = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     rows = ranks(met.withColumns({"g": F.lit(""), "error": error}), [F.desc("error"), F.asc("doc_id")], "at")
     rows = materialize(rows.select(F.floor(F.col("at") / block).alias("block"), "doc_id", "x", "y", "error"))
-    tops = rows.groupBy("block").agg(F.max("error").alias("top"))
+    # One number for each block.
+    tops = np.array([r.top for r in rows.groupBy("block").agg(F.max("error").alias("top")).orderBy("block").collect()])
+    wide = lambda t, c: (t[c].combine_chunks() if isinstance(t, pa.Table) else t[c]).flatten().to_numpy().reshape(len(t), -1)
 
-    def difference(a: pa.Table, b: pa.Table) -> pa.Table:
-        wide = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        if not len(a) or not len(b):
-            return pa.table([pa.array([], pa.float64())], ["most"])
-        d = np.abs(wide(a, "x") @ wide(b, "x").T - wide(a, "y") @ wide(b, "y").T)
-        d[a["doc_id"].to_numpy()[:, None] == b["doc_id"].to_numpy()] = 0.0
-        return pa.table([[float(d.max())]], ["most"])
+    def difference(ids: np.ndarray, x: np.ndarray, y: np.ndarray, other: tuple[np.ndarray, ...]) -> float:
+        d = np.abs(x @ other[1].T - y @ other[2].T)
+        d[ids[:, None] == other[0]] = 0.0
+        return float(d.max())
 
-    def largest(pairs: DataFrame) -> float:
-        left = rows.join(pairs.withColumn("block", F.col("p")), "block").select("p", "q", "doc_id", "x", "y")
-        right = rows.join(pairs.withColumn("block", F.col("q")), "block").select(*[F.col(c).alias(c) for c in ("p", "q", "doc_id", "x", "y")])
-        found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(difference, "most double").agg(F.max("most")).first()[0]
-        return found or 0.0
+    def own(t: pa.Table) -> pa.Table:
+        a = (t["doc_id"].to_numpy(), wide(t, "x"), wide(t, "y"))
+        return pa.table([[difference(*a, a)]], ["most"])
 
-    own = materialize(tops.select(F.col("block").alias("p"), F.col("block").alias("q")))
-    most = largest(own)
-    others = tops.select(F.col("block").alias("p"), "top").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n // block) - 1)).cast("long")))).filter("p < q")
-    rest = materialize(others.join(tops.select(F.col("block").alias("q"), F.col("top").alias("other")), "q").filter(F.col("top") + F.col("other") > most).select("p", "q"))
-    return max(most, largest(rest)), own.count() + rest.count()
+    most = rows.select("block", "doc_id", "x", "y").groupBy("block").applyInArrow(own, "most double").agg(F.max("most")).first()[0] or 0.0
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, parts, best = None, None, [], most
+        for batch in batches:
+            key = np.stack([batch[c].to_numpy() for c in ("p", "q", "kind", "block")], 1)
+            edges = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(key)) if len(key) else np.zeros(1, int)
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                p, q, kind, number = key[start].tolist()
+                if at != (p, q):
+                    at, left, parts = (p, q), None, []
+                t = batch.slice(start, end - start)
+                a = (t["doc_id"].to_numpy(), wide(t, "x"), wide(t, "y"))
+                if kind == 1:
+                    parts.append((np.full(len(t), number), *a))
+                    continue
+                if left is None:
+                    left = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    parts, close = [], np.hstack(left[2:]).astype(np.float32)
+                turned = np.hstack((a[1], -a[2])).astype(np.float32).T
+                slack = 2 * (len(turned) + 4) * 2.0**-24  # of rounding to single precision, as the factors have length 1
+                for s in range(0, int(np.searchsorted(left[0], number, "right")), STRIP):
+                    e = min(s + STRIP, int(np.searchsorted(left[0], number, "right")))
+                    if tops[left[0][s]] + tops[number] <= best:
+                        break  # blocks come by falling bound
+                    d = close[s:e] @ turned
+                    if max(float(d.max()), -float(d.min())) + slack > best:
+                        best = max(best, difference(*(c[s:e] for c in left[1:]), a))
+        yield pa.record_batch([pa.array([best])], ["most"])
+
+    width = rows.select(F.size("x").alias("d")).first()
+    group = max(1, min(-(-len(tops) // GROUPS), held // (16 * block * max(1, width.d if width else 1))))
+    met_groups = _difference_meetings(rows, tops, most, group).repartition("p", "q").sortWithinPartitions("p", "q", "kind", "block")
+    found = met_groups.mapInArrow(search, "most double").agg(F.max("most")).first()[0]
+    others = [np.count_nonzero(tops[i] + tops[i + 1 :] > most) for i in range(len(tops))]
+    return max(most, found or 0.0), len(tops) + int(sum(others))
 
 
 def pair_agreement(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
@@ -172,12 +220,12 @@ def pair_agreement(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
     in one pass; only the largest difference looks at pairs. Vectors without a direction take no part.
     """
     met = a.select("doc_id", unit(F.col("vector")).alias("x")).join(b.select("doc_id", unit(F.col("vector")).alias("y")), "doc_id").filter("x is not null and y is not null")
-    met = materialize(met.withColumn("z", F.concat("x", "y")))
+    met = materialize(met)
     schema = "pairs long, mean_a double, variance_a double, mean_b double, variance_b double, mean_difference double, rms_difference double, largest_difference double, compared long"
-    first = met.select(F.size("x").alias("d"), F.size("z").alias("w")).first()
+    first = met.select(F.size("x").alias("d"), (F.size("x") + F.size("y")).alias("w")).first()
     if first is None:
         return a.sparkSession.createDataFrame([(0, *[None] * 8)], schema)
-    n, total, products = _moments(met, first.w)
+    n, total, products = _moments(met.select(F.concat("x", "y").alias("z")), first.w)
     pairs = n * (n - 1) // 2
     if not pairs:
         return a.sparkSession.createDataFrame([(0, *[None] * 8)], schema)
@@ -188,6 +236,6 @@ def pair_agreement(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
     # The products of both embeddings on the diagonal are one as well.
     ab = both(products[:d, d:])
     ma, mb = sa / pairs, sb / pairs
-    most, compared = largest_difference(met.select("doc_id", "x", "y"), n, block)
+    most, compared = largest_difference(met, n, block)
     rms = max(0.0, aa + bb - 2 * ab) / pairs
     return a.sparkSession.createDataFrame([(pairs, ma, aa / pairs - ma * ma, mb, bb / pairs - mb * mb, ma - mb, rms**0.5, most, compared)], schema)
