@@ -749,3 +749,63 @@ def test_unit_of_vectors_without_direction(spark):
 
     v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([float("nan"), 1.0],)], "v array<double>")
     assert [r[0] for r in v.select(unit_column(F.col("v"))).collect()] == [[0.6, 0.8], None, None, None]
+
+
+def test_large_groups_merge_in_one_task_from_kept_lists(spark, monkeypatch):
+    """6,000 rows of a group, more than the 4,096 that a task took before; few are compared with all others again, and the parts are those of rounds on Spark."""
+    from vecforest.operators import linkage as K
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 12)) + 2 * rng.normal(size=(40, 12))[rng.integers(40, size=6000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = frame(spark, [(i, u, 0, 0) for i, u in enumerate(x.tolist())])
+    want = sorted(map(tuple, C.protected_groups(v, "root", 0.8, 3, 400, 2000).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(C, "_nearest", lambda *a: pytest.fail("a round on Spark"))
+        assert sorted(map(tuple, C.protected_groups(v, "root", 0.8, 3).collect())) == want
+    compared, real = [], K.nearest_lists
+    monkeypatch.setattr(K, "nearest_lists", lambda y, nodes: compared.append(len(nodes)) or real(y, nodes))
+    assert len(K.linkage(x, np.ones(6000))) == 5999
+    assert compared[0] == 6000 and sum(compared) < 4 * 6000
+
+
+@pytest.mark.parametrize("few", [0.0, 0.001, 0.5])
+@pytest.mark.parametrize("rows", ["spread", "dense", "equal"])
+def test_linkage_from_kept_lists_is_the_one_by_one_linkage(monkeypatch, few, rows):
+    from vecforest.operators import linkage as K
+
+    monkeypatch.setattr(K, "FEW", few)
+    monkeypatch.setattr(K, "COLUMNS", 64)
+    monkeypatch.setattr(K, "STRIP", 100)
+    rng = np.random.default_rng(9)
+    x, w = rng.normal(size=(500, 6)), rng.integers(1, 5, 500)
+    if rows != "spread":
+        x[50:300] = x[50] + (0.05 * rng.normal(size=(250, 6)) if rows == "dense" else 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def groups(merges):
+        g, caps = [frozenset([i]) for i in range(500)], [9.0] * 500
+        for a, b, score, size in merges:
+            g.append(g[a] | g[b])
+            caps.append(min(round(score, 9), caps[a], caps[b]))
+            assert size == w[list(g[-1])].sum()
+        return {(m, c) for m, c in zip(g[500:], caps[500:], strict=True)}
+
+    want, got = groups(C._merge(x @ x.T, w)), groups(K.linkage(x, w))
+    if rows == "equal":  # ties among equal rows leave their order open
+        tied = set(range(50, 300))
+        want, got = ({m for m in g if not m[0] <= tied} for g in (want, got))
+    assert got == want
+    assert groups(K.linkage(x, w, 0.7)) == {m for m in groups(K.linkage(x, w)) if m[1] >= 0.7}
+    # Small nodes join the most similar one, the smallest first.
+    parts = K.Linkage(x, w, None)
+    parts.absorb(4)
+    mean, n, of = x.copy(), w.astype(float), np.arange(500)
+    while n.min() < 4:
+        i = int(n.argmin())
+        s = np.round(mean @ mean[i], 12)
+        s[i] = s[np.isinf(n)] = -np.inf
+        a, b = sorted((i, int(s.argmax())))
+        mean[a], n[a] = (mean[a] * n[a] + mean[b] * n[b]) / (n[a] + n[b]), n[a] + n[b]
+        n[b], of[of == b] = np.inf, a
+    assert (parts.roots(np.arange(500)) == of).all()
