@@ -809,3 +809,19 @@ def test_linkage_from_kept_lists_is_the_one_by_one_linkage(monkeypatch, few, row
         mean[a], n[a] = (mean[a] * n[a] + mean[b] * n[b]) / (n[a] + n[b]), n[a] + n[b]
         n[b], of[of == b] = np.inf, a
     assert (parts.roots(np.arange(500)) == of).all()
+
+
+def test_topic_tree_makes_the_parts_once(large_groups, monkeypatch):
+    from vecforest.operators import topics
+
+    v, real = large_groups[2], topics.protected_groups
+    times = v.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(part):
+        times.add(1)
+        return part
+
+    monkeypatch.setattr(topics, "protected_groups", lambda *a: real(*a).withColumn("part", seen("part")))
+    members, _ = topics.topic_tree(v, "root", 0.6, 3, 7, 12)
+    assert members.count() == 158 and times.value == 158
