@@ -825,3 +825,26 @@ def test_topic_tree_makes_the_parts_once(large_groups, monkeypatch):
     monkeypatch.setattr(topics, "protected_groups", lambda *a: real(*a).withColumn("part", seen("part")))
     members, _ = topics.topic_tree(v, "root", 0.6, 3, 7, 12)
     assert members.count() == 158 and times.value == 158
+
+
+def test_first_comparison_of_a_large_group_is_dealt_to_tasks(large_groups, monkeypatch):
+    from vecforest.operators import linkage as K
+
+    x, label, v = large_groups
+    key = lambda r: tuple(r)[:4] + (r["size"], round(r.score, 9))
+    monkeypatch.setattr(C, "MATRIX", 12)
+    links, parts = sorted(map(key, C.average_linkage(v, "root", 12).collect()), key=str), sorted(map(tuple, C.protected_groups(v, "root", 0.6, 3, 12).collect()))
+    nodes = v.select(F.col("root").alias("g"), F.col("doc_id").alias("at"), "vector", (F.col("doc_id") == 3).alias("closed"))
+    assert C._with_lists(nodes).filter("kept is not null").count() == 0
+    for name, value in (("MANY", 50), ("DEALT", 20), ("ROWS", 7), ("FIRST", 30)):
+        monkeypatch.setattr(C, name, value)
+    found = {r["at"]: r for r in C._with_lists(nodes).collect()}
+    assert len(found) == 158 and found[3].kept is None and found[157].kept is None
+    for i in range(150):
+        if i != 3:
+            near = [j for j in range(158) if label[j] == label[i] and j not in (3, i)]
+            s = np.sort(x[near] @ x[i])[::-1]
+            assert len(set(found[i].kept)) == K.KEPT and set(found[i].kept) <= set(near)
+            assert x[found[i].kept] @ x[i] == pytest.approx(s[: K.KEPT], abs=1e-6) and found[i].bound == pytest.approx(s[K.KEPT - 1], abs=1e-6)
+    assert sorted(map(key, C.average_linkage(v, "root", 12).collect()), key=str) == links
+    assert sorted(map(tuple, C.protected_groups(v, "root", 0.6, 3, 12).collect())) == parts
